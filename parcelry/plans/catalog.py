@@ -9,18 +9,120 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from parcelry.functions.decode import creation_time, creation_time_ms, decode_messages
+from parcelry.functions.formats import timestamp_text
+from parcelry.functions.rules import item_violations
 from parcelry.operators import documents as doc
+from parcelry.operators import outcomes as out
+from parcelry.sources.messages import order_messages
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
-def _order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+# ---------------------------------------------------------------- documents
+
+def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc.order_documents(doc.order_facts(spark, sf_dir))
 
 
+# ---------------------------------------------------------------- messages
+
+def synthetic_order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = order_messages(spark, sf_dir)
+    return m.select("topic", "partition", "offset", timestamp_text(F.col("timestamp")).alias("ts"),
+                    creation_time_ms(F.col("headers")).alias("creation_ms"), F.hex("value").alias("value_hex"))
+
+
+def decode_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = decode_messages(order_messages(spark, sf_dir))
+    return d.select("topic", "partition", "offset", "decode_ok", "decode_error")
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return out.checked_messages(order_messages(spark, sf_dir))
+
+
+def validation_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _checked(spark, sf_dir).filter("decode_ok")
+    return c.select("partition", "offset", "order_uid", (F.size("violations") == 0).alias("valid"),
+                    F.array_join("violations", ",").alias("violations"))
+
+
+def rule_violation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _checked(spark, sf_dir).filter("decode_ok")
+    return c.select(F.explode("violations").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+def item_rule_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _checked(spark, sf_dir).filter("decode_ok")
+    per_item = c.select("topic", "partition", "offset", F.explode(item_violations(F.col("order"))).alias("v"))
+    x = per_item.select("topic", "partition", "offset", F.explode("v").alias("rule"))
+    return x.groupBy("rule").agg(
+        F.count(F.lit(1)).alias("n_items"),
+        F.count_distinct("topic", "partition", "offset").alias("n_orders"))
+
+
+def storable_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _checked(spark, sf_dir).filter(F.col("decode_ok") & (F.size("violations") == 0))
+    return c.select("partition", "offset", "order_uid", "order_error", "child_error")
+
+
+def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return out.route(order_messages(spark, sf_dir))
+
+
+def message_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _routed(spark, sf_dir).select("topic", "partition", "offset", "order_uid", "status", "reason",
+                                         "error_text", "dead_lettered")
+
+
+def outcomes_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return out.outcome_counts(_routed(spark, sf_dir))
+
+
+def dead_letters_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return out.dead_letter_counts(_routed(spark, sf_dir))
+
+
+def dead_letter_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = out.dead_letters(_routed(spark, sf_dir))
+    last = F.element_at("headers", -1)
+    return d.select("partition", "offset", "reason", F.size("headers").alias("n_headers"),
+                    F.col("headers")[0]["key"].alias("first_header"), last["key"].alias("last_header"),
+                    last["value"].cast("string").alias("dlq_reason"))
+
+
+def duplicate_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return out.duplicate_uids(_checked(spark, sf_dir))
+
+
+def first_order_per_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return out.first_message_per_uid(_checked(spark, sf_dir))
+
+
+def message_creation_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = order_messages(spark, sf_dir)
+    h = F.col("headers")
+    return m.select("partition", "offset", creation_time_ms(h).alias("created_ms"),
+                    timestamp_text(creation_time(h)).alias("created_at"))
+
+
 def catalog() -> dict[str, Builder]:
     return {
-        "order_documents": _order_documents,
+        "order_documents": order_documents,
+        "synthetic_order_messages": synthetic_order_messages,
+        "decode_verdicts": decode_verdicts,
+        "validation_verdicts": validation_verdicts,
+        "rule_violation_counts": rule_violation_counts,
+        "item_rule_failures": item_rule_failures,
+        "storable_verdicts": storable_verdicts,
+        "message_outcomes": message_outcomes,
+        "outcomes_by_status": outcomes_by_status,
+        "dead_letters_by_reason": dead_letters_by_reason,
+        "dead_letter_messages": dead_letter_messages,
+        "duplicate_orders": duplicate_orders,
+        "first_order_per_uid": first_order_per_uid,
+        "message_creation_time": message_creation_time,
     }

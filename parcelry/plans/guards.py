@@ -12,7 +12,7 @@ measured shuffle sizes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelry.session import checkpoint_dir
 
@@ -41,3 +41,15 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint under ``spark.checkpoint.dir`` (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def bind(df: DataFrame, *named: Column) -> DataFrame:
+    """Append ``named`` columns computed exactly once per row.
+
+    The columns come out of a one-element ``inline`` generator, so later
+    filters on them are not pushed below (and re-evaluated inside) the
+    expressions that compute them, and later projections do not re-inline
+    those expressions at every reference.  Costs one trivial generator step
+    inside the same codegen stage; no shuffle, no materialisation.
+    """
+    return df.select(*[F.col(c) for c in df.columns], F.inline(F.array(F.struct(*named))))

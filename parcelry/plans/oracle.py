@@ -119,7 +119,199 @@ FROM hdr h LEFT JOIN items i ON i.k = h.k
 """
 
 
+
+
+# --------------------------------------------------------------------------
+# Messages (FIXTURES.md B2): one per order, k % 20 picks the corruption,
+# k % 50 = 13 sends a second copy at offset + 1,000,000.
+# --------------------------------------------------------------------------
+
+MSGS_CTE = f"""
+{HEADERS_CTE.strip()}, {LINES_CTE.strip()}, {ITEMS_CTE.strip()},
+msgs AS (
+  SELECT h.*, i.items_json, COALESCE(i.n_items, 0) AS n_items, cp.copy,
+    h.k % 20 AS r, 'orders' AS topic, CAST(h.k % 4 AS INTEGER) AS "partition",
+    h.k // 4 + cp.copy * 1000000 AS "offset"
+  FROM hdr h LEFT JOIN items i ON i.k = h.k
+  JOIN (VALUES (0), (1)) cp(copy) ON cp.copy = 0 OR h.k % 50 = 13
+)"""
+
+
+def _message_json(extra: bool) -> str:
+    tail = ", 'coupon': 'none'" if extra else ""
+    return f"""to_json({{
+      'order_uid': m.order_uid, 'track_number': m.track_number, 'entry': m.entry,
+      'delivery': {{'name': m.d_name,
+                   'phone': CASE WHEN m.r = 0 THEN '12345abc' ELSE m.d_phone END,
+                   'zip': m.d_zip, 'city': m.d_city, 'address': m.d_address, 'region': m.d_region,
+                   'email': CASE WHEN m.r = 1 THEN 'not-an-email' ELSE m.d_email END}},
+      'payment': {{'transaction': m.p_transaction, 'request_id': m.p_request_id,
+                  'currency': CASE WHEN m.r = 8 THEN 'NOT' ELSE m.p_currency END,
+                  'provider': m.p_provider,
+                  'amount': CASE WHEN m.r = 2 THEN -100 ELSE m.p_amount END,
+                  'payment_dt': CASE WHEN m.r = 12 THEN 2147483648 ELSE m.p_payment_dt END,
+                  'bank': m.p_bank, 'delivery_cost': m.p_delivery_cost,
+                  'goods_total': CASE WHEN m.r = 7 THEN 0 ELSE m.p_goods_total END,
+                  'custom_fee': m.p_custom_fee}},
+      'items': CASE WHEN m.r = 4 THEN '[]' ELSE COALESCE(m.items_json, '[]') END::JSON,
+      'locale': CASE WHEN m.r = 3 THEN 'xx_123' ELSE m.locale END,
+      'internal_signature': m.internal_signature,
+      'customer_id': m.customer_id, 'delivery_service': m.delivery_service,
+      'shardkey': CASE WHEN m.r = 5 THEN 'abc' ELSE m.shardkey END,
+      'sm_id': CASE WHEN m.r = 6 THEN 0 WHEN m.r = 11 THEN 2147483648 ELSE m.sm_id END,
+      'date_created': strftime(m.date_created, '%Y-%m-%dT%H:%M:%SZ'),
+      'oof_shard': m.oof_shard{tail}}})"""
+
+
+SYNTHETIC_ORDER_MESSAGES = f"""
+WITH {MSGS_CTE}
+SELECT m.topic, m."partition", m."offset",
+  {ts_text('m.date_created')} AS ts,
+  epoch_ms(m.date_created) AS creation_ms,
+  CASE WHEN m.r = 9 AND (m.k // 20) % 2 = 1 THEN upper(sha256('ord' || m.k))
+       WHEN m.r = 9 THEN hex('{{"order_uid": "invalid-' || m.k || '", "items": [}}')
+       WHEN m.r = 10 THEN hex({_message_json(True)})
+       ELSE hex({_message_json(False)}) END AS value_hex
+FROM msgs m
+"""
+
+# Expected per-message facts from residues (no JSON parsing on this side).
+EXPECT_CTE = f"""
+{MSGS_CTE.strip()},
+expect AS (
+  SELECT m.*,
+    m.r NOT IN (9, 10) AS decode_ok,
+    CASE WHEN m.r = 9 THEN 'malformed' WHEN m.r = 10 THEN 'unknown_field' END AS decode_error,
+    array_to_string(list_sort(list_filter([
+      CASE WHEN m.r = 0 THEN 'delivery.phone.e164' END,
+      CASE WHEN m.r = 1 THEN 'delivery.email.email' END,
+      CASE WHEN m.r = 2 THEN 'payment.amount.gte0' END,
+      CASE WHEN m.r = 3 THEN 'locale.bcp47' END,
+      CASE WHEN m.r = 4 OR m.n_items = 0 THEN 'items.min1' END,
+      CASE WHEN m.r = 5 THEN 'shardkey.numeric' END,
+      CASE WHEN m.r = 6 THEN 'sm_id.required' END,
+      CASE WHEN m.r = 6 THEN 'sm_id.gt0' END,
+      CASE WHEN m.r = 7 THEN 'payment.goods_total.required' END,
+      CASE WHEN m.r = 7 THEN 'payment.goods_total.gt0' END,
+      CASE WHEN m.r = 8 THEN 'payment.currency.iso4217' END
+    ], lambda x: x IS NOT NULL)), ',') AS violations
+  FROM msgs m
+),
+outcome AS (
+  SELECT e.*,
+    CASE WHEN NOT e.decode_ok THEN 'invalid'
+         WHEN e.violations <> '' THEN 'invalid'
+         WHEN e.r IN (11, 12) THEN 'error'
+         WHEN e.copy = 1 THEN 'invalid'
+         ELSE 'valid' END AS status,
+    CASE WHEN NOT e.decode_ok THEN NULL
+         WHEN e.violations <> '' THEN 'invalid_order'
+         WHEN e.r IN (11, 12) THEN 'unhandled_error'
+         WHEN e.copy = 1 THEN 'already_exists'
+         ELSE NULL END AS reason,
+    CASE WHEN NOT e.decode_ok THEN NULL
+         WHEN e.violations <> '' THEN 'validation failed: invalid order'
+         WHEN e.r = 11 THEN 'failed to save order: inserting order: ERROR: integer out of range (SQLSTATE 22003)'
+         WHEN e.r = 12 THEN 'failed to save order: inserting payment: ERROR: integer out of range (SQLSTATE 22003)'
+         WHEN e.copy = 1 THEN 'failed to save order: record already exists: uid=' || e.order_uid
+         ELSE NULL END AS error_text
+  FROM expect e
+)"""
+
+DECODE_VERDICTS = f"""
+WITH {EXPECT_CTE}
+SELECT topic, "partition", "offset", decode_ok, decode_error FROM expect
+"""
+
+VALIDATION_VERDICTS = f"""
+WITH {EXPECT_CTE}
+SELECT "partition", "offset", order_uid, violations = '' AS valid, violations
+FROM expect WHERE decode_ok
+"""
+
+RULE_VIOLATION_COUNTS = f"""
+WITH {EXPECT_CTE}
+SELECT rule, count(*) AS n
+FROM (SELECT unnest(string_split(violations, ',')) AS rule FROM expect WHERE decode_ok AND violations <> '')
+GROUP BY rule
+"""
+
+ITEM_RULE_FAILURES = f"""
+WITH {EXPECT_CTE}
+SELECT CAST(NULL AS VARCHAR) AS rule, CAST(0 AS BIGINT) AS n_items, CAST(0 AS BIGINT) AS n_orders
+FROM expect WHERE false
+"""
+
+STORABLE_VERDICTS = f"""
+WITH {EXPECT_CTE}
+SELECT "partition", "offset", order_uid,
+  CASE WHEN r = 11 THEN 'inserting order: ERROR: integer out of range (SQLSTATE 22003)' END AS order_error,
+  CASE WHEN r = 12 THEN 'inserting payment: ERROR: integer out of range (SQLSTATE 22003)' END AS child_error
+FROM expect WHERE decode_ok AND violations = ''
+"""
+
+MESSAGE_OUTCOMES = f"""
+WITH {EXPECT_CTE}
+SELECT topic, "partition", "offset", CASE WHEN decode_ok THEN order_uid END AS order_uid,
+  status, reason, error_text, reason IS NOT NULL AS dead_lettered
+FROM outcome
+"""
+
+OUTCOMES_BY_STATUS = f"""
+WITH {EXPECT_CTE}
+SELECT status, count(*) AS n FROM outcome GROUP BY status
+"""
+
+DEAD_LETTERS_BY_REASON = f"""
+WITH {EXPECT_CTE}
+SELECT reason, count(*) AS n FROM outcome WHERE reason IS NOT NULL GROUP BY reason
+"""
+
+DEAD_LETTER_MESSAGES = f"""
+WITH {EXPECT_CTE}
+SELECT "partition", "offset", reason, 2 AS n_headers,
+  'creation_timestamp_ms' AS first_header, 'DLQ REASON' AS last_header, error_text AS dlq_reason
+FROM outcome WHERE reason IS NOT NULL
+"""
+
+DUPLICATE_ORDERS = f"""
+WITH {EXPECT_CTE}
+SELECT order_uid, count(*) AS n_messages FROM expect WHERE decode_ok
+GROUP BY order_uid HAVING count(*) > 1
+"""
+
+FIRST_ORDER_PER_UID = f"""
+WITH {EXPECT_CTE}
+SELECT order_uid, "partition", min("offset") AS "offset" FROM expect WHERE decode_ok
+GROUP BY order_uid, "partition"
+"""
+
+MESSAGE_CREATION_TIME = f"""
+WITH {MSGS_CTE}
+SELECT "partition", "offset", epoch_ms(date_created) AS created_ms,
+  {ts_text('date_created')} AS created_at
+FROM msgs
+"""
+
+MESSAGE_ORACLES = {
+    "synthetic_order_messages": SYNTHETIC_ORDER_MESSAGES,
+    "decode_verdicts": DECODE_VERDICTS,
+    "validation_verdicts": VALIDATION_VERDICTS,
+    "rule_violation_counts": RULE_VIOLATION_COUNTS,
+    "item_rule_failures": ITEM_RULE_FAILURES,
+    "storable_verdicts": STORABLE_VERDICTS,
+    "message_outcomes": MESSAGE_OUTCOMES,
+    "outcomes_by_status": OUTCOMES_BY_STATUS,
+    "dead_letters_by_reason": DEAD_LETTERS_BY_REASON,
+    "dead_letter_messages": DEAD_LETTER_MESSAGES,
+    "duplicate_orders": DUPLICATE_ORDERS,
+    "first_order_per_uid": FIRST_ORDER_PER_UID,
+    "message_creation_time": MESSAGE_CREATION_TIME,
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "order_documents": ORDER_DOCUMENTS,
+        **MESSAGE_ORACLES,
     }

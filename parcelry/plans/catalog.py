@@ -15,8 +15,10 @@ from parcelry.functions.decode import creation_time, creation_time_ms, decode_me
 from parcelry.functions.formats import timestamp_text
 from parcelry.functions.rules import item_violations
 from parcelry.operators import documents as doc
+from parcelry.operators import normalize as norm
 from parcelry.operators import outcomes as out
 from parcelry.sources.messages import order_messages
+from parcelry.sources.tables import item_lines, load, order_base, order_headers
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +29,91 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc.order_documents(doc.order_facts(spark, sf_dir))
 
 
+def _text_times(df: DataFrame, cols=("date_created", "created_at", "updated_at")) -> DataFrame:
+    return df.select(*[timestamp_text(F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def _items_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = doc.items_per_order(item_lines(spark, sf_dir))
+    return norm.items_rows(lists.select(F.concat(F.lit("ord"), F.col("order_key")).alias("order_uid"), "items"))
+
+
+def orders_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_times(norm.orders_rows(order_base(spark, sf_dir)))
+
+
+def deliveries_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm.deliveries_rows(order_headers(spark, sf_dir))
+
+
+def payments_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm.payments_rows(order_base(spark, sf_dir))
+
+
+def items_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _items_table(spark, sf_dir)
+
+
+def order_documents_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1, J2, J3a literally: the four normalised tables joined on order_uid."""
+    base = order_base(spark, sf_dir)
+    return doc.assemble_documents(norm.orders_rows(base), norm.deliveries_rows(order_headers(spark, sf_dir)),
+                                  norm.payments_rows(base), _items_table(spark, sf_dir))
+
+
+def items_per_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = doc.items_per_order(item_lines(spark, sf_dir))
+    return lists.select(F.concat(F.lit("ord"), F.col("order_key")).alias("order_uid"),
+                        F.size("items").alias("n_items"), F.to_json("items").alias("items_json"))
+
+
+def order_by_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch point lookup: the documents of every order key the access log asks for."""
+    keys = load(spark, sf_dir, "events").select(F.col("user_id").alias("order_key"))
+    return doc.order_documents_for_keys(spark, sf_dir, keys)
+
+
+def order_item_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc.order_item_flat(doc.order_facts(spark, sf_dir))
+
+
+def order_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc.order_summary(doc.order_facts(spark, sf_dir))
+
+
+def order_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc.order_sizes(doc.order_facts(spark, sf_dir))
+
+
+def latest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc.latest_orders(spark, sf_dir, doc.PRELOAD_SIZE)
+
+
+def hot_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc.hot_orders(spark, sf_dir, doc.PRELOAD_SIZE, doc.CACHE_MAX_ENTRY_BYTES)
+
+
+# Fixed migration time used when replaying the additive migration offline.
+MIGRATION_TS = "2024-01-01 00:00:00"
+
+
+def orders_with_audit_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-migration order rows (no audit columns) after the up-migration."""
+    old = norm.without_audit_columns(norm.orders_rows(order_base(spark, sf_dir)))
+    return _text_times(norm.with_audit_columns(old, F.to_timestamp(F.lit(MIGRATION_TS))))
+
+
+def orphan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm.orphan_children(_items_table(spark, sf_dir), norm.orders_rows(order_base(spark, sf_dir))).select(
+        "order_uid", "item_pos", "chrt_id")
+
+
+def orphan_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders rows lacking their delivery row (J1 would drop them)."""
+    o = norm.orders_rows(order_base(spark, sf_dir))
+    return norm.orders_missing(o, norm.deliveries_rows(order_headers(spark, sf_dir))).select("order_uid")
+
+
 # ---------------------------------------------------------------- messages
 
 def synthetic_order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +199,21 @@ def message_creation_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog() -> dict[str, Builder]:
     return {
         "order_documents": order_documents,
+        "orders_rows": orders_rows,
+        "deliveries_rows": deliveries_rows,
+        "payments_rows": payments_rows,
+        "items_rows": items_rows,
+        "order_documents_from_tables": order_documents_from_tables,
+        "items_per_order": items_per_order,
+        "order_by_uid": order_by_uid,
+        "order_item_flat": order_item_flat,
+        "order_summary": order_summary,
+        "order_sizes": order_sizes,
+        "latest_orders": latest_orders,
+        "hot_orders": hot_orders,
+        "orders_with_audit_columns": orders_with_audit_columns,
+        "orphan_items": orphan_items,
+        "orphan_orders": orphan_orders,
         "synthetic_order_messages": synthetic_order_messages,
         "decode_verdicts": decode_verdicts,
         "validation_verdicts": validation_verdicts,

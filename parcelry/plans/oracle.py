@@ -310,8 +310,170 @@ MESSAGE_ORACLES = {
 }
 
 
+# --------------------------------------------------------------------------
+# Normalised tables and read-side views
+# --------------------------------------------------------------------------
+
+BASE_CTE = f"""
+base AS (
+  SELECT o.o_orderkey AS k, 'ord' || o.o_orderkey AS order_uid, 'TRK' || o.o_orderkey AS track_number,
+    {pick(_ENTRIES, 'o.o_orderkey')} AS entry, {pick(_LOCALES, 'o.o_orderkey')} AS locale,
+    '' AS internal_signature, 'c' || o.o_custkey AS customer_id, o.o_orderpriority AS delivery_service,
+    CAST(o.o_orderkey % 10 + 1 AS VARCHAR) AS shard_key, o.o_custkey % 200 + 1 AS sm_id,
+    o.o_orderdate AS date_created, CAST(o.o_orderkey % 5 + 1 AS VARCHAR) AS oof_shard,
+    'ord' || o.o_orderkey AS transaction, '' AS request_id,
+    {pick(_CURRENCIES, 'o.o_orderkey')} AS currency, {pick(_PROVIDERS, 'o.o_orderkey')} AS provider,
+    CAST(round(o.o_totalprice * 100) AS BIGINT) AS amount, CAST(epoch(o.o_orderdate) AS BIGINT) AS payment_dt,
+    {pick(_BANKS, 'o.o_orderkey')} AS bank, o.o_orderkey % 2000 AS delivery_cost,
+    CAST(round(o.o_totalprice * 100) AS BIGINT) AS goods_total, o.o_orderkey % 100 AS custom_fee
+  FROM orders o
+)"""
+
+ORDERS_ROWS = f"""
+WITH {BASE_CTE}
+SELECT order_uid, track_number, entry, locale, internal_signature, customer_id, delivery_service,
+  shard_key, sm_id, {ts_text('date_created')} AS date_created, oof_shard,
+  {ts_text('date_created')} AS created_at, {ts_text('date_created')} AS updated_at
+FROM base
+"""
+
+DELIVERIES_ROWS = f"""
+WITH {HEADERS_CTE}
+SELECT order_uid, d_name AS name, d_phone AS phone, d_zip AS zip, d_city AS city,
+  d_address AS address, d_region AS region, d_email AS email
+FROM hdr
+"""
+
+PAYMENTS_ROWS = f"""
+WITH {BASE_CTE}
+SELECT order_uid, transaction, request_id, currency, provider, amount, payment_dt, bank,
+  delivery_cost, goods_total, custom_fee
+FROM base
+"""
+
+ITEMS_ROWS = f"""
+WITH {LINES_CTE}
+SELECT 'ord' || k AS order_uid,
+  CAST(row_number() OVER (PARTITION BY k ORDER BY {ITEM_ORDER}) - 1 AS INTEGER) AS item_pos,
+  chrt_id, item_track_number AS track_number, price, rid, item_name AS name, sale, size,
+  total_price, nm_id, brand, status
+FROM lines
+"""
+
+ITEMS_PER_ORDER = f"""
+WITH {LINES_CTE}, {ITEMS_CTE}
+SELECT 'ord' || k AS order_uid, n_items, items_json FROM items
+"""
+
+ORDER_BY_UID = f"""
+WITH {HEADERS_CTE}, {LINES_CTE}, {ITEMS_CTE}
+SELECT h.order_uid, {document_sql()} AS document
+FROM hdr h LEFT JOIN items i ON i.k = h.k
+WHERE h.k IN (SELECT user_id FROM events)
+"""
+
+FLAT_ORDER_COLS = """h.order_uid, h.track_number AS order_track_number, h.entry, h.locale,
+  h.internal_signature, h.customer_id, h.delivery_service, h.shardkey AS shard_key, h.sm_id,
+  {dc} AS date_created, h.oof_shard,
+  h.d_name AS delivery_name, h.d_phone AS phone, h.d_zip AS zip, h.d_city AS city,
+  h.d_address AS address, h.d_region AS region, h.d_email AS email,
+  h.p_transaction AS transaction, h.p_request_id AS request_id, h.p_currency AS currency,
+  h.p_provider AS provider, h.p_amount AS amount, h.p_payment_dt AS payment_dt, h.p_bank AS bank,
+  h.p_delivery_cost AS delivery_cost, h.p_goods_total AS goods_total, h.p_custom_fee AS custom_fee""".format(
+    dc=ts_text("h.date_created"))
+
+ORDER_ITEM_FLAT = f"""
+WITH {HEADERS_CTE}, {LINES_CTE},
+pos AS (SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY {ITEM_ORDER}) - 1 AS INTEGER) AS item_pos FROM lines)
+SELECT {FLAT_ORDER_COLS}, l.item_pos,
+  l.chrt_id, l.item_track_number, l.price, l.rid, l.item_name, l.sale, l.size, l.total_price,
+  l.nm_id, l.brand, l.status
+FROM hdr h LEFT JOIN pos l ON l.k = h.k
+"""
+
+ORDER_SUMMARY = f"""
+WITH {HEADERS_CTE}, {LINES_CTE}, {ITEMS_CTE}
+SELECT {FLAT_ORDER_COLS}, CAST(COALESCE(i.n_items, 0) AS INTEGER) AS n_items
+FROM hdr h LEFT JOIN items i ON i.k = h.k
+"""
+
+_SIZE_ITEMS_CTE = """
+isz AS (
+  SELECT k, count(*) AS n, sum(strlen(item_track_number) + strlen(rid) + strlen(item_name)
+                              + strlen(size) + strlen(brand)) AS txt
+  FROM lines GROUP BY k
+)"""
+
+SIZE_SQL = """(440 + strlen(h.order_uid) + strlen(h.track_number) + strlen(h.entry) + strlen(h.locale)
+  + strlen(h.internal_signature) + strlen(h.customer_id) + strlen(h.delivery_service)
+  + strlen(h.shardkey) + strlen(h.oof_shard)
+  + strlen(h.d_name) + strlen(h.d_phone) + strlen(h.d_zip) + strlen(h.d_city) + strlen(h.d_address)
+  + strlen(h.d_region) + strlen(h.d_email)
+  + strlen(h.p_transaction) + strlen(h.p_request_id) + strlen(h.p_currency) + strlen(h.p_provider)
+  + strlen(h.p_bank) + 128 * COALESCE(s.n, 0) + COALESCE(s.txt, 0))"""
+
+ORDER_SIZES = f"""
+WITH {HEADERS_CTE}, {LINES_CTE}, {_SIZE_ITEMS_CTE}
+SELECT h.order_uid, CAST({SIZE_SQL} AS BIGINT) AS size_bytes
+FROM hdr h LEFT JOIN isz s ON s.k = h.k
+"""
+
+LATEST_ORDERS = f"""
+WITH {HEADERS_CTE}, {LINES_CTE}, {ITEMS_CTE}, {_SIZE_ITEMS_CTE},
+top AS (SELECT * FROM hdr ORDER BY updated_at DESC NULLS FIRST, order_uid LIMIT 250)
+SELECT CAST(row_number() OVER (ORDER BY h.updated_at DESC NULLS FIRST, h.order_uid) AS INTEGER) AS rank,
+  h.order_uid, {document_sql()} AS document, CAST({SIZE_SQL} AS BIGINT) AS size_bytes
+FROM top h LEFT JOIN items i ON i.k = h.k LEFT JOIN isz s ON s.k = h.k
+"""
+
+HOT_ORDERS = f"""
+SELECT * FROM ({LATEST_ORDERS}) t WHERE size_bytes <= 1048576
+"""
+
+ORDERS_WITH_AUDIT_COLUMNS = f"""
+WITH {BASE_CTE}
+SELECT order_uid, track_number, entry, locale, internal_signature, customer_id, delivery_service,
+  shard_key, sm_id, {ts_text('date_created')} AS date_created, oof_shard,
+  '2024-01-01T00:00:00+00:00' AS created_at, '2024-01-01T00:00:00+00:00' AS updated_at
+FROM base
+"""
+
+ORPHAN_ITEMS = f"""
+WITH {LINES_CTE},
+pos AS (SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY {ITEM_ORDER}) - 1 AS INTEGER) AS item_pos FROM lines)
+SELECT 'ord' || k AS order_uid, item_pos, chrt_id FROM pos
+WHERE k NOT IN (SELECT o_orderkey FROM orders)
+"""
+
+ORPHAN_ORDERS = f"""
+WITH {HEADERS_CTE}
+SELECT 'ord' || o_orderkey AS order_uid FROM orders WHERE o_orderkey NOT IN (SELECT k FROM hdr)
+"""
+
+TABLE_ORACLES = {
+    "orders_rows": ORDERS_ROWS,
+    "deliveries_rows": DELIVERIES_ROWS,
+    "payments_rows": PAYMENTS_ROWS,
+    "items_rows": ITEMS_ROWS,
+    "order_documents_from_tables": ORDER_DOCUMENTS,
+    "items_per_order": ITEMS_PER_ORDER,
+    "order_by_uid": ORDER_BY_UID,
+    "order_item_flat": ORDER_ITEM_FLAT,
+    "order_summary": ORDER_SUMMARY,
+    "order_sizes": ORDER_SIZES,
+    "latest_orders": LATEST_ORDERS,
+    "hot_orders": HOT_ORDERS,
+    "orders_with_audit_columns": ORDERS_WITH_AUDIT_COLUMNS,
+    "orphan_items": ORPHAN_ITEMS,
+    "orphan_orders": ORPHAN_ORDERS,
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "order_documents": ORDER_DOCUMENTS,
         **MESSAGE_ORACLES,
+        **TABLE_ORACLES,
     }
+
+

@@ -59,34 +59,14 @@ def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounded_broadcast(g)
 
 
-def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order with every order, delivery and payment field.
-
-    Plan: orders join customer on the customer key (shuffle join at scale,
-    both sides grow with the data), then the guarded broadcast of the
-    nation/region dimension.  Only the needed columns reach the scans.
-    """
-    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
-    c = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    g = geo(spark, sf_dir)
-    j = o.join(c, o.o_custkey == c.c_custkey, "inner").join(g, F.col("c_nationkey") == g.n_nationkey, "inner")
-    k = F.col("o_orderkey")
-    ck = F.col("c_custkey")
+def _order_fields(k: Column) -> list[Column]:
+    """Order-level and payment fields, all computed from the orders row."""
     amount = cents(F.col("o_totalprice"))
-    return j.select(
+    return [
         k.alias("order_key"),
         F.concat(F.lit("ord"), k).alias("order_uid"),
         F.concat(F.lit("TRK"), k).alias("track_number"),
         pick(ENTRIES, k).alias("entry"),
-        F.struct(
-            F.col("c_name").alias("name"),
-            F.concat(F.lit("+7"), F.lpad(ck.cast("string"), 10, "0")).alias("phone"),
-            F.lpad((ck % 1000000).cast("string"), 6, "0").alias("zip"),
-            F.col("n_name").alias("city"),
-            F.col("c_mktsegment").alias("address"),
-            F.col("r_name").alias("region"),
-            F.concat(F.lit("c"), ck, F.lit("@example.com")).alias("email"),
-        ).alias("delivery"),
         F.struct(
             F.concat(F.lit("ord"), k).alias("transaction"),
             F.lit("").alias("request_id"),
@@ -109,9 +89,46 @@ def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 5 + 1).cast("string").alias("oof_shard"),
         F.col("o_orderdate").alias("created_at"),
         F.col("o_orderdate").alias("updated_at"),
+    ]
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+def order_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order and payment fields from the orders table alone (no join)."""
+    return _orders(spark, sf_dir).select(*_order_fields(F.col("o_orderkey")))
+
+
+def _delivery(ck: Column) -> Column:
+    return F.struct(
+        F.col("c_name").alias("name"),
+        F.concat(F.lit("+7"), F.lpad(ck.cast("string"), 10, "0")).alias("phone"),
+        F.lpad((ck % 1000000).cast("string"), 6, "0").alias("zip"),
+        F.col("n_name").alias("city"),
+        F.col("c_mktsegment").alias("address"),
+        F.col("r_name").alias("region"),
+        F.concat(F.lit("c"), ck, F.lit("@example.com")).alias("email"),
     )
 
 
+def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order with every order, delivery and payment field.
+
+    Plan: orders join customer on the customer key (shuffle join at scale,
+    both sides grow with the data), then the guarded broadcast of the
+    nation/region dimension.  Only the needed columns reach the scans.
+    """
+    o = _orders(spark, sf_dir)
+    c = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    g = geo(spark, sf_dir)
+    j = o.join(c, o.o_custkey == c.c_custkey, "inner").join(g, F.col("c_nationkey") == g.n_nationkey, "inner")
+    fields = _order_fields(F.col("o_orderkey"))
+    return j.select(*fields[:4], _delivery(F.col("c_custkey")).alias("delivery"), *fields[4:])
+
+
 def item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line item: ``order_key``, sort keys and the item struct.
 

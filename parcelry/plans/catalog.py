@@ -17,6 +17,8 @@ from parcelry.functions.rules import item_violations
 from parcelry.operators import documents as doc
 from parcelry.operators import normalize as norm
 from parcelry.operators import outcomes as out
+from parcelry.operators import series as ser
+from parcelry.sources import oplogs
 from parcelry.sources.messages import order_messages
 from parcelry.sources.tables import item_lines, load, order_base, order_headers
 
@@ -196,6 +198,137 @@ def message_creation_time(spark: SparkSession, sf_dir: str) -> DataFrame:
                     timestamp_text(creation_time(h)).alias("created_at"))
 
 
+# ---------------------------------------------------------------- series
+
+def _ts(df: DataFrame, *cols: str) -> DataFrame:
+    return df.select(*[timestamp_text(F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def _routed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = oplogs.request_log(spark, sf_dir)
+    return r.withColumn("path", ser.normalized_path(F.col("path")))
+
+
+def normalized_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = oplogs.request_log(spark, sf_dir).select(F.lit("request").alias("source"), F.col("event_id").alias("id"), "path")
+    p = oplogs.page_paths(spark, sf_dir).select(F.lit("page").alias("source"), F.col("page_id").alias("id"),
+                                                ser.url_path(F.col("url")).alias("path"))
+    u = r.unionByName(p)
+    return u.select("source", "id", "path", ser.normalized_path(F.col("path")).alias("route"))
+
+
+def path_order_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = oplogs.request_log(spark, sf_dir)
+    return r.select("event_id", "path", ser.path_order_uid(F.col("path")).alias("order_uid"))
+
+
+def requests_by_route_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ser.requests_by_route(oplogs.request_log(spark, sf_dir))
+
+
+def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["method", "path"]
+    return ser.histogram_rows(ser.histogram(_routed_requests(spark, sf_dir), "seconds", keys), keys)
+
+
+def hit_miss_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ser.hit_miss_counts(oplogs.lookup_log(spark, sf_dir))
+
+
+def transient_error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = oplogs.outcome_log(spark, sf_dir)
+    return o.agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("status") == "error").alias("transient_errors"))
+
+
+def request_rate_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ts(ser.window_rate(_routed_requests(spark, sf_dir), "ts", ["method", "path", "code"]), "window_start")
+
+
+def outcome_rate_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ts(ser.window_rate(oplogs.outcome_log(spark, sf_dir), "ts", ["status"]), "window_start")
+
+
+def dead_letter_rate_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = oplogs.outcome_log(spark, sf_dir).filter(F.col("reason").isNotNull())
+    return _ts(ser.window_rate(o, "ts", ["reason"]), "window_start")
+
+
+def hit_miss_rate_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = oplogs.lookup_log(spark, sf_dir).withColumn("result", F.when(F.col("hit"), "hit").otherwise("miss"))
+    return _ts(ser.window_rate(h, "ts", ["result"]), "window_start")
+
+
+def error_rate_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = oplogs.outcome_log(spark, sf_dir).filter(F.col("status") == "error")
+    return _ts(ser.window_rate(o, "ts", []), "window_start")
+
+
+def p95_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = ser.histogram(_routed_requests(spark, sf_dir), "seconds", ["path"])
+    return h.select("path", F.round(ser.histogram_quantile(0.95, F.col("cum")), 6).alias("p95"))
+
+
+def histogram_quantile_95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["method", "path", "code"]
+    h = ser.histogram(_routed_requests(spark, sf_dir), "seconds", keys)
+    return h.select(*keys, F.round(ser.histogram_quantile(0.95, F.col("cum")), 6).alias("p95"))
+
+
+def consumer_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ser.consumer_lag(oplogs.partition_offsets(spark, sf_dir))
+
+
+def latest_gauge_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = ser.latest_non_null(oplogs.status_samples(spark, sf_dir))
+    return _ts(g.select("series", "value", ser.status_text(F.col("value")).alias("status"), "ts"), "ts")
+
+
+def _gauge_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """100 * (1 - value / capacity), capacity = the series' largest value
+    (a second gauge joined on the series key)."""
+    g = oplogs.gauge_samples(spark, sf_dir)
+    cap = g.groupBy("series").agg(F.max("value").alias("capacity"))
+    j = g.join(cap, "series", "inner")
+    pct = F.round(F.lit(100.0) * (F.lit(1.0) - F.try_divide(F.col("value"), F.col("capacity"))), 6)
+    return j.select("series", "ts", pct.alias("pct"))
+
+
+def gauge_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ts(_gauge_pct(spark, sf_dir), "ts")
+
+
+def gauge_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _gauge_pct(spark, sf_dir)
+    return _ts(g.withColumn("band", ser.gauge_band(F.col("pct"))), "ts")
+
+
+def counter_increase_with_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ts(ser.counter_increase(oplogs.counter_samples(spark, sf_dir)), "window_start")
+
+
+def counter_rate_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inc = ser.counter_increase(oplogs.counter_samples(spark, sf_dir))
+    g = inc.groupBy((F.col("series") % 8).alias("instance"), "window_start").agg(
+        F.round(F.sum("increase") / ser.RANGE_SECONDS, 6).alias("rate"))
+    return _ts(g, "window_start")
+
+
+def irate_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = ser.counter_irate(oplogs.counter_samples(spark, sf_dir))
+    g = r.groupBy((F.col("series") % 8).alias("instance"), "window_start").agg(
+        F.round(F.lit(100.0) - F.avg("irate") * 100, 6).alias("cpu_pct"))
+    return _ts(g, "window_start")
+
+
+def trailing_5m_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = load(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("key"), "ts")
+    return ser.trailing_count(x, "key", "ts").select("event_id", "key", "n_trailing")
+
+
+def recently_used_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ts(ser.recently_used(oplogs.access_log(spark, sf_dir), doc.CACHE_CAPACITY), "last_ts")
+
+
 def catalog() -> dict[str, Builder]:
     return {
         "order_documents": order_documents,
@@ -227,4 +360,26 @@ def catalog() -> dict[str, Builder]:
         "duplicate_orders": duplicate_orders,
         "first_order_per_uid": first_order_per_uid,
         "message_creation_time": message_creation_time,
+        "normalized_paths": normalized_paths,
+        "path_order_uid": path_order_uid,
+        "requests_by_route_code": requests_by_route_code,
+        "latency_histogram": latency_histogram,
+        "hit_miss_counts": hit_miss_counts,
+        "transient_error_counts": transient_error_counts,
+        "request_rate_5m": request_rate_5m,
+        "outcome_rate_5m": outcome_rate_5m,
+        "dead_letter_rate_5m": dead_letter_rate_5m,
+        "hit_miss_rate_5m": hit_miss_rate_5m,
+        "error_rate_5m": error_rate_5m,
+        "p95_by_group": p95_by_group,
+        "histogram_quantile_95": histogram_quantile_95,
+        "consumer_lag": consumer_lag,
+        "latest_gauge_status": latest_gauge_status,
+        "gauge_ratio": gauge_ratio,
+        "gauge_bands": gauge_bands,
+        "counter_increase_with_resets": counter_increase_with_resets,
+        "counter_rate_by_series": counter_rate_by_series,
+        "irate_by_series": irate_by_series,
+        "trailing_5m_count": trailing_5m_count,
+        "recently_used_keys": recently_used_keys,
     }

@@ -469,11 +469,191 @@ TABLE_ORACLES = {
 }
 
 
+
+# --------------------------------------------------------------------------
+# Operational logs from events (FIXTURES.md B3)
+# --------------------------------------------------------------------------
+
+def bucket(col: str, seconds: int) -> str:
+    step = seconds * 1000000
+    return f"make_timestamp(CAST(floor(epoch_us({col}) / {step}) * {step} AS BIGINT))"
+
+
+LOGS_CTE = """
+outc AS (
+  SELECT event_id, ts,
+    CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 'valid'
+         WHEN event_type = 'signup' THEN 'invalid' WHEN event_type = 'error' THEN 'error' END AS status,
+    CASE WHEN event_type = 'signup' THEN 'invalid_order' WHEN event_type = 'error' THEN 'unhandled_error' END AS reason
+  FROM events
+),
+req AS (
+  SELECT event_id, ts, 'GET' AS method,
+    CASE WHEN event_type = 'signup' THEN '/home' ELSE '/orders/' || user_id END AS raw_path,
+    CASE WHEN event_type = 'signup' THEN '/home' ELSE '/orders/:id' END AS path,
+    CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS code,
+    value / 1000 AS seconds
+  FROM events
+),
+look AS (SELECT event_id, ts, event_id % 3 <> 0 AS hit FROM events)"""
+
+_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
+_CUM = "[" + ", ".join(f"count_if(seconds <= {b})" for b in _BOUNDS) + ", count(*)]"
+_LES = "[" + ", ".join(f"'{b}'" for b in _BOUNDS) + ", '+Inf']"
+_BND = "[" + ", ".join(str(b) for b in _BOUNDS) + "]"
+
+
+def window_rate_sql(src: str, keys: list[str], where: str = "true") -> str:
+    k = ", ".join(keys)
+    kc = (k + ", ") if keys else ""
+    return f"""
+WITH {LOGS_CTE},
+b AS (SELECT {bucket('ts', 60)} AS b, {kc}count(*) AS n FROM {src} WHERE {where} GROUP BY ALL),
+f AS (SELECT b - to_microseconds(CAST(j * 60000000 AS BIGINT)) AS ws, {kc}n FROM b, range(5) t(j))
+SELECT {ts_text('ws')} AS window_start, {kc}sum(n) AS n, round(sum(n) / 300, 6) AS rate
+FROM f GROUP BY ws{', ' + k if keys else ''}
+"""
+
+
+def quantile_sql(keys: list[str]) -> str:
+    k = ", ".join(keys)
+    n = len(_BOUNDS)
+    return f"""
+WITH {LOGS_CTE},
+h AS (SELECT {k}, {_CUM} AS cum, count(*) AS total FROM req GROUP BY {k}),
+x AS (SELECT *, 0.95 * total AS rnk,
+        list_position(list_transform(cum, lambda c: CAST(c AS DOUBLE) >= 0.95 * total), true) AS idx FROM h)
+SELECT {k}, round(CASE
+    WHEN total <= 0 THEN 'nan'::DOUBLE
+    WHEN idx > {n} THEN {_BND}[{n}]
+    ELSE (CASE WHEN idx <= 1 THEN 0.0 ELSE {_BND}[idx - 1] END)
+         + ({_BND}[idx] - CASE WHEN idx <= 1 THEN 0.0 ELSE {_BND}[idx - 1] END)
+           * (rnk - CASE WHEN idx <= 1 THEN 0.0 ELSE cum[idx - 1] END)
+           / (cum[idx] - CASE WHEN idx <= 1 THEN 0.0 ELSE cum[idx - 1] END)
+  END, 6) AS p95
+FROM x
+"""
+
+
+COUNTER_CTE = f"""
+s AS (SELECT user_id AS series, ts, CAST(event_id % 500 AS DOUBLE) AS v, {bucket('ts', 300)} AS ws FROM events),
+d AS (SELECT *, lag(v) OVER w AS pv, lag(ts) OVER w AS pts,
+        row_number() OVER (PARTITION BY series, ws ORDER BY ts DESC) AS rn
+      FROM s WINDOW w AS (PARTITION BY series, ws ORDER BY ts)),
+dd AS (SELECT *, CASE WHEN pv IS NULL THEN NULL WHEN v < pv THEN v ELSE v - pv END AS delta FROM d),
+inc AS (SELECT series, ws, CAST(COALESCE(sum(delta), 0) AS DOUBLE) AS increase, count(*) AS n_samples
+        FROM dd GROUP BY series, ws)"""
+
+GAUGE_CTE = """
+g AS (SELECT user_id AS series, ts, round(value) AS v FROM events),
+cap AS (SELECT series, max(v) AS capacity FROM g GROUP BY series),
+pct AS (SELECT g.series, g.ts, round(100.0 * (1.0 - g.v / NULLIF(cap.capacity, 0)), 6) AS pct
+        FROM g JOIN cap ON g.series = cap.series)"""
+
+SERIES_ORACLES = {
+    "normalized_paths": f"""
+WITH {LOGS_CTE},
+u AS (SELECT 'request' AS source, event_id AS id, raw_path AS path FROM req
+      UNION ALL
+      SELECT 'page', page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) FROM pages)
+SELECT source, id, path, CASE WHEN starts_with(path, '/orders/') THEN '/orders/:id' ELSE path END AS route FROM u
+""",
+    "path_order_uid": f"""
+WITH {LOGS_CTE}
+SELECT event_id, raw_path AS path,
+  CASE WHEN starts_with(raw_path, '/orders/') THEN NULLIF(substr(raw_path, 9), '') END AS order_uid
+FROM req
+""",
+    "requests_by_route_code": f"""
+WITH {LOGS_CTE}
+SELECT method, path, code, count(*) AS n FROM req GROUP BY method, path, code
+""",
+    "latency_histogram": f"""
+WITH {LOGS_CTE},
+h AS (SELECT method, path, {_CUM} AS cum, count(*) AS total, round(sum(seconds), 6) AS sum_value
+      FROM req GROUP BY method, path)
+SELECT method, path, {_LES}[i] AS le, cum[i] AS cum_count, total AS total_count, sum_value
+FROM h, range(1, {len(_BOUNDS) + 2}) t(i)
+""",
+    "hit_miss_counts": f"""
+WITH {LOGS_CTE}
+SELECT count_if(hit) AS hits, count_if(NOT hit) AS misses,
+  round(count_if(hit) / greatest(count(*), 1), 6) AS hit_ratio FROM look
+""",
+    "transient_error_counts": f"""
+WITH {LOGS_CTE}
+SELECT count(*) AS attempts, count_if(status = 'error') AS transient_errors FROM outc
+""",
+    "request_rate_5m": window_rate_sql("req", ["method", "path", "code"]),
+    "outcome_rate_5m": window_rate_sql("outc", ["status"]),
+    "dead_letter_rate_5m": window_rate_sql("outc", ["reason"], "reason IS NOT NULL"),
+    "hit_miss_rate_5m": window_rate_sql("(SELECT ts, CASE WHEN hit THEN 'hit' ELSE 'miss' END AS result FROM look)", ["result"]),
+    "error_rate_5m": window_rate_sql("outc", [], "status = 'error'"),
+    "p95_by_group": quantile_sql(["path"]),
+    "histogram_quantile_95": quantile_sql(["method", "path", "code"]),
+    "consumer_lag": """
+WITH p AS (
+  SELECT CAST(user_id % 8 AS INTEGER) AS "partition", min(event_id) AS low, max(event_id) + 1 AS high,
+    max(CASE WHEN event_type = 'purchase' THEN event_id END) AS c
+  FROM events GROUP BY 1)
+SELECT 'orders' AS topic, "partition",
+  CAST(greatest(0, CASE WHEN (CASE WHEN "partition" = 0 THEN -1 ELSE COALESCE(c, -1) END) < 0 THEN high - low
+                        ELSE high - c END) AS BIGINT) AS lag
+FROM p
+""",
+    "latest_gauge_status": f"""
+WITH st AS (SELECT user_id AS series, ts, CASE WHEN event_id % 7 <> 0 THEN CAST(event_id % 2 AS DOUBLE) END AS v FROM events)
+SELECT series, arg_max(v, ts) AS value,
+  CASE WHEN arg_max(v, ts) = 0 THEN 'FAIL' WHEN arg_max(v, ts) = 1 THEN 'OK' END AS status,
+  {ts_text('max(ts)')} AS ts
+FROM st WHERE v IS NOT NULL GROUP BY series
+""",
+    "gauge_ratio": f"""
+WITH {GAUGE_CTE}
+SELECT series, {ts_text('ts')} AS ts, pct FROM pct
+""",
+    "gauge_bands": f"""
+WITH {GAUGE_CTE}
+SELECT series, {ts_text('ts')} AS ts, pct,
+  CASE WHEN pct >= 90 THEN 'red' WHEN pct >= 80 THEN 'orange' WHEN pct IS NOT NULL THEN 'green' END AS band
+FROM pct
+""",
+    "counter_increase_with_resets": f"""
+WITH {COUNTER_CTE}
+SELECT series, {ts_text('ws')} AS window_start, increase, n_samples, round(increase / 300, 6) AS rate FROM inc
+""",
+    "counter_rate_by_series": f"""
+WITH {COUNTER_CTE}
+SELECT series % 8 AS instance, {ts_text('ws')} AS window_start, round(sum(increase) / 300, 6) AS rate
+FROM inc GROUP BY series % 8, ws
+""",
+    "irate_by_series": f"""
+WITH {COUNTER_CTE},
+ir AS (SELECT series, ws, round(delta / ((epoch_us(ts) - epoch_us(pts)) / 1e6), 6) AS irate
+       FROM dd WHERE rn = 1 AND delta IS NOT NULL)
+SELECT series % 8 AS instance, {ts_text('ws')} AS window_start, round(100.0 - avg(irate) * 100, 6) AS cpu_pct
+FROM ir GROUP BY series % 8, ws
+""",
+    "trailing_5m_count": """
+SELECT event_id, user_id AS key,
+  count(*) OVER (PARTITION BY user_id ORDER BY ts
+                 RANGE BETWEEN INTERVAL '299999999 microseconds' PRECEDING AND CURRENT ROW) AS n_trailing
+FROM events
+""",
+    "recently_used_keys": f"""
+WITH l AS (SELECT user_id AS key, max(ts) AS last_ts FROM events GROUP BY user_id
+           ORDER BY last_ts DESC, key LIMIT 500)
+SELECT CAST(row_number() OVER (ORDER BY last_ts DESC, key) AS INTEGER) AS rank, key, {ts_text('last_ts')} AS last_ts FROM l
+""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "order_documents": ORDER_DOCUMENTS,
         **MESSAGE_ORACLES,
         **TABLE_ORACLES,
+        **SERIES_ORACLES,
     }
 
 

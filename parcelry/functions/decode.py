@@ -17,7 +17,7 @@ projection so that no parse is repeated per field.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from parcelry import schemas
 from parcelry.plans.guards import bind
@@ -85,8 +85,9 @@ def _time_text(v: Column) -> Column:
 
 
 def _time_ok(v: Column) -> Column:
+    """Null, or RFC 3339 text that is a real instant (type checked by the schema)."""
     t = _time_text(v)
-    return _is_null(v) | ((_vtype(v) == "STRING") & t.rlike(RFC3339) & F.try_to_timestamp(t).isNotNull())
+    return _is_null(v) | (t.rlike(RFC3339) & F.try_to_timestamp(t).isNotNull())
 
 
 def _time(v: Column) -> Column:
@@ -97,6 +98,40 @@ def _struct(m: Column, fields: list[str], ints: set[str]) -> Column:
     return F.struct(*[(_int(m[f]) if f in ints else _text(m[f])).alias(f) for f in fields])
 
 
+# --------------------------------------------------------------------------
+# One-call type check: the variant schema of the whole document against a
+# pattern built from the fixed schema.  Key order in the schema text is
+# sorted, array element schemas are merged (so one bad item shows), JSON null
+# is VOID; a wrong type (DECIMAL, DOUBLE, BOOLEAN, a merged VARIANT ...) or an
+# unknown nested key simply does not match.
+# --------------------------------------------------------------------------
+
+_S, _I = "(?:STRING|VOID)", "(?:BIGINT|VOID)"
+
+
+def _obj_pattern(fields: list[tuple[str, str]], nested: bool) -> str:
+    key = (lambda k: f"(?i:{k})") if nested else (lambda k: k)
+    one = "(?:" + "|".join(f"{key(k)}: {t}" for k, t in fields) + ")"
+    return f"OBJECT<(?:{one}(?:, {one})*)?>"
+
+
+def _level(fields: list[str], ints: set[str], nested: bool = True) -> str:
+    return _obj_pattern([(f, _I if f in ints else _S) for f in fields], nested)
+
+
+def schema_pattern() -> str:
+    """Pattern the variant schema of a decodable order must match."""
+    delivery = f"(?:VOID|{_level(schemas.DELIVERY_FIELDS, set())})"
+    payment = f"(?:VOID|{_level(schemas.PAYMENT_FIELDS, schemas.PAYMENT_INTS)})"
+    items = f"(?:VOID|ARRAY<(?:VOID|{_level(schemas.ITEM_FIELDS, schemas.ITEM_INTS)})>)"
+    special = {"delivery": delivery, "payment": payment, "items": items}
+    top = [(f, special.get(f, _I if f in schemas.ORDER_INTS else _S)) for f in schemas.ORDER_FIELDS]
+    return "^" + _obj_pattern(top, nested=False) + r"\z"
+
+
+SCHEMA_PATTERN = schema_pattern()
+
+
 def decode_messages(df: DataFrame, value_col: str = "value") -> DataFrame:
     """Append ``decode_ok`` (bool), ``decode_error`` (text or null) and
     ``order`` (the zero-filled nested order; meaningful when decode_ok).
@@ -114,52 +149,56 @@ def decode_messages(df: DataFrame, value_col: str = "value") -> DataFrame:
     m = F.col("_m")
     s2 = s1.select(
         "*",
+        F.schema_of_variant(F.to_variant_object(m)).alias("_sch"),
         _lower_keys(_object_map(m["delivery"])).alias("_dm"),
         _lower_keys(_object_map(m["payment"])).alias("_pm"),
         F.transform(F.try_variant_get(m["items"], "$", ARR_T),
                     lambda e: F.struct(e.alias("v"), _lower_keys(_object_map(e)).alias("m"))).alias("_im"),
     )
+    # Typed extraction: one variant -> struct cast per level over the
+    # lower-cased maps (types were already checked by the schema pattern).
+    top_scalars = T.StructType([f for f in schemas.ORDER.fields
+                                if f.name not in ("delivery", "payment", "items", "date_created")])
+    s2 = s2.select(
+        "*",
+        F.try_variant_get(F.to_variant_object(m), "$", top_scalars.simpleString()).alias("_tv"),
+        F.try_variant_get(F.to_variant_object(F.col("_dm")), "$", schemas.DELIVERY.simpleString()).alias("_dv"),
+        F.try_variant_get(F.to_variant_object(F.col("_pm")), "$", schemas.PAYMENT.simpleString()).alias("_pv"),
+        F.try_variant_get(F.to_variant_object(F.transform(F.col("_im"), lambda e: e["m"])), "$",
+                          T.ArrayType(schemas.ITEM).simpleString()).alias("_iv"),
+    )
     dm, pm, im = F.col("_dm"), F.col("_pm"), F.col("_im")
-    top_fields = [f for f in schemas.ORDER_FIELDS if f not in ("delivery", "payment", "items", "date_created")]
-    items_ok = _is_null(m["items"]) | (
-        im.isNotNull() & F.forall(im, lambda e: _is_null(e["v"]) | (
-            e["m"].isNotNull() & _keys_ok(e["m"], schemas.ITEM_FIELDS)
-            & _fields_ok(e["m"], schemas.ITEM_FIELDS, schemas.ITEM_INTS))))
     checks = [
         ("malformed", m.isNotNull() | F.col("_null_doc")),
         ("unknown_field", _keys_ok(m, schemas.ORDER_FIELDS)),
-        ("wrong_type", _fields_ok(m, top_fields, schemas.ORDER_INTS)),
+        ("schema", F.col("_null_doc") | F.col("_sch").rlike(SCHEMA_PATTERN)),
         ("bad_time", _time_ok(m["date_created"])),
-        ("wrong_type", _object_ok(m["delivery"]) & _object_ok(m["payment"])),
-        ("unknown_field", _keys_ok(dm, schemas.DELIVERY_FIELDS) & _keys_ok(pm, schemas.PAYMENT_FIELDS)),
-        ("wrong_type", F.coalesce(_fields_ok(dm, schemas.DELIVERY_FIELDS, set()), F.lit(True))
-         & F.coalesce(_fields_ok(pm, schemas.PAYMENT_FIELDS, schemas.PAYMENT_INTS), F.lit(True))),
-        ("bad_item", F.coalesce(items_ok, F.lit(False))),
     ]
     error = F.lit(None).cast("string")
     for name, ok in reversed(checks):
         error = F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)).otherwise(error)
-    empty = F.create_map().cast(MAP_T)
-    dmz, pmz = F.coalesce(dm, empty), F.coalesce(pm, empty)
-    items = F.transform(F.coalesce(im, F.array().cast(f"array<struct<v:variant,m:{MAP_T}>>")),
-                        lambda e: _struct(F.coalesce(e["m"], empty), schemas.ITEM_FIELDS, schemas.ITEM_INTS))
-    mz = F.coalesce(m, empty)
+    def zero(c: Column, is_int: bool) -> Column:
+        return F.coalesce(c, F.lit(0).cast("long")) if is_int else F.coalesce(c, F.lit(""))
+
+    def filled(v: Column, st: T.StructType) -> Column:
+        return F.struct(*[zero(v[f.name], isinstance(f.dataType, T.LongType)).alias(f.name) for f in st.fields])
+
+    tv, dv, pv, iv = F.col("_tv"), F.col("_dv"), F.col("_pv"), F.col("_iv")
     order_cols = []
     for f in schemas.ORDER_FIELDS:
         if f == "delivery":
-            c = _struct(dmz, schemas.DELIVERY_FIELDS, set())
+            c = filled(dv, schemas.DELIVERY)
         elif f == "payment":
-            c = _struct(pmz, schemas.PAYMENT_FIELDS, schemas.PAYMENT_INTS)
+            c = filled(pv, schemas.PAYMENT)
         elif f == "items":
-            c = items
+            c = F.transform(F.coalesce(iv, F.array().cast(T.ArrayType(schemas.ITEM).simpleString())),
+                            lambda it: filled(it, schemas.ITEM))
         elif f == "date_created":
-            c = _time(mz[f])
-        elif f in schemas.ORDER_INTS:
-            c = _int(mz[f])
+            c = _time(F.coalesce(m, F.create_map().cast(MAP_T))[f])
         else:
-            c = _text(mz[f])
+            c = zero(tv[f], f in schemas.ORDER_INTS)
         order_cols.append(c.alias(f))
-    s3 = bind(s2.select(*df.columns, "_m", "_null_doc", "_dm", "_pm", "_im"),
+    s3 = bind(s2.select(*df.columns, "_m", "_null_doc", "_sch", "_dm", "_pm", "_im", "_tv", "_dv", "_pv", "_iv"),
               error.isNull().alias("decode_ok"),
               error.alias("decode_error"),
               F.struct(*order_cols).alias("order"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parcelry import schemas
-from parcelry.operators.documents import _empty_items, order_facts, order_struct
+from parcelry.operators.documents import _empty_items, order_facts
 
 TOPIC = "orders"
 PARTITIONS = 4
@@ -39,22 +39,39 @@ def truncated_json(k: Column) -> Column:
     return F.concat(F.lit('{"order_uid": "invalid-'), k.cast("string"), F.lit('", "items": [}'))
 
 
-def corrupt(o: Column, r: Column) -> Column:
-    """Apply the corruption chosen by residue ``r`` (0-8, 11, 12) to the order."""
-    return (
-        F.when(r == 0, o.withField("delivery.phone", F.lit(BAD_PHONE)))
-        .when(r == 1, o.withField("delivery.email", F.lit(BAD_EMAIL)))
-        .when(r == 2, o.withField("payment.amount", F.lit(BAD_AMOUNT).cast("long")))
-        .when(r == 3, o.withField("locale", F.lit(BAD_LOCALE)))
-        .when(r == 4, o.withField("items", _empty_items()))
-        .when(r == 5, o.withField("shardkey", F.lit(BAD_SHARDKEY)))
-        .when(r == 6, o.withField("sm_id", F.lit(0).cast("long")))
-        .when(r == 7, o.withField("payment.goods_total", F.lit(0).cast("long")))
-        .when(r == 8, o.withField("payment.currency", F.lit(BAD_CURRENCY)))
-        .when(r == 11, o.withField("sm_id", F.lit(INT4_OVERFLOW).cast("long")))
-        .when(r == 12, o.withField("payment.payment_dt", F.lit(INT4_OVERFLOW).cast("long")))
-        .otherwise(o)
-    )
+def _at(r: Column, residue: int, bad: Column, good: Column) -> Column:
+    return F.when(r == residue, bad).otherwise(good)
+
+
+def corrupted_struct(facts: DataFrame, r: Column, extra: bool = False) -> Column:
+    """The message struct with the corruption of residue ``r`` applied field by
+    field (one struct, one CASE per touched field - not one struct per case)."""
+    d, p = F.col("delivery"), F.col("payment")
+    delivery = F.struct(*[
+        (_at(r, 0, F.lit(BAD_PHONE), d[f]) if f == "phone" else
+         _at(r, 1, F.lit(BAD_EMAIL), d[f]) if f == "email" else d[f]).alias(f)
+        for f in schemas.DELIVERY_FIELDS])
+    pay = {
+        "amount": _at(r, 2, F.lit(BAD_AMOUNT).cast("long"), p["amount"]),
+        "goods_total": _at(r, 7, F.lit(0).cast("long"), p["goods_total"]),
+        "currency": _at(r, 8, F.lit(BAD_CURRENCY), p["currency"]),
+        "payment_dt": _at(r, 12, F.lit(INT4_OVERFLOW).cast("long"), p["payment_dt"]),
+    }
+    payment = F.struct(*[pay.get(f, p[f]).alias(f) for f in schemas.PAYMENT_FIELDS])
+    top = {
+        "delivery": delivery,
+        "payment": payment,
+        "items": _at(r, 4, _empty_items(), F.col("items")),
+        "locale": _at(r, 3, F.lit(BAD_LOCALE), F.col("locale")),
+        "shardkey": _at(r, 5, F.lit(BAD_SHARDKEY), F.col("shardkey")),
+        "sm_id": F.when(r == 6, F.lit(0).cast("long")).when(r == 11, F.lit(INT4_OVERFLOW).cast("long"))
+                  .otherwise(F.col("sm_id")),
+        "date_created": message_time_text(F.col("date_created")),
+    }
+    cols = [top.get(f, F.col(f)).alias(f) for f in schemas.ORDER_FIELDS]
+    if extra:
+        cols.append(F.lit(EXTRA_FIELD[1]).alias(EXTRA_FIELD[0]))
+    return F.struct(*cols)
 
 
 def stamp_headers(ms: Column) -> Column:
@@ -79,11 +96,9 @@ def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = order_facts(spark, sf_dir)
     k = F.col("order_key")
     r = k % 20
-    o = order_struct(facts).withField("date_created", message_time_text(F.col("date_created")))
-    bad = corrupt(o, r)
     text = (
-        F.when(r == 10, F.to_json(bad.withField(EXTRA_FIELD[0], F.lit(EXTRA_FIELD[1]))))
-        .otherwise(F.to_json(bad))
+        F.when(r == 10, F.to_json(corrupted_struct(facts, r, extra=True)))
+        .otherwise(F.to_json(corrupted_struct(facts, r)))
     )
     gibberish = F.unhex(F.sha2(F.concat(F.lit("ord"), k.cast("string")), 256))
     value = (

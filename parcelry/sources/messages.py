@@ -133,16 +133,17 @@ def json_array_messages(spark: SparkSession, path: str, topic: str = TOPIC) -> D
     One file is one task (whole-text read), so keep files small or convert
     to JSON Lines first.  A file that does not parse as an array yields one
     row with a null value (reported later as a decode failure) instead of
-    the elements before the syntax error.  Elements are re-printed by
-    ``to_json`` (key order kept, spacing normalised).
+    the elements before the syntax error.  Elements are re-printed from the
+    parsed tokens (key order kept, insignificant spacing dropped).
     """
     raw = spark.read.text(path, wholetext=True).select(
         F.input_file_name().alias("file"), F.col("value").alias("text"))
-    arr = F.from_json(F.make_valid_utf8(F.col("text")), "array<variant>")
+    # array<string>: each element comes back as its own JSON text, key order kept
+    arr = F.from_json(F.make_valid_utf8(F.col("text")), "array<string>")
     x = raw.select("file", F.posexplode_outer(arr).alias("pos", "elem"))
     return x.select(
         F.lit(None).cast("binary").alias("key"),
-        F.to_json(F.col("elem")).cast("binary").alias("value"),
+        F.col("elem").cast("binary").alias("value"),
         F.array().cast("array<struct<key:string,value:binary>>").alias("headers"),
         F.lit(topic).alias("topic"),
         F.lit(0).alias("partition"),

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from parcelry import schemas
 from parcelry.functions.decode import decode_messages
 from parcelry.functions.rules import child_rows_error, order_row_error, violations
-from parcelry.plans.guards import bind
+from parcelry.plans.guards import bind, cut_lineage
 
 # Outcome labels and error texts of the original service.
 VALID, INVALID, ERROR = "valid", "invalid", "error"
@@ -74,16 +74,24 @@ def _early(c: DataFrame) -> Column:
     )
 
 
-def route(messages: DataFrame, stored_uids: DataFrame | None = None) -> DataFrame:
+def route(messages: DataFrame, stored_uids: DataFrame | None = None, materialize: bool = False) -> DataFrame:
     """One outcome row per message.
 
     ``stored_uids`` (column ``order_uid``) are uids stored by earlier
     batches; they make step 4 fire across batches.  Output: the envelope,
     ``order``, ``order_uid``, ``status``, ``reason``, ``error_text``,
     ``dead_lettered``, ``decode_error``, ``violations``.
+
+    The checked messages feed two branches (the winners aggregate and the
+    probe side of the join).  With ``materialize`` they are written once as a
+    reliable checkpoint under ``spark.checkpoint.dir`` and both branches read
+    that, instead of decoding every message twice; it also cuts the lineage,
+    so a lost executor does not re-run the decode.
     """
     c = checked_messages(messages)
     c = c.withColumn("_early", _early(c))
+    if materialize:
+        c = cut_lineage(c)
     pending = F.col("_early").isNull()
     # Join key: the uid for messages that reach step 4; for the others a
     # per-message key that can never equal a uid (uids that pass the rules

@@ -159,7 +159,7 @@ def storable_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out.route(order_messages(spark, sf_dir))
+    return out.route(order_messages(spark, sf_dir), materialize=True)
 
 
 def message_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,9 @@ def test_stream_equals_batch_and_replay(spark, scratch):
     batch_counts = {r.status: r["count"] for r in batch.groupBy("status").count().collect()}
     assert stream_counts == batch_counts
     assert log.select("topic", "partition", "offset").distinct().count() == msgs.count()
+    # Every message has a creation header, so every outcome has a latency
+    assert log.filter(F.col("latency_seconds").isNull()).count() == 0
+    assert log.filter(F.col("latency_seconds") <= 0).count() == 0
 
     stored = spark.read.parquet(os.path.join(root, "orders"))
     n_stored = stored.count()

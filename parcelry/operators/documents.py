@@ -183,17 +183,28 @@ def latest_order_keys(headers: DataFrame, n: int) -> DataFrame:
     return headers.orderBy(F.col("updated_at").desc_nulls_first(), F.col("order_uid")).limit(n)
 
 
+# Up to this many keys are pushed into the scans as a literal IN list
+# (Parquet min/max pruning); beyond it they are a broadcast semi-join.
+MAX_PUSHED_KEYS = 10_000
+
+
 def latest_orders(spark: SparkSession, sf_dir: str, n: int = PRELOAD_SIZE) -> DataFrame:
     """Documents of the latest ``n`` orders, ranked 1..n.
 
-    Reduced plan: rank the headers first, then semi-join the item lines with
-    the n chosen keys (a broadcast bounded by ``n``), so items are grouped
-    for n orders only instead of for the whole table.
+    Reduced plan: rank the headers first (TakeOrderedAndProject), take the
+    ``n`` keys - bounded by the limit, which is the feature - and push them
+    into the orders and lineitem scans, so items are grouped for n orders
+    only and row groups outside the keys' range are skipped.
     """
     top = latest_order_keys(order_headers(spark, sf_dir), n)
-    keys = F.broadcast(top.select("order_key"))  # bounded by the limit n
-    lines = item_lines(spark, sf_dir).join(keys, "order_key", "left_semi")
-    facts = with_items(top, items_per_order(lines))
+    if n <= MAX_PUSHED_KEYS:
+        keys = [r[0] for r in top.select("order_key").collect()]
+        headers = order_headers(spark, sf_dir).filter(F.col("order_key").isin(keys))
+        lines = item_lines(spark, sf_dir).filter(F.col("order_key").isin(keys))
+    else:
+        k = F.broadcast(top.select("order_key"))  # bounded by the limit n
+        headers, lines = top, item_lines(spark, sf_dir).join(k, "order_key", "left_semi")
+    facts = with_items(headers, items_per_order(lines))
     w = Window.orderBy(F.col("updated_at").desc_nulls_first(), F.col("order_uid"))
     return facts.select(
         F.row_number().over(w).alias("rank"),

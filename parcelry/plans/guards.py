@@ -26,14 +26,36 @@ def max_broadcast_rows(df: DataFrame) -> int:
     return int(v) if v else DEFAULT_MAX_BROADCAST_ROWS
 
 
+# Sides whose optimizer size estimate exceeds this are never counted: they
+# are too big to broadcast, and counting them would read the whole table.
+MAX_ESTIMATED_BYTES = 256 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of the optimized plan (file sizes scaled by
+    the projected width); None when unavailable."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect
+        return None
+
+
 def row_count_at_most(df: DataFrame, n: int) -> bool:
     """True when ``df`` has at most ``n`` rows; reads at most n + 1 per task."""
     return df.limit(n + 1).count() <= n
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only if its row count is proven <= ``max_rows``."""
+    """Broadcast ``df`` only if its row count is proven <= ``max_rows``.
+
+    Two steps: a side whose size estimate is large is left to a shuffle join
+    at once (no job); a small one is counted exactly with a bounded limit
+    before it is marked for broadcast.
+    """
     bound = max_rows if max_rows is not None else max_broadcast_rows(df)
+    est = estimated_bytes(df)
+    if est is not None and est > MAX_ESTIMATED_BYTES:
+        return df
     return F.broadcast(df) if row_count_at_most(df, bound) else df
 
 

@@ -56,6 +56,8 @@ def build_session(
     elif not os.environ.get("SPARK_MASTER") and "spark.master" not in os.environ.get("SPARK_SUBMIT_OPTS", ""):
         b = b.master("local[*]")
     b = b.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    # checkpoint files of collected DataFrames are removed by the cleaner
+    b = b.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for k, v in {**REQUIRED_CONF, **RECOMMENDED_CONF}.items():
         b = b.config(k, v)
     if shuffle_partitions:

@@ -64,3 +64,19 @@ def test_conservation_and_dead_letter_headers(spark):
     assert [h.k for h in hdr] == [schemas.DLQ_REASON_HEADER]
     # decode failures are never dead-lettered
     assert r.filter(~F.col("decode_ok") & F.col("dead_lettered")).count() == 0
+
+
+def test_hot_uid_third_of_messages(spark):
+    """One uid on a third of all messages: exactly one winner, the rest
+    already-exists; the winners aggregate combines map-side (partial agg)."""
+    t0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    vals = [order(order_uid="hot") if i % 3 == 0 else order(order_uid=f"u{i}") for i in range(300)]
+    rows = envelope_rows(vals, ts=t0)
+    df = spark.createDataFrame(rows, schemas.ENVELOPE).repartition(8)
+    r = out.route(df)
+    hot = {(x.status, x.reason): x["count"] for x in
+           r.filter(F.col("order_uid") == "hot").groupBy("status", "reason").count().collect()}
+    assert hot == {("valid", None): 1, ("invalid", "already_exists"): 99}
+    assert r.filter(F.col("order_uid") != "hot").filter(F.col("status") != "valid").count() == 0
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min" in plan

@@ -17,7 +17,7 @@ from parcelry import schemas
 from parcelry.functions.formats import timestamp_text
 from parcelry.functions.sizes import order_size
 from parcelry.plans.guards import bounded_broadcast
-from parcelry.sources.tables import item_lines, load, order_headers
+from parcelry.sources.tables import item_lines, order_headers
 
 JSON_OPTS = {"ignoreNullFields": "false"}
 
@@ -28,7 +28,8 @@ CACHE_MAX_ENTRY_BYTES = 1 << 20
 PRELOAD_SIZE = 250
 
 
-def _empty_items() -> Column:
+def empty_items() -> Column:
+    """An empty item list of the item type (the ``'[]'`` of the documents)."""
     return F.array().cast("array<" + schemas.ITEM.simpleString() + ">")
 
 
@@ -50,7 +51,7 @@ def items_per_order(lines: DataFrame) -> DataFrame:
 def with_items(headers: DataFrame, items: DataFrame) -> DataFrame:
     """Headers left-join the per-order item lists; no items -> ``[]``."""
     return headers.join(items, "order_key", "left").withColumn(
-        "items", F.coalesce(F.col("items"), _empty_items()))
+        "items", F.coalesce(F.col("items"), empty_items()))
 
 
 def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +129,7 @@ def assemble_documents(orders: DataFrame, deliveries: DataFrame, payments: DataF
             lambda e: e["item"]).alias("items"))
     o = orders.withColumnRenamed("shard_key", "shardkey")
     j = o.join(d, "order_uid", "inner").join(p, "order_uid", "inner").join(it, "order_uid", "left")
-    j = j.withColumn("items", F.coalesce(F.col("items"), _empty_items()))
+    j = j.withColumn("items", F.coalesce(F.col("items"), empty_items()))
     return j.select("order_uid", document_json(j).alias("document"))
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parcelry import schemas
-from parcelry.operators.documents import _empty_items, order_facts
+from parcelry.operators.documents import empty_items, order_facts
 
 TOPIC = "orders"
 PARTITIONS = 4
@@ -61,7 +61,7 @@ def corrupted_struct(facts: DataFrame, r: Column, extra: bool = False) -> Column
     top = {
         "delivery": delivery,
         "payment": payment,
-        "items": _at(r, 4, _empty_items(), F.col("items")),
+        "items": _at(r, 4, empty_items(), F.col("items")),
         "locale": _at(r, 3, F.lit(BAD_LOCALE), F.col("locale")),
         "shardkey": _at(r, 5, F.lit(BAD_SHARDKEY), F.col("shardkey")),
         "sm_id": F.when(r == 6, F.lit(0).cast("long")).when(r == 11, F.lit(INT4_OVERFLOW).cast("long"))

@@ -4,7 +4,6 @@ import os
 
 from pyspark.sql import functions as F
 
-from parcelry import schemas
 from parcelry.operators import series as ser
 from parcelry.operators.outcomes import route
 from parcelry.sources.messages import json_array_messages, order_messages

@@ -10,9 +10,8 @@ Semantics to match (a strict JSON decoder into the fixed order schema):
 * keys match case-insensitively, the later duplicate wins;
 * invalid UTF-8 is replaced by U+FFFD; bytes after the first value are ignored.
 
-Everything is built from JSON/variant SQL functions: the value is parsed once
-per nesting level into ``map<string, variant>`` and bound in its own
-projection so that no parse is repeated per field.
+Everything is built from JSON/variant SQL functions (see ``decode_messages``
+for the fast and the slow path); results are bound once per row.
 """
 
 from __future__ import annotations
@@ -35,49 +34,18 @@ def _lower_keys(m: Column) -> Column:
     return F.transform_keys(m, lambda k, v: F.lower(k))
 
 
-def _vtype(v: Column) -> Column:
-    return F.schema_of_variant(v)
-
-
 def _is_null(v: Column) -> Column:
     """Missing key or JSON null."""
     return v.isNull() | F.is_variant_null(v)
 
 
-def _text_ok(v: Column) -> Column:
-    return _is_null(v) | (_vtype(v) == "STRING")
-
-
-def _int_ok(v: Column) -> Column:
-    return _is_null(v) | (_vtype(v) == "BIGINT")
-
-
 def _object_map(v: Column) -> Column:
     return F.try_variant_get(v, "$", MAP_T)
 
 
-def _object_ok(v: Column) -> Column:
-    return _is_null(v) | _object_map(v).isNotNull()
-
-
-def _keys_ok(m: Column, allowed: list[str]) -> Column:
-    return F.coalesce(F.size(F.array_except(F.map_keys(m), F.array(*[F.lit(a) for a in allowed]))) == 0, F.lit(True))
-
-
-def _text(v: Column) -> Column:
-    return F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))
-
-
-def _int(v: Column) -> Column:
-    return F.coalesce(F.try_variant_get(v, "$", "bigint"), F.lit(0).cast("long"))
-
-
-def _fields_ok(m: Column, fields: list[str], ints: set[str]) -> Column:
-    conds = [(_int_ok(m[f]) if f in ints else _text_ok(m[f])) for f in fields]
-    out = conds[0]
-    for c in conds[1:]:
-        out = out & c
-    return out
+def _keys_ok(keys: Column, allowed: list[str]) -> Column:
+    """Every key (an array of names) is one of ``allowed``; null passes."""
+    return F.coalesce(F.size(F.array_except(keys, F.array(*[F.lit(a) for a in allowed]))) == 0, F.lit(True))
 
 
 def _time_text(v: Column) -> Column:
@@ -94,10 +62,6 @@ def _time(v: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(_time_text(v)), F.to_timestamp(F.lit(ZERO_TIME)))
 
 
-def _struct(m: Column, fields: list[str], ints: set[str]) -> Column:
-    return F.struct(*[(_int(m[f]) if f in ints else _text(m[f])).alias(f) for f in fields])
-
-
 # --------------------------------------------------------------------------
 # One-call type check: the variant schema of the whole document against a
 # pattern built from the fixed schema.  Key order in the schema text is
@@ -132,56 +96,84 @@ def schema_pattern() -> str:
 SCHEMA_PATTERN = schema_pattern()
 
 
+# A key (in the variant schema text) holding an upper-case letter: such a
+# document needs case-insensitive key matching, done on the slow path.  Type
+# names are upper case too but are never followed by ": ".
+_UPPER_KEY = r"[A-Z][^:<>,]*: "
+
+
 def decode_messages(df: DataFrame, value_col: str = "value") -> DataFrame:
     """Append ``decode_ok`` (bool), ``decode_error`` (text or null) and
     ``order`` (the zero-filled nested order; meaningful when decode_ok).
 
-    Three narrow projections, no shuffle: level-1 parse, level-2 parse of
-    delivery/payment/items, then typed extraction and checks.
+    Fast path (every document whose keys are already lower case): one
+    ``parse_json`` into a variant (duplicate keys: the last wins), one
+    ``schema_of_variant`` matched against ``SCHEMA_PATTERN``, the top-level
+    key list for unknown fields, and one typed ``variant_get`` per level.
+    Slow path (upper-case keys, or text the variant parser refuses): the
+    JSON is parsed per level into ``map<string, variant>`` with lower-cased
+    keys (later duplicates win) and checked the same way.  Each path is a
+    CASE branch, so a row pays only for its own path.  No shuffle.
     """
-    df.sparkSession.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     txt = F.make_valid_utf8(F.col(value_col).cast("string"))
     s1 = df.select(
         "*",
-        _lower_keys(F.from_json(txt, MAP_T)).alias("_m"),
+        F.try_parse_json(txt).alias("_v"),
+        F.json_object_keys(txt).alias("_k"),
         F.coalesce(txt.rlike(_JSON_NULL_DOC), F.lit(False)).alias("_null_doc"),
     )
-    m = F.col("_m")
-    s2 = s1.select(
+    s2 = s1.select("*", F.schema_of_variant(F.col("_v")).alias("_vs"))
+    v, vs = F.col("_v"), F.col("_vs")
+    slow = v.isNull() | F.coalesce(vs.rlike(_UPPER_KEY), F.lit(False))
+    s3 = s2.select(
+        "*", slow.alias("_slow"),
+        F.when(slow, _lower_keys(F.from_json(txt, MAP_T))).alias("_m"),
+    )
+    sl, m = F.col("_slow"), F.col("_m")
+    s4 = s3.select(
         "*",
-        F.schema_of_variant(F.to_variant_object(m)).alias("_sch"),
-        _lower_keys(_object_map(m["delivery"])).alias("_dm"),
-        _lower_keys(_object_map(m["payment"])).alias("_pm"),
-        F.transform(F.try_variant_get(m["items"], "$", ARR_T),
-                    lambda e: F.struct(e.alias("v"), _lower_keys(_object_map(e)).alias("m"))).alias("_im"),
+        F.when(sl, F.schema_of_variant(F.to_variant_object(m))).otherwise(vs).alias("_sch"),
+        F.when(sl, _lower_keys(_object_map(m["delivery"]))).alias("_dm"),
+        F.when(sl, _lower_keys(_object_map(m["payment"]))).alias("_pm"),
+        F.when(sl, F.transform(F.try_variant_get(m["items"], "$", ARR_T),
+                               lambda e: _lower_keys(_object_map(e)))).alias("_im"),
     )
-    # Typed extraction: one variant -> struct cast per level over the
-    # lower-cased maps (types were already checked by the schema pattern).
     top_scalars = T.StructType([f for f in schemas.ORDER.fields
                                 if f.name not in ("delivery", "payment", "items", "date_created")])
-    s2 = s2.select(
+    item_arr = T.ArrayType(schemas.ITEM).simpleString()
+
+    def typed(path: str, slow_src: Column, dtype: str) -> Column:
+        return F.when(sl, F.try_variant_get(F.to_variant_object(slow_src), "$", dtype)).otherwise(
+            F.try_variant_get(v, path, dtype))
+
+    s5 = s4.select(
         "*",
-        F.try_variant_get(F.to_variant_object(m), "$", top_scalars.simpleString()).alias("_tv"),
-        F.try_variant_get(F.to_variant_object(F.col("_dm")), "$", schemas.DELIVERY.simpleString()).alias("_dv"),
-        F.try_variant_get(F.to_variant_object(F.col("_pm")), "$", schemas.PAYMENT.simpleString()).alias("_pv"),
-        F.try_variant_get(F.to_variant_object(F.transform(F.col("_im"), lambda e: e["m"])), "$",
-                          T.ArrayType(schemas.ITEM).simpleString()).alias("_iv"),
+        typed("$", m, top_scalars.simpleString()).alias("_tv"),
+        typed("$.delivery", F.col("_dm"), schemas.DELIVERY.simpleString()).alias("_dv"),
+        typed("$.payment", F.col("_pm"), schemas.PAYMENT.simpleString()).alias("_pv"),
+        typed("$.items", F.col("_im"), item_arr).alias("_iv"),
+        F.when(sl, m["date_created"]).otherwise(F.variant_get(v, "$.date_created", "variant")).alias("_dc"),
     )
-    dm, pm, im = F.col("_dm"), F.col("_pm"), F.col("_im")
+    is_object = F.coalesce(F.col("_sch").startswith("OBJECT<"), F.lit(False))
+    keys = F.when(sl, F.map_keys(m)).otherwise(F.col("_k"))
     checks = [
-        ("malformed", m.isNotNull() | F.col("_null_doc")),
-        ("unknown_field", _keys_ok(m, schemas.ORDER_FIELDS)),
+        ("malformed", F.col("_null_doc") | (is_object & (~sl | m.isNotNull()))),
+        ("unknown_field", _keys_ok(keys, schemas.ORDER_FIELDS)),
         ("schema", F.col("_null_doc") | F.col("_sch").rlike(SCHEMA_PATTERN)),
-        ("bad_time", _time_ok(m["date_created"])),
+        ("bad_time", _time_ok(F.col("_dc"))),
     ]
     error = F.lit(None).cast("string")
     for name, ok in reversed(checks):
         error = F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)).otherwise(error)
+
     def zero(c: Column, is_int: bool) -> Column:
         return F.coalesce(c, F.lit(0).cast("long")) if is_int else F.coalesce(c, F.lit(""))
 
-    def filled(v: Column, st: T.StructType) -> Column:
-        return F.struct(*[zero(v[f.name], isinstance(f.dataType, T.LongType)).alias(f.name) for f in st.fields])
+    def filled(x: Column, st: T.StructType) -> Column:
+        return F.struct(*[zero(x[f.name], isinstance(f.dataType, T.LongType)).alias(f.name) for f in st.fields])
 
     tv, dv, pv, iv = F.col("_tv"), F.col("_dv"), F.col("_pv"), F.col("_iv")
     order_cols = []
@@ -191,18 +183,17 @@ def decode_messages(df: DataFrame, value_col: str = "value") -> DataFrame:
         elif f == "payment":
             c = filled(pv, schemas.PAYMENT)
         elif f == "items":
-            c = F.transform(F.coalesce(iv, F.array().cast(T.ArrayType(schemas.ITEM).simpleString())),
-                            lambda it: filled(it, schemas.ITEM))
+            c = F.transform(F.coalesce(iv, F.array().cast(item_arr)), lambda it: filled(it, schemas.ITEM))
         elif f == "date_created":
-            c = _time(F.coalesce(m, F.create_map().cast(MAP_T))[f])
+            c = _time(F.col("_dc"))
         else:
             c = zero(tv[f], f in schemas.ORDER_INTS)
         order_cols.append(c.alias(f))
-    s3 = bind(s2.select(*df.columns, "_m", "_null_doc", "_sch", "_dm", "_pm", "_im", "_tv", "_dv", "_pv", "_iv"),
+    s6 = bind(s5.select(*df.columns, "_null_doc", "_slow", "_m", "_k", "_sch", "_tv", "_dv", "_pv", "_iv", "_dc"),
               error.isNull().alias("decode_ok"),
               error.alias("decode_error"),
               F.struct(*order_cols).alias("order"))
-    return s3.select(*df.columns, "decode_ok", "decode_error", "order")
+    return s6.select(*df.columns, "decode_ok", "decode_error", "order")
 
 
 # --------------------------------------------------------------------------

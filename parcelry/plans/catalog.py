@@ -19,7 +19,7 @@ from parcelry.operators import normalize as norm
 from parcelry.operators import outcomes as out
 from parcelry.operators import series as ser
 from parcelry.sources import oplogs
-from parcelry.sources.messages import order_messages
+from parcelry.sources.messages import order_messages, stamped
 from parcelry.sources.tables import item_lines, load, order_base, order_headers
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -191,6 +191,17 @@ def first_order_per_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.first_message_per_uid(_checked(spark, sf_dir))
 
 
+def stamped_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: every order document published as a message stamped with its
+    creation time (the order date here, so the output is deterministic)."""
+    facts = doc.order_facts(spark, sf_dir)
+    docs = facts.select("order_uid", doc.document_json(facts).alias("document"), "date_created")
+    env = stamped(docs, F.col("document"), at=F.col("date_created"), keep=["order_uid"])
+    h = F.col("headers")[0]
+    return env.select("order_uid", h["key"].alias("header_key"), h["value"].cast("string").alias("header_value"),
+                      F.octet_length("value").alias("value_bytes"))
+
+
 def message_creation_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = order_messages(spark, sf_dir)
     h = F.col("headers")
@@ -360,6 +371,7 @@ def catalog() -> dict[str, Builder]:
         "duplicate_orders": duplicate_orders,
         "first_order_per_uid": first_order_per_uid,
         "message_creation_time": message_creation_time,
+        "stamped_messages": stamped_messages,
         "normalized_paths": normalized_paths,
         "path_order_uid": path_order_uid,
         "requests_by_route_code": requests_by_route_code,

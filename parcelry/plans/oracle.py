@@ -307,6 +307,13 @@ MESSAGE_ORACLES = {
     "duplicate_orders": DUPLICATE_ORDERS,
     "first_order_per_uid": FIRST_ORDER_PER_UID,
     "message_creation_time": MESSAGE_CREATION_TIME,
+    "stamped_messages": f"""
+WITH {HEADERS_CTE}, {LINES_CTE}, {ITEMS_CTE}
+SELECT h.order_uid, 'creation_timestamp_ms' AS header_key,
+  CAST(epoch_ms(h.date_created) AS VARCHAR) AS header_value,
+  CAST(octet_length(encode({document_sql()})) AS INTEGER) AS value_bytes
+FROM hdr h LEFT JOIN items i ON i.k = h.k
+""",
 }
 
 

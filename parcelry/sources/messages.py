@@ -80,11 +80,13 @@ def stamp_headers(ms: Column) -> Column:
                             ms.cast("string").cast("binary").alias("value")))
 
 
-def stamped(df: DataFrame, value: Column, at: Column | None = None) -> DataFrame:
+def stamped(df: DataFrame, value: Column, at: Column | None = None, keep: list[str] | None = None) -> DataFrame:
     """S3: wrap ``value`` (text or binary) in an envelope stamped with ``at``
-    (default: the current time), ready for a Kafka or file sink."""
+    (default: the current time), ready for a Kafka or file sink; ``keep``
+    columns pass through."""
     ts = at if at is not None else F.current_timestamp()
     return df.select(
+        *(keep or []),
         F.lit(None).cast("binary").alias("key"),
         value.cast("binary").alias("value"),
         stamp_headers(F.unix_millis(ts)).alias("headers"),

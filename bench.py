@@ -39,8 +39,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2,
-                          extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
+    extra = {"spark.driver.memory": os.environ["BENCH_DRIVER_MEMORY"]} if os.environ.get("BENCH_DRIVER_MEMORY") else None
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, extra=extra)
     cat = catalog()
     # Untimed warm-up on the smallest data set (JVM class loading and JIT),
     # so the first timed query is not charged for process start-up.

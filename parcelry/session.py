@@ -27,10 +27,20 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.driver.memory": "8g",
 }
 
 
+def default_driver_memory(fraction: float = 0.6, cap_gb: int = 16) -> str:
+    """Heap for a local-mode driver: a share of physical memory, capped."""
+    try:
+        with open("/proc/meminfo") as f:
+            kb = int(next(line for line in f if line.startswith("MemTotal")).split()[1])
+        gb = max(1, min(cap_gb, int(kb / (1 << 20) * fraction)))
+    except (OSError, StopIteration, ValueError):
+        gb = 4
+    return f"{gb}g"
+
+
 def ensure_conf(spark: SparkSession) -> SparkSession:
     """Apply the required SQL settings to an existing session (idempotent)."""
     for k, v in REQUIRED_CONF.items():
@@ -60,6 +70,8 @@ def build_session(
     b = b.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for k, v in {**REQUIRED_CONF, **RECOMMENDED_CONF}.items():
         b = b.config(k, v)
+    if not (extra or {}).get("spark.driver.memory"):
+        b = b.config("spark.driver.memory", default_driver_memory())
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():

@@ -13,7 +13,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     from parcelry.session import build_session, checkpoint_dir
 
-    s = build_session("local[4]", shuffle_partitions=4, extra={"spark.driver.memory": "8g"})
+    s = build_session("local[4]", shuffle_partitions=4)
     checkpoint_dir(s)  # tests run local: a scratch folder is registered only when unset
     yield s
     s.stop()

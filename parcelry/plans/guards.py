@@ -45,18 +45,37 @@ def row_count_at_most(df: DataFrame, n: int) -> bool:
     return df.limit(n + 1).count() <= n
 
 
+# Proven decisions, per session: (semantic plan hash, input files, bound) ->
+# bool.  The file list is part of the key, so a changed table is re-checked.
+_DECISIONS: dict[tuple, bool] = {}
+
+
+def _decision_key(df: DataFrame, bound: int) -> tuple | None:
+    try:
+        return (id(df.sparkSession), df.semanticHash(), tuple(sorted(df.inputFiles())), bound)
+    except Exception:  # noqa: BLE001
+        return None
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Broadcast ``df`` only if its row count is proven <= ``max_rows``.
 
     Two steps: a side whose size estimate is large is left to a shuffle join
     at once (no job); a small one is counted exactly with a bounded limit
-    before it is marked for broadcast.
+    before it is marked for broadcast.  The outcome is remembered for the
+    same plan over the same files.
     """
     bound = max_rows if max_rows is not None else max_broadcast_rows(df)
     est = estimated_bytes(df)
     if est is not None and est > MAX_ESTIMATED_BYTES:
         return df
-    return F.broadcast(df) if row_count_at_most(df, bound) else df
+    key = _decision_key(df, bound)
+    small = _DECISIONS.get(key) if key is not None else None
+    if small is None:
+        small = row_count_at_most(df, bound)
+        if key is not None:
+            _DECISIONS[key] = small
+    return F.broadcast(df) if small else df
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:

@@ -19,7 +19,7 @@ from parcelry.operators import normalize as norm
 from parcelry.operators import outcomes as out
 from parcelry.operators import series as ser
 from parcelry.sources import oplogs
-from parcelry.sources.messages import order_messages, stamped
+from parcelry.sources.messages import message_table, order_messages, stamped
 from parcelry.sources.tables import item_lines, load, order_base, order_headers
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -125,12 +125,12 @@ def synthetic_order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decode_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = decode_messages(order_messages(spark, sf_dir))
+    d = decode_messages(message_table(spark, sf_dir))
     return d.select("topic", "partition", "offset", "decode_ok", "decode_error")
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out.checked_messages(order_messages(spark, sf_dir))
+    return out.checked_messages(message_table(spark, sf_dir))
 
 
 def validation_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +159,7 @@ def storable_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out.route(order_messages(spark, sf_dir), materialize=True)
+    return out.route(message_table(spark, sf_dir), materialize=True)
 
 
 def message_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,3 +153,40 @@ def json_array_messages(spark: SparkSession, path: str, topic: str = TOPIC) -> D
         F.lit(None).cast("timestamp").alias("timestamp"),
         F.col("file"),
     )
+
+
+# --------------------------------------------------------------------------
+# Materialised message table (a written table in the shared folder)
+# --------------------------------------------------------------------------
+
+def _fs_status(spark: SparkSession, path: str):
+    """Hadoop FileSystem status of ``path`` (any scheme), or None."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    return fs.getFileStatus(p) if fs.exists(p) else None
+
+
+def message_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``order_messages`` written once as Parquet under ``spark.checkpoint.dir``
+    and read back, the way messages sit in a topic or landing folder.
+
+    The folder name is a hash of the source tables' files (path, length and
+    modification time), so changed inputs give a new table.  A finished
+    write leaves ``_SUCCESS``; an unfinished one is overwritten.  Paths go
+    through the Hadoop FileSystem API, so shared cluster storage works.
+    """
+    import hashlib
+
+    from parcelry.session import checkpoint_dir
+
+    root = checkpoint_dir(spark).rstrip("/")
+    sig = hashlib.sha256()
+    for t in ("orders", "customer", "nation", "region", "lineitem", "part"):
+        p = f"{sf_dir.rstrip('/')}/{t}.parquet"
+        st = _fs_status(spark, p)
+        sig.update(f"{p}:{st.getLen() if st else 0}:{st.getModificationTime() if st else 0};".encode())
+    path = f"{root}/messages-{sig.hexdigest()[:16]}"
+    if _fs_status(spark, f"{path}/_SUCCESS") is None:
+        order_messages(spark, sf_dir).write.mode("overwrite").parquet(path)
+    return spark.read.schema(schemas.ENVELOPE).parquet(path)

@@ -95,9 +95,6 @@ def order_documents_for_keys(spark: SparkSession, sf_dir: str, keys: DataFrame)
     return order_documents(facts)
 
 
-def uid_to_key(uid: Column) -> Column:
-    """Order key from a test-table uid ``ord<digits>``; null for other uids."""
-    return F.when(uid.rlike(r"^ord[0-9]{1,18}\z"), F.substring(uid, 4, 19).cast("long"))
 
 
 def order_by_uid(spark: SparkSession, sf_dir: str, uid: str) -> DataFrame:

@@ -172,7 +172,8 @@ def message_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     and read back, the way messages sit in a topic or landing folder.
 
     The folder name is a hash of the source tables' files (path, length and
-    modification time), so changed inputs give a new table.  A finished
+    modification time) and of this module's code, so changed inputs or a
+    changed generator give a new table.  A finished
     write leaves ``_SUCCESS``; an unfinished one is overwritten.  Paths go
     through the Hadoop FileSystem API, so shared cluster storage works.
     """
@@ -182,6 +183,8 @@ def message_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     root = checkpoint_dir(spark).rstrip("/")
     sig = hashlib.sha256()
+    with open(__file__, "rb") as f:
+        sig.update(f.read())
     for t in ("orders", "customer", "nation", "region", "lineitem", "part"):
         p = f"{sf_dir.rstrip('/')}/{t}.parquet"
         st = _fs_status(spark, p)

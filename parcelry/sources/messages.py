@@ -148,7 +148,9 @@ def json_array_messages(spark: SparkSession, path: str, topic: str = TOPIC) -> D
         F.col("elem").cast("binary").alias("value"),
         F.array().cast("array<struct<key:string,value:binary>>").alias("headers"),
         F.lit(topic).alias("topic"),
-        F.lit(0).alias("partition"),
+        # one "partition" per file (hash of its path), offset = element index,
+        # so (topic, partition, offset) identifies a message across files
+        F.pmod(F.xxhash64("file"), F.lit(2147483647)).cast("int").alias("partition"),
         F.coalesce(F.col("pos"), F.lit(0)).cast("long").alias("offset"),
         F.lit(None).cast("timestamp").alias("timestamp"),
         F.col("file"),

@@ -81,3 +81,4 @@ def test_json_array_source(spark, scratch):
     b = [r for r in rows if r.file.endswith("b.json")]
     assert [bytes(r.value).decode() for r in a] == ['{"order_uid":"a1"}', '{"order_uid":"a2","items":[]}']
     assert len(b) == 1 and b[0].value is None
+    assert len({(r.topic, r.partition, r.offset) for r in rows}) == len(rows)

@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelry.llm import bpe, exact_dedup, near_dedup, substring_dedup
+from parcelry.llm import bpe, exact_dedup, near_dedup, secret_scan, substring_dedup
 from parcelry.llm.common import table
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.op2_secrets(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.op3_simhash(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_secrets": op2_secrets,
         "op3_simhash": op3_simhash,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_bpe": op6_bpe,

@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelry.llm import bpe, exact_dedup, near_dedup, secret_scan, substring_dedup
+from parcelry.llm import bpe, exact_dedup, language_id, near_dedup, secret_scan, substring_dedup, toxicity
 from parcelry.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op1_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.op2_secrets(table(spark, sf_dir, "documents"))
 
@@ -19,6 +23,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.op3_simhash(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.op4_language_id(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -33,8 +41,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_secrets": op2_secrets,
         "op3_simhash": op3_simhash,
+        "op4_language_id": op4_language_id,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_bpe": op6_bpe,
         "op9_substring_dedup": op9_substring_dedup,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelry.llm import bpe, exact_dedup, language_id, near_dedup, secret_scan, substring_dedup, toxicity
+from parcelry.llm import bpe, exact_dedup, html_extract, language_id, near_dedup, secret_scan, substring_dedup, toxicity, warc
 from parcelry.llm.common import table
 
 
@@ -35,6 +35,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str, ranks: str = "byte_bpe_50k.tiktoke
     return bpe.op6_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path(ranks), public_tokenizers.PATTERN)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op7_warc(table(spark, sf_dir, "pages"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.op8_html_text(table(spark, sf_dir, "pages"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.op9_substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -47,9 +55,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_bpe": op6_bpe,
+        "op7_warc": op7_warc,
+        "op8_html_text": op8_html_text,
         "op9_substring_dedup": op9_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.SQL}
+    return {"op5_exact_dedup": exact_dedup.SQL, "op7_warc": warc.SQL}

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from parcelry.llm.common import slices, store, texts
 from parcelry.llm.simhash import fingerprint
+from parcelry.plans.guards import bounded_broadcast
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -123,16 +124,16 @@ def _asked(batches: Iterator[pa.RecordBatch], block: int = 4096) -> Iterator[pa.
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id`` and the signed 64-bit ``fp`` of every row."""
+    """``doc_id``, a hash of the text (``text_hash``) and the signed 64-bit ``fp`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 texts_ = part.column("text").cast(pa.binary()).to_pylist()
                 fp = np.fromiter((fingerprint(t, k) for t in texts_), np.uint64, len(texts_)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(fp)], ["doc_id", "text_hash", "fp"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def links(distinct_fp: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -167,14 +168,14 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` of every row of ``docs``."""
+    """``doc_id``, ``text_hash``, ``fp`` and ``component_id`` of every row of ``docs``."""
     fps = store(fingerprints(docs, k), "fingerprints")
     nodes = store(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fp")
     labels = components(links(nodes.select("fp"), max_bits))
     rooted = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "first_id", F.coalesce("label", "fp").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     mapped = rooted.select("fp", "root").join(roots, "root").select(F.col("fp").alias("node"), "component_id")
-    return fps.join(mapped, fps["fp"] == mapped["node"]).select("doc_id", "fp", "component_id")
+    return fps.join(mapped, fps["fp"] == mapped["node"]).select("doc_id", "text_hash", "fp", "component_id")
 
 
 def op3_simhash(docs: DataFrame) -> DataFrame:
@@ -185,8 +186,11 @@ def op3_simhash(docs: DataFrame) -> DataFrame:
 def one_per_group(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id is the smallest of its group; columns unchanged.
 
-    Rows with a null id stay when their whole group has none.
+    Rows with a null id stay where the whole group has none; rows that
+    repeat the smallest id with one text stay together.
     """
     found = near_duplicates(docs)
-    dropped = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_gone"]), "left_anti").select(docs.columns)
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    gone = bounded_broadcast(store(gone, "near-duplicates"))
+    same = docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_hash"])
+    return docs.join(gone, same, "left_anti").select(docs.columns)

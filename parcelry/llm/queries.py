@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelry.llm import bpe, exact_dedup, html_extract, language_id, near_dedup, secret_scan, substring_dedup, toxicity, warc
+from parcelry.llm import bpe, decontaminate, exact_dedup, html_extract, language_id, near_dedup, secret_scan, substring_dedup, toxicity, warc
 from parcelry.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.op9_substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_warc": op7_warc,
         "op8_html_text": op8_html_text,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 

@@ -274,6 +274,15 @@ def op1_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` that are not predicted toxic; columns unchanged."""
-    found = toxic_passages(docs, train(docs, labels))
-    gone = found.filter(F.col("score") >= 0.5).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti").select(docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = shared.value
+        for batch in batches:
+            for part in slices(batch, "text", max_bytes=2 << 20) if fitted else [batch]:
+                if fitted:
+                    x = np.array([fitted.evidence(*fitted.segments(t or "")) for t in part.column("text").to_pylist()])
+                    part = part.filter(pa.array(fitted.score(x) < 0.5))
+                yield part
+
+    return docs.mapInArrow(run, docs.schema)

@@ -42,6 +42,17 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that ``df`` does not have (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def held_out(doc_id: Column | str, modulus: int, remainder: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``, equals ``remainder``; a null id counts as text ''."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

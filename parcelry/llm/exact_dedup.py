@@ -26,7 +26,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from parcelry.llm.common import store
+from parcelry.llm.common import fresh, store
 
 BUCKET_ROWS = 1_000_000
 # 2^16 directory slots at most: the directory is under 2 MB.
@@ -94,16 +94,17 @@ def exact_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, max_depth:
 def drop_exact_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Rows of ``docs`` that stay, one per distinct normalised text; columns unchanged."""
     found = exact_duplicates(docs, bucket_rows, max_depth).filter((F.col("group_size") > 1) | F.col("kept"))
-    per_id = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n"))
-    keepers = store(per_id.filter("_kept").select("_id", "_sha", "_n"), "keepers")
+    key_id, key_sha, rows, place = fresh(docs, "_id", "_sha", "_rows", "_place")
+    per_id = found.groupBy(F.col("doc_id").alias(key_id), F.col("text_sha256").alias(key_sha)).agg(F.max("kept").alias("kept"), F.count("*").alias(rows))
+    keepers = store(per_id.filter("kept").select(key_id, key_sha, rows), "keepers")
     sha = F.sha2(normalised(docs["text"]).cast("binary"), 256)
-    stay = docs.join(keepers, docs["doc_id"].eqNullSafe(keepers["_id"]) & (sha == keepers["_sha"]))
-    if not keepers.filter("_n > 1").limit(1).count():
+    stay = docs.join(keepers, docs["doc_id"].eqNullSafe(keepers[key_id]) & (sha == keepers[key_sha]))
+    if not keepers.filter(F.col(rows) > 1).limit(1).count():
         return stay.select(docs.columns)
     # rows with one id and one text: the first in the order of their columns stays
-    first = F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy(*[F.col(c).cast("string") for c in docs.columns]))
-    many = stay.filter("_n > 1").withColumn("_rn", first).filter("_rn = 1").select(docs.columns)
-    return stay.filter("_n = 1").select(docs.columns).unionByName(many)
+    first = F.row_number().over(Window.partitionBy(key_id, key_sha).orderBy(*[F.col(c).cast("string") for c in docs.columns]))
+    many = stay.filter(F.col(rows) > 1).withColumn(place, first).filter(F.col(place) == 1).select(docs.columns)
+    return stay.filter(F.col(rows) == 1).select(docs.columns).unionByName(many)
 
 
 SQL = r"""

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from parcelry.llm.common import slices, store, texts
+from parcelry.llm.common import fresh, slices, store, texts
 from parcelry.llm.simhash import fingerprint
 from parcelry.plans.guards import bounded_broadcast
 
@@ -190,7 +190,8 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     repeat the smallest id with one text stay together.
     """
     found = near_duplicates(docs)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    key_id, key_hash = fresh(docs, "_id", "_hash")
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key_id), F.col("text_hash").alias(key_hash)).distinct()
     gone = bounded_broadcast(store(gone, "near-duplicates"))
-    same = docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_hash"])
+    same = docs["doc_id"].eqNullSafe(gone[key_id]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone[key_hash])
     return docs.join(gone, same, "left_anti").select(docs.columns)

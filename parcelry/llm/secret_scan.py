@@ -6,8 +6,8 @@ match that is too short is dropped.  The CRF adds spans of its own (kind
 
 Method.  A token is a run without white space.  Each token gets a shape
 class (key word, separator, hexadecimal, mixed letters and digits by length,
-...).  The score of a label (begin, inside, outside) is a sum of weights of
-the token's class, the classes of its two neighbours and features of the
+...) and a coarse kind.  The score of a label (begin, inside, outside) is a
+sum of weights of the token's class and kind, the classes of its two neighbours and features of the
 whole text (its share of separators, digits and long mixed tokens), plus a
 transition weight; inside cannot follow outside.  Weights are fitted by
 forward-backward gradients on windows of a bounded sample of rows
@@ -34,7 +34,7 @@ from parcelry.llm.common import slices, texts
 
 SAMPLE_ROWS = 5_000
 WINDOW = 48
-MAX_WINDOWS = 800
+MAX_WINDOWS = 400
 # The three base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -49,6 +49,9 @@ _CLASSES = ["edge", "key", "key=", "sep", "akia", "hex32", "hex16", "digits"] +
 ] + ["address", "lower", "capital", "upper", "long-word", "punct", "other"]
 CLASS = {c: i for i, c in enumerate(_CLASSES)}
 N_CLASSES = len(_CLASSES)
+# Coarse kind of each class, so that a shape that the sample lacks shares weight with its like.
+_KINDS = {"key": 1, "key=": 1, "sep": 2, "akia": 3, "hex32": 3, "hex16": 3, "mixed16-31": 3, "mixed32-": 3, "symbols16-31": 3, "symbols32-": 3, "mixed8-15": 4, "symbols8-15": 4, "digits": 5}
+KIND_OF = np.array([_KINDS.get(c, 0) for c in _CLASSES], np.int64)
 N_FILE = 4
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 
@@ -124,10 +127,10 @@ def file_features(cls: np.ndarray) -> np.ndarray:
 
 
 class Crf:
-    """Weights of the linear chain: own, previous and next class, file features, transitions."""
+    """Weights of the linear chain: classes and kinds of the token and its neighbours, file features, transitions."""
 
     def __init__(self) -> None:
-        self.weights = {k: np.zeros(s) for k, s in (("own", (N_CLASSES, 3)), ("prev", (N_CLASSES, 3)), ("next", (N_CLASSES, 3)), ("file", (N_FILE, 3)), ("move", (3, 3)))}
+        self.weights = {k: np.zeros(s) for k, s in (("own", (N_CLASSES, 3)), ("kind", (6, 3)), ("prev", (N_CLASSES, 3)), ("prev_kind", (6, 3)), ("next", (N_CLASSES, 3)), ("next_kind", (6, 3)), ("file", (N_FILE, 3)), ("move", (3, 3)))}
 
     def moves(self) -> np.ndarray:
         t = self.weights["move"].copy()
@@ -136,9 +139,10 @@ class Crf:
 
     def scores(self, own: np.ndarray, prev: np.ndarray, nxt: np.ndarray, file: np.ndarray) -> np.ndarray:
         w = self.weights
-        return w["own"][own] + w["prev"][prev] + w["next"][nxt] + file @ w["file"]
+        near = w["prev"][prev] + w["prev_kind"][KIND_OF[prev]] + w["next"][nxt] + w["next_kind"][KIND_OF[nxt]]
+        return w["own"][own] + w["kind"][KIND_OF[own]] + near + file @ w["file"]
 
-    def fit(self, own, prev, nxt, file, labels, length, rounds: int = 100, rate: float = 0.3, decay: float = 1e-3) -> "Crf":
+    def fit(self, own, prev, nxt, file, labels, length, rounds: int = 200, rate: float = 0.5, decay: float = 1e-4) -> "Crf":
         """Gradient ascent (AdaGrad) on the conditional log-likelihood.
 
         Arrays are (sequence, place); ``length`` is each sequence's length.
@@ -166,7 +170,7 @@ class Crf:
             mass = np.exp(np.minimum(0, fwd + bwd - total[None, :, None])).transpose(1, 0, 2) * real[..., None]
             diff = hot - mass
             grads = {k: np.zeros(v.shape) for k, v in self.weights.items()}
-            for name, index in (("own", own), ("prev", prev), ("next", nxt)):
+            for name, index in (("own", own), ("kind", KIND_OF[own]), ("prev", prev), ("prev_kind", KIND_OF[prev]), ("next", nxt), ("next_kind", KIND_OF[nxt])):
                 np.add.at(grads[name], index[real], diff[real])
             grads["file"] = np.einsum("sf,snk->fk", file, diff)
             grads["move"] = moved

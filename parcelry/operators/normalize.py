@@ -9,12 +9,12 @@ nested order row is the only stored fact; ``orders``, ``deliveries``,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from parcelry import schemas
 from parcelry.session import ensure_conf
 
-BATCH_COL = "batch_id"
+RUN_COL, BATCH_COL = "run_id", "batch_id"
 
 
 def orders_rows(facts: DataFrame) -> DataFrame:
@@ -46,19 +46,27 @@ def items_rows(facts: DataFrame) -> DataFrame:
 # Batch store (one nested row per order, partition per batch)
 # --------------------------------------------------------------------------
 
-def store_batch(stored: DataFrame, path: str, batch_id: int) -> None:
-    """Write the batch's nested rows to ``path/batch_id=N``, replacing that
+def store_batch(rows: DataFrame, path: str, batch_id: int, run: str = "0", more: tuple[str, ...] = ()) -> None:
+    """Write a batch's rows to ``path/run_id=R/batch_id=N``, replacing that
     partition only (dynamic overwrite), so a replayed batch is idempotent."""
-    spark = stored.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    (stored.withColumn(BATCH_COL, F.lit(batch_id).cast("long"))
-     .write.mode("overwrite").partitionBy(BATCH_COL).parquet(path))
+    keyed = rows.withColumn(RUN_COL, F.lit(run)).withColumn(BATCH_COL, F.lit(batch_id).cast("long"))
+    (keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(RUN_COL, BATCH_COL, *more).parquet(path))
+
+
+# Columns of a stored order: the message's, its source coordinates, audit times, partitions.
+STORE_SCHEMA = T.StructType([
+    *schemas.ORDER.fields,
+    T.StructField("topic", T.StringType()), T.StructField("partition", T.IntegerType()), T.StructField("offset", T.LongType()),
+    T.StructField("created_at", T.TimestampType()), T.StructField("updated_at", T.TimestampType()),
+    T.StructField(RUN_COL, T.StringType()), T.StructField(BATCH_COL, T.LongType()),
+])
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """All stored nested rows (schema merged across migrations)."""
+    """All stored nested rows, by the fixed schema (columns that old files lack are null)."""
     ensure_conf(spark)
-    return spark.read.option("mergeSchema", "true").parquet(path)
+    return spark.read.schema(STORE_SCHEMA).parquet(path)
 
 
 # --------------------------------------------------------------------------

@@ -10,30 +10,36 @@ Every message gets exactly one outcome, in this order of checks:
 5. a child row is not storable      -> error, ``unhandled_error``
 6. otherwise                        -> valid (stored)
 
-The winner of a uid is the earliest *fully storable* message by
-``seq = (timestamp, topic, partition, offset)``; a rolled-back insert does
-not hold the uid.
-
-Plan: the winner is a ``groupBy(uid).min(seq)`` (partially aggregated
-map-side, so a uid holding a third of all messages is reduced before the
-shuffle), then joined back.  Messages already decided by steps 1-3 carry
-a unique non-matching join key, so the undecodable ones (which share the
-empty uid) never form a hot key.  A skewed uid on the probe side is split
-by AQE's skew-join handling.
+The winner of a uid is the earliest *fully storable* message by ``seq``
+(time, topic, partition, offset, hash of the value); a rolled-back insert
+does not hold the uid.  Rows that agree in all of these are one message
+delivered twice: the first copy can be valid, the others already exist.
+
+Plan: outcomes are decided on a narrow frame (``decide``: coordinates, uid,
+errors; no payload).  Copies of a message are counted first, then stored uids
+and claims are folded into one ``groupBy(uid)`` (earliest claim, stored
+flag), which is combined map-side, and one join gives every message its
+outcome.  With ``materialize`` the narrow frame is written
+once (one decode a message) and the winners are written as a table: a join
+on a scan has an exchange of its own on both sides, so AQE splits the
+partition of a hot uid (a join on the aggregate itself has none on that
+side, and is not split).  Messages decided by steps 1-3 carry a key that
+matches no uid, so they spread evenly.  Payloads are attached by message id
+only where a caller needs them (``attach``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelry import schemas
 from parcelry.functions.decode import decode_messages
 from parcelry.functions.rules import child_rows_error, order_row_error, violations
-from parcelry.plans.guards import bind, cut_lineage
+from parcelry.plans.guards import bind, written
 
 # Outcome labels and error texts of the original service.
 VALID, INVALID, ERROR = "valid", "invalid", "error"
-R_INVALID, R_EXISTS, R_UNHANDLED, R_PANIC = "invalid_order", "already_exists", "unhandled_error", "panic"
+R_INVALID, R_EXISTS, R_UNHANDLED = "invalid_order", "already_exists", "unhandled_error"
 MSG_INVALID = "validation failed: invalid order"
 MSG_EXISTS_PREFIX = "failed to save order: record already exists: uid="
 MSG_SAVE_PREFIX = "failed to save order: "
@@ -42,7 +48,14 @@ SEQ_COLS = ["timestamp", "topic", "partition", "offset"]
 
 
 def seq() -> Column:
-    return F.struct(*[F.col(c) for c in SEQ_COLS])
+    return F.struct(*[F.col(c) for c in SEQ_COLS], F.xxhash64("value").alias("value_hash"))
+
+
+def message_id() -> Column:
+    """Identity of a message: its source coordinates, time and a hash of its value; never null."""
+    parts = [F.col("topic"), F.col("partition").cast("string"), F.col("offset").cast("string"),
+             F.unix_micros("timestamp").cast("string"), F.xxhash64("value").cast("string")]
+    return F.concat_ws("#", *[F.coalesce(c, F.lit("-")) for c in parts])
 
 
 def checked_messages(messages: DataFrame) -> DataFrame:
@@ -74,58 +87,71 @@ def _early(c: DataFrame) -> Column:
     )
 
 
-def route(messages: DataFrame, stored_uids: DataFrame | None = None, materialize: bool = False) -> DataFrame:
-    """One outcome row per message.
+def decide(checked: DataFrame, stored_uids: DataFrame | None = None, materialize: bool = False) -> DataFrame:
+    """T1, narrow: one row per message without its payload.
 
     ``stored_uids`` (column ``order_uid``) are uids stored by earlier
-    batches; they make step 4 fire across batches.  Output: the envelope,
-    ``order``, ``order_uid``, ``status``, ``reason``, ``error_text``,
-    ``dead_lettered``, ``decode_error``, ``violations``.
-
-    The checked messages feed two branches (the winners aggregate and the
-    probe side of the join).  With ``materialize`` they are written once as a
-    reliable checkpoint under ``spark.checkpoint.dir`` and both branches read
-    that, instead of decoding every message twice; it also cuts the lineage,
-    so a lost executor does not re-run the decode.
+    batches; they make step 4 fire across batches.  Output: ``message_id``,
+    ``copy`` (1, 2, ... of rows that repeat one message), the coordinates,
+    ``order_uid``, ``status``, ``reason``, ``error_text``, ``dead_lettered``.
     """
-    c = checked_messages(messages)
-    c = c.withColumn("_early", _early(c))
+    n = checked.select(message_id().alias("message_id"), *SEQ_COLS, F.xxhash64("value").alias("_vh"),
+                       "order_uid", "child_error", _early(checked).alias("_early"))
+    n = n.groupBy(*n.columns).agg(F.count(F.lit(1)).alias("_copies"))
     if materialize:
-        c = cut_lineage(c)
+        n = written(n, "checked")
     pending = F.col("_early").isNull()
-    # Join key: the uid for messages that reach step 4; for the others a
-    # per-message key that can never equal a uid (uids that pass the rules
-    # are alphanumeric), so decided messages spread evenly and match nothing.
-    jk = F.when(pending, F.col("order_uid")).otherwise(
-        F.concat(F.lit("#"), F.col("topic"), F.lit("#"), F.col("partition").cast("string"),
-                 F.lit("#"), F.col("offset").cast("string")))
-    c = c.withColumn("_jk", jk)
-
-    winners = (c.filter(pending & F.col("child_error").isNull())
-               .groupBy(F.col("_jk")).agg(F.min(seq()).alias("_win")))
-    p = c.join(winners, "_jk", "left")
+    place = F.struct(*[F.col(c) for c in SEQ_COLS], F.col("_vh"))
+    claims = n.filter(pending & F.col("child_error").isNull()).select("order_uid", place.alias("_seq"), F.lit(False).alias("_stored"))
     if stored_uids is not None:
-        prior = (stored_uids.select(F.col("order_uid").alias("_jk")).distinct()
-                 .withColumn("_stored", F.lit(True)))
-        p = p.join(prior, "_jk", "left")
-    else:
-        p = p.withColumn("_stored", F.lit(False))
-    lost = F.coalesce(F.col("_stored"), F.lit(False)) | (F.col("_win").isNotNull() & (F.col("_win") < seq()))
+        prior = stored_uids.select("order_uid", F.lit(None).cast(claims.schema["_seq"].dataType).alias("_seq"), F.lit(True).alias("_stored"))
+        claims = claims.unionByName(prior)
+    winners = claims.groupBy(F.col("order_uid").alias("_uid")).agg(F.min("_seq").alias("_win"), F.max("_stored").alias("_stored"))
+    if materialize:
+        winners = written(winners, "winners")
+    # uids that pass the rules are alphanumeric: a key with '#' matches none
+    key = F.when(pending, F.col("order_uid")).otherwise(F.concat(F.lit("#"), F.col("message_id")))
+    p = n.withColumn("_key", key).join(winners, F.col("_key") == F.col("_uid"), "left")
+    p = p.select("*", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))
+    stored = F.coalesce(F.col("_stored"), F.lit(False))
+    beaten = F.col("_win").isNotNull() & (F.col("_win") < place)
+    again = (F.col("copy") > 1) & F.col("child_error").isNull()
     late = (
-        F.when(lost, _outcome(INVALID, R_EXISTS, F.concat(F.lit(MSG_EXISTS_PREFIX), F.col("order_uid"))))
+        F.when(stored | beaten | again, _outcome(INVALID, R_EXISTS, F.concat(F.lit(MSG_EXISTS_PREFIX), F.col("order_uid"))))
         .when(F.col("child_error").isNotNull(),
               _outcome(ERROR, R_UNHANDLED, F.concat(F.lit(MSG_SAVE_PREFIX), F.col("child_error"))))
         .otherwise(_outcome(VALID, None, F.lit(None)))
     )
     o = F.coalesce(F.col("_early"), late)
-    cols = [x for x in c.columns if x not in ("_early", "_jk")]
-    return p.select(
-        *cols,
-        o["status"].alias("status"),
-        o["reason"].alias("reason"),
-        o["error_text"].alias("error_text"),
-        o["reason"].isNotNull().alias("dead_lettered"),
-    )
+    return p.select("message_id", "copy", *SEQ_COLS, "order_uid", o["status"].alias("status"), o["reason"].alias("reason"),
+                    o["error_text"].alias("error_text"), o["reason"].isNotNull().alias("dead_lettered"))
+
+
+OUTCOME_COLS = ["status", "reason", "error_text", "dead_lettered"]
+
+
+def attach(messages: DataFrame, decided: DataFrame) -> DataFrame:
+    """Messages (any frame with the envelope columns) with their outcomes.
+
+    The payload is shuffled once, by message id; copies of one message are
+    numbered there and take the outcomes of their numbers.
+    """
+    numbered = messages.withColumn("_id", message_id())
+    numbered = numbered.withColumn("_copy", F.row_number().over(Window.partitionBy("_id").orderBy("offset")))
+    # written as a difference, so the join's key is the id alone, by which the rows already lie
+    same = (F.col("_id") == F.col("message_id")) & (F.col("_copy") - F.col("copy") == 0)
+    joined = numbered.join(decided.select("message_id", "copy", *OUTCOME_COLS), same)
+    return joined.select(*messages.columns, *OUTCOME_COLS)
+
+
+def route(messages: DataFrame, stored_uids: DataFrame | None = None, materialize: bool = False) -> DataFrame:
+    """One outcome row per message, with its payload.
+
+    Output: the envelope, ``order``, ``order_uid``, ``decode_error``,
+    ``violations`` and the outcome columns.
+    """
+    c = checked_messages(messages)
+    return attach(c, decide(c, stored_uids, materialize))
 
 
 def dead_letters(routed: DataFrame) -> DataFrame:

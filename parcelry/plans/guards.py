@@ -12,6 +12,8 @@ measured shuffle sizes.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelry.session import checkpoint_dir
@@ -45,15 +47,28 @@ def row_count_at_most(df: DataFrame, n: int) -> bool:
     return df.limit(n + 1).count() <= n
 
 
-# Proven decisions, per session: (semantic plan hash, input files, bound) ->
-# bool.  The file list is part of the key, so a changed table is re-checked.
+# Proven decisions: (plan hash, input files with length and time, bound) ->
+# bool.  A file rewritten in place has another length or time, so its side is
+# counted again.
 _DECISIONS: dict[tuple, bool] = {}
 
 
+def file_stamps(df: DataFrame) -> tuple:
+    """(path, length, modification time) of every input file, through Hadoop's FileSystem."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        st = path.getFileSystem(conf).getFileStatus(path)
+        out.append((name, st.getLen(), st.getModificationTime()))
+    return tuple(out)
+
+
 def _decision_key(df: DataFrame, bound: int) -> tuple | None:
     try:
-        return (id(df.sparkSession), df.semanticHash(), tuple(sorted(df.inputFiles())), bound)
-    except Exception:  # noqa: BLE001
+        return (df.sparkSession.sparkContext.applicationId, df.semanticHash(), file_stamps(df), bound)
+    except Exception:  # noqa: BLE001 - no key: the side is counted every time
         return None
 
 
@@ -61,9 +76,9 @@ def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Broadcast ``df`` only if its row count is proven <= ``max_rows``.
 
     Two steps: a side whose size estimate is large is left to a shuffle join
-    at once (no job); a small one is counted exactly with a bounded limit
-    before it is marked for broadcast.  The outcome is remembered for the
-    same plan over the same files.
+    at once (no job); any other, also one without an estimate, is counted
+    with a bounded limit before it is marked for broadcast.  The outcome is
+    remembered for the same plan over the same files.
     """
     bound = max_rows if max_rows is not None else max_broadcast_rows(df)
     est = estimated_bytes(df)
@@ -78,6 +93,17 @@ def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet under ``spark.checkpoint.dir`` and read back.
+
+    Like ``cut_lineage`` but in columns, and a scan has no partitioning: a
+    join on it gets its own exchanges, which AQE can split where a key is hot.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint under ``spark.checkpoint.dir`` (survives executor loss)."""
     checkpoint_dir(df.sparkSession)

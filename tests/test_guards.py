@@ -33,6 +33,7 @@ def test_cut_lineage_keeps_rows(spark):
 
 def test_lag_from_progress(spark):
     progress = {"sources": [{"endOffset": '{"orders": {"0": 10, "1": 7}}',
-                             "latestOffset": '{"orders": {"0": 15, "1": 7}}'}]}
+                             "startOffset": '{"orders": {"2": 4}}',
+                             "latestOffset": '{"orders": {"0": 15, "1": 7, "2": 14, "3": 10}}'}]}
     got = {(r.topic, r.partition): r.lag for r in lag_from_progress(spark, progress).collect()}
-    assert got == {("orders", 0): 5, ("orders", 1): 0}
+    assert got == {("orders", 0): 5, ("orders", 1): 0, ("orders", 2): 10, ("orders", 3): 10}

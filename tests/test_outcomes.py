@@ -68,15 +68,40 @@ def test_conservation_and_dead_letter_headers(spark):
 
 def test_hot_uid_third_of_messages(spark):
     """One uid on a third of all messages: exactly one winner, the rest
-    already-exists; the winners aggregate combines map-side (partial agg)."""
+    already-exists, and the executed join splits the hot partition."""
     t0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
-    vals = [order(order_uid="hot") if i % 3 == 0 else order(order_uid=f"u{i}") for i in range(300)]
-    rows = envelope_rows(vals, ts=t0)
-    df = spark.createDataFrame(rows, schemas.ENVELOPE).repartition(8)
-    r = out.route(df)
-    hot = {(x.status, x.reason): x["count"] for x in
-           r.filter(F.col("order_uid") == "hot").groupBy("status", "reason").count().collect()}
-    assert hot == {("valid", None): 1, ("invalid", "already_exists"): 99}
-    assert r.filter(F.col("order_uid") != "hot").filter(F.col("status") != "valid").count() == 0
-    plan = r._jdf.queryExecution().executedPlan().toString()
-    assert "partial_min" in plan
+    n = 30_000
+    # unique incompressible errors make the narrow rows wide enough for small skew thresholds
+    i = F.col("id")
+    checked = spark.range(n).select(
+        F.lit("t").alias("topic"), F.lit(0).alias("partition"), i.alias("offset"), F.lit(t0).alias("timestamp"),
+        F.sha2(i.cast("string"), 512).cast("binary").alias("value"), F.lit(True).alias("decode_ok"),
+        F.array().cast("array<string>").alias("violations"), F.lit(None).cast("string").alias("order_error"),
+        F.when(i % 3 == 2, F.concat(F.sha2(i.cast("string"), 512), F.sha2((i + n).cast("string"), 512))).alias("child_error"),
+        F.when(i % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), i.cast("string"))).alias("order_uid"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        d = out.decide(checked, materialize=True).select("order_uid", "status", "reason", "error_text")
+        rows = d.collect()
+        plan = d._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    hot = [(r.status, r.reason) for r in rows if r.order_uid == "hot"]
+    assert len(rows) == n and hot.count(("valid", None)) == 1 and hot.count(("invalid", "already_exists")) == n // 3 - 1
+    assert {r.status for r in rows if r.order_uid != "hot"} == {"valid", "error"}
+    assert "skew=true" in plan
+
+
+def test_two_messages_of_one_identity(spark):
+    """Equal coordinates: one value wins; a repeated row is one message delivered twice."""
+    one = envelope_rows([order(order_uid="u1")]) * 2 + envelope_rows([order(order_uid="u1", sm_id=7)])
+    got = [(r.order_uid, r.status, r.reason) for r in _route(spark, one)]
+    assert sorted(got, key=str) == [("u1", "invalid", "already_exists")] * 2 + [("u1", "valid", None)]
+    decided = out.decide(out.checked_messages(spark.createDataFrame(one, schemas.ENVELOPE)), materialize=True)
+    assert sorted(r["copy"] for r in decided.collect()) == [1, 1, 2]

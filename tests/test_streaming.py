@@ -2,13 +2,18 @@
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from parcelry.operators import series as ser
 from parcelry.operators.outcomes import route
-from parcelry.sources.messages import json_array_messages, order_messages
+from parcelry import schemas
+from parcelry.operators.normalize import read_store
+from parcelry.sources.messages import json_array_messages, message_table, order_messages
 from parcelry.streaming.intake import IntakeSink, file_source, start_intake, windowed_rate_stream
 from tests.conftest import SF_SMALL
+from tests.helpers import envelope_rows, order
 
 
 def _write_envelope_files(spark, df, path, n_files):
@@ -46,7 +51,8 @@ def test_stream_equals_batch_and_replay(spark, scratch):
     ids = ["topic", "partition", "offset"]
     first = spark.read.parquet(src).join(log.filter("batch_id = 0").select(*ids), ids, "left_semi")
     assert first.count() > 0
-    IntakeSink(root)(first, 0)
+    run = stored.first()["run_id"]
+    IntakeSink(root, run)(first, 0)
     assert spark.read.parquet(os.path.join(root, "orders")).count() == n_stored
     after = spark.read.parquet(os.path.join(root, "outcomes"))
     assert {r.status: r["count"] for r in after.groupBy("status").count().collect()} == stream_counts
@@ -54,31 +60,75 @@ def test_stream_equals_batch_and_replay(spark, scratch):
     assert dl.count() == batch.filter("dead_lettered").count()
 
 
-def test_windowed_rate_stream_matches_batch(spark, scratch):
+def _envelope(spark, uids, start=0):
+    return spark.createDataFrame(envelope_rows([order(order_uid=u) for u in uids], start_offset=start), schemas.ENVELOPE)
+
+
+def test_new_checkpoint_on_an_old_root_loses_nothing(spark, scratch):
+    src, root = os.path.join(scratch, "in"), os.path.join(scratch, "out")
+    _envelope(spark, ["a1"]).write.parquet(src)
+    start_intake(file_source(spark, src), root, os.path.join(scratch, "c1"), available_now=True).awaitTermination(300)
+    src2 = os.path.join(scratch, "in2")
+    _envelope(spark, ["b1", "a1"], start=5).write.parquet(src2)
+    start_intake(file_source(spark, src2), root, os.path.join(scratch, "c2"), available_now=True).awaitTermination(300)
+    stored = [r["order_uid"] for r in read_store(spark, f"{root}/orders").collect()]
+    assert sorted(stored) == ["a1", "b1"]
+    log = {(r["order_uid"], r["offset"]): r["status"] for r in spark.read.parquet(f"{root}/outcomes").collect()}
+    assert log == {("a1", 0): "valid", ("b1", 5): "valid", ("a1", 6): "invalid"}
+
+
+def test_unreadable_store_fails_the_batch(spark, scratch):
+    sink = IntakeSink(scratch)
+    sink(_envelope(spark, ["k1"]), 0)
+    for folder, _, names in os.walk(sink.uid_path):
+        for n in names:
+            with open(os.path.join(folder, n), "wb") as f:
+                f.write(b"broken" if n.endswith(".parquet") else b"")
+    with pytest.raises(Exception, match="(?i)parquet|magic|corrupt|read"):
+        sink(_envelope(spark, ["k1"], start=9), 1)
+    assert [r["order_uid"] for r in read_store(spark, sink.store_path).collect()] == ["k1"]
+
+
+def test_windowed_rate_stream_finalises_by_watermark(spark, scratch):
+    """Append mode: only windows that the watermark has passed come out, each once, with the batch's counts."""
     src = os.path.join(scratch, "events")
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").select(
         F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    ev.write.parquet(src)
-    stream = spark.readStream.schema(ev.schema).parquet(src)
+    ev.orderBy("ts").coalesce(1).write.option("maxRecordsPerFile", 400).parquet(src)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
     agg = windowed_rate_stream(stream, "ts", ["event_type"])
-    q = agg.writeStream.outputMode("complete").format("memory").queryName("rates_t").start()
+    q = agg.writeStream.outputMode("append").format("memory").queryName("rates_t").start()
     q.processAllAvailable()
     q.stop()
-    got = {(r.window_start, r.event_type): r.n for r in spark.table("rates_t").collect()}
+    rows = spark.table("rates_t").collect()
+    got = {(r.window_start, r.event_type): r.n for r in rows}
     want = {(r.window_start, r.event_type): r.n for r in ser.window_rate(ev, "ts", ["event_type"]).collect()}
-    assert got == want
+    assert len(got) == len(rows) and 0 < len(got) < len(want)
+    assert all(want[k] == n for k, n in got.items())
 
 
 def test_json_array_source(spark, scratch):
     d = os.path.join(scratch, "arr")
     os.makedirs(d)
-    with open(os.path.join(d, "a.json"), "w") as f:
-        f.write('[{"order_uid": "a1"}, {"order_uid": "a2", "items": []}]')
-    with open(os.path.join(d, "b.json"), "w") as f:
-        f.write('[{"order_uid": "b1"}, {"broken": ')
+    files = {"a.json": '[{"order_uid": "a1"}, {"order_uid":"a2","items":[]} ]', "b.json": '[{"order_uid": "b1"}, {"broken": ',
+             "c.json": "not an array", "d.json": "", "e.json": "[]", "f.json": '[1, "x"\n , null'}
+    for name, text in files.items():
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
     rows = json_array_messages(spark, d).orderBy("file", "offset").collect()
-    a = [r for r in rows if r.file.endswith("a.json")]
-    b = [r for r in rows if r.file.endswith("b.json")]
-    assert [bytes(r.value).decode() for r in a] == ['{"order_uid":"a1"}', '{"order_uid":"a2","items":[]}']
-    assert len(b) == 1 and b[0].value is None
+    got = {}
+    for r in rows:
+        got.setdefault(os.path.basename(r.file), []).append(bytes(r.value).decode())
+    assert got == {"a.json": ['{"order_uid": "a1"}', '{"order_uid":"a2","items":[]}'], "b.json": ['{"order_uid": "b1"}'],
+                   "f.json": ["1", '"x"', "null"]}
     assert len({(r.topic, r.partition, r.offset) for r in rows}) == len(rows)
+
+
+def test_message_table_sees_new_input(spark, scratch):
+    for t in ("orders", "customer", "nation", "region", "lineitem", "part"):
+        spark.read.parquet(f"{SF_SMALL}/{t}.parquet").write.parquet(f"{scratch}/{t}.parquet")
+    n = message_table(spark, scratch).count()
+    assert message_table(spark, scratch).count() == n
+    extra = spark.read.parquet(f"{SF_SMALL}/orders.parquet").limit(1).withColumn("o_orderkey", F.lit(10 ** 9).cast("long"))
+    extra.select(spark.read.parquet(f"{scratch}/orders.parquet").columns).write.mode("append").parquet(f"{scratch}/orders.parquet")
+    assert message_table(spark, scratch).count() == n + 1

@@ -96,6 +96,13 @@ def schema_pattern() -> str:
 SCHEMA_PATTERN = schema_pattern()
 
 
+# Every leniency of the JSON reader that a strict decoder does not have is off.
+STRICT_JSON = {
+    "allowSingleQuotes": "false", "allowUnquotedFieldNames": "false", "allowNumericLeadingZeros": "false",
+    "allowNonNumericNumbers": "false", "allowBackslashEscapingAnyCharacter": "false", "allowComments": "false",
+    "allowUnquotedControlChars": "false", "mode": "PERMISSIVE",
+}
+
 # A key (in the variant schema text) holding an upper-case letter: such a
 # document needs case-insensitive key matching, done on the slow path.  Type
 # names are upper case too but are never followed by ": ".
@@ -130,7 +137,7 @@ def decode_messages(df: DataFrame, value_col: str = "value") -> DataFrame:
     slow = v.isNull() | F.coalesce(vs.rlike(_UPPER_KEY), F.lit(False))
     s3 = s2.select(
         "*", slow.alias("_slow"),
-        F.when(slow, _lower_keys(F.from_json(txt, MAP_T))).alias("_m"),
+        F.when(slow, _lower_keys(F.from_json(txt, MAP_T, STRICT_JSON))).alias("_m"),
     )
     sl, m = F.col("_slow"), F.col("_m")
     s4 = s3.select(

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from parcelry import schemas
 from parcelry.functions.formats import timestamp_text
 from parcelry.functions.sizes import order_size
-from parcelry.plans.guards import bounded_broadcast
+from parcelry.plans.guards import bounded_broadcast, max_broadcast_rows
 from parcelry.sources.tables import item_lines, order_headers
 
 JSON_OPTS = {"ignoreNullFields": "false"}
@@ -95,8 +95,6 @@ def order_documents_for_keys(spark: SparkSession, sf_dir: str, keys: DataFrame)
     return order_documents(facts)
 
 
-
-
 def order_by_uid(spark: SparkSession, sf_dir: str, uid: str) -> DataFrame:
     """Single-uid lookup; the key filter reaches the orders and lineitem scans."""
     facts = order_facts(spark, sf_dir)
@@ -181,31 +179,26 @@ def latest_order_keys(headers: DataFrame, n: int) -> DataFrame:
     return headers.orderBy(F.col("updated_at").desc_nulls_first(), F.col("order_uid")).limit(n)
 
 
-# Up to this many keys are pushed into the scans as a literal IN list
-# (Parquet min/max pruning); beyond it they are a broadcast semi-join.
-MAX_PUSHED_KEYS = 10_000
-
-
 def latest_orders(spark: SparkSession, sf_dir: str, n: int = PRELOAD_SIZE) -> DataFrame:
     """Documents of the latest ``n`` orders, ranked 1..n.
 
-    Reduced plan: rank the headers first (TakeOrderedAndProject), take the
-    ``n`` keys - bounded by the limit, which is the feature - and push them
-    into the orders and lineitem scans, so items are grouped for n orders
-    only and row groups outside the keys' range are skipped.
+    One lazy plan: the joined headers are ranked once (TakeOrderedAndProject)
+    and carried on, and line items are semi-joined with the ``n`` keys before
+    they are grouped.  The keys are broadcast where ``n`` itself bounds them
+    to the broadcast limit, else Spark shuffles.  The rank is a window over
+    narrow rows: times and keys, at most ``n``.
     """
-    top = latest_order_keys(order_headers(spark, sf_dir), n)
-    if n <= MAX_PUSHED_KEYS:
-        keys = [r[0] for r in top.select("order_key").collect()]
-        headers = order_headers(spark, sf_dir).filter(F.col("order_key").isin(keys))
-        lines = item_lines(spark, sf_dir).filter(F.col("order_key").isin(keys))
-    else:
-        k = F.broadcast(top.select("order_key"))  # bounded by the limit n
-        headers, lines = top, item_lines(spark, sf_dir).join(k, "order_key", "left_semi")
-    facts = with_items(headers, items_per_order(lines))
+    headers = order_headers(spark, sf_dir)
+    top = latest_order_keys(headers, n)
     w = Window.orderBy(F.col("updated_at").desc_nulls_first(), F.col("order_uid"))
+    ranks = top.select("order_key", F.row_number().over(w).alias("rank"))
+    keys = ranks.select("order_key")
+    if n <= max_broadcast_rows(headers):
+        keys, ranks = F.broadcast(keys), F.broadcast(ranks)
+    lines = item_lines(spark, sf_dir).join(keys, "order_key", "left_semi")
+    facts = with_items(top.join(ranks, "order_key"), items_per_order(lines))
     return facts.select(
-        F.row_number().over(w).alias("rank"),
+        "rank",
         "order_uid",
         document_json(facts).alias("document"),
         order_size(order_struct(facts)).alias("size_bytes"),

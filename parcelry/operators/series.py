@@ -11,6 +11,8 @@ hot series is spread over its time buckets.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Histogram bucket upper bounds of the original metrics.
@@ -127,18 +129,25 @@ def histogram_quantile(q: float, cum: Column, bounds: list[float] = DEFAULT_BUCK
 def window_rate(df: DataFrame, ts: str, keys: list[str], range_s: int = RANGE_SECONDS,
                 step_s: int = STEP_SECONDS) -> DataFrame:
     """Events per second over sliding windows ``[start, start + range)``
-    every ``step`` (the batch twin of ``window(ts, '5 minutes', '1 minute')``).
-
-    Plan: count per (step bucket, keys) first (partial aggregation), then fan
-    each bucket count out to the range/step windows that contain it and sum.
-    The fan-out multiplies bucket counts, not raw rows.
+    every ``step``, for any range and step (the batch twin of
+    ``window(ts, '5 minutes', '1 minute')``; with a step beyond the range,
+    rows between two windows are in none).
+
+    Plan: count per (bucket, keys) first (partial aggregation; a bucket is
+    the greatest common divisor of range and step wide), then fan each
+    bucket count out to the windows that contain it and sum.  The fan-out
+    multiplies bucket counts, not raw rows.
     """
-    k = range_s // step_s
-    bucket = F.timestamp_seconds(F.floor(F.unix_seconds(F.col(ts)) / step_s) * step_s)
-    per_step = df.groupBy(bucket.alias("_b"), *keys).agg(F.count(F.lit(1)).alias("_n"))
-    fan = per_step.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_j"))
-    fan = fan.select(*keys, "_n", (F.col("_b") - F.make_dt_interval(secs=F.col("_j") * step_s)).alias("window_start"))
-    g = fan.groupBy("window_start", *keys).agg(F.sum("_n").alias("n"))
+    grain = math.gcd(range_s, step_s)
+    bucket = F.floor(F.unix_seconds(F.col(ts)) / grain) * grain
+    per = df.groupBy(bucket.cast("long").alias("_b"), *keys).agg(F.count(F.lit(1)).alias("_n"))
+    # windows start at multiples of the step; the last to hold the bucket
+    # starts at or before it, the first ends with it
+    last = F.floor(F.col("_b") / step_s) * step_s
+    more = F.floor((last - (F.col("_b") + grain - range_s)) / step_s)
+    fan = per.filter(more >= 0).select(*keys, "_n", F.explode(F.transform(
+        F.sequence(F.lit(0).cast("long"), more.cast("long")), lambda j: last - j * step_s)).alias("_start"))
+    g = fan.groupBy(F.timestamp_seconds("_start").alias("window_start"), *keys).agg(F.sum("_n").alias("n"))
     return g.select("window_start", *keys, "n", F.round(F.col("n") / range_s, 6).alias("rate"))
 
 
@@ -150,6 +159,12 @@ def _range_start(ts: Column, range_s: int) -> Column:
     return F.timestamp_seconds(F.floor(F.unix_seconds(ts) / range_s) * range_s)
 
 
+def _sample_order(samples: DataFrame) -> list[Column]:
+    """Time, then the sample's id (if it has one), then its value: the order of a series is total."""
+    ids = [F.col("sample_id")] if "sample_id" in samples.columns else []
+    return [F.col("ts"), *ids, F.col("value")]
+
+
 def counter_deltas(samples: DataFrame, range_s: int = RANGE_SECONDS) -> DataFrame:
     """Per sample: ``window_start`` of its tumbling range and the reset-aware
     delta to the previous sample *in the same range* (null for the first).
@@ -158,10 +173,11 @@ def counter_deltas(samples: DataFrame, range_s: int = RANGE_SECONDS) -> DataFram
     partitioned by (series, range start): a hot series is split by time.
     """
     s = samples.withColumn("window_start", _range_start(F.col("ts"), range_s))
-    w = Window.partitionBy("series", "window_start").orderBy("ts")
+    order = _sample_order(samples)
+    w = Window.partitionBy("series", "window_start").orderBy(*order)
     prev = F.lag("value").over(w)
     prev_ts = F.lag("ts").over(w)
-    return s.select("series", "window_start", "ts", "value",
+    return s.select("series", "window_start", "ts", "value", F.struct(*order).alias("place"),
                     F.when(prev.isNull(), F.lit(None)).when(F.col("value") < prev, F.col("value"))
                     .otherwise(F.col("value") - prev).alias("delta"),
                     (F.unix_micros(F.col("ts")) - F.unix_micros(prev_ts)).alias("dt_us"))
@@ -181,9 +197,9 @@ def counter_irate(samples: DataFrame, range_s: int = RANGE_SECONDS) -> DataFrame
     """D1 (inner part): per (series, range) the rate between the last two
     samples of the range, reset-aware; ranges with one sample are absent."""
     d = counter_deltas(samples, range_s).filter(F.col("delta").isNotNull())
-    last = d.groupBy("series", "window_start").agg(F.max_by(F.struct("delta", "dt_us"), "ts").alias("l"))
-    return last.select("series", "window_start",
-                       F.round(F.col("l.delta") / (F.col("l.dt_us") / 1e6), 6).alias("irate"))
+    last = d.groupBy("series", "window_start").agg(F.max_by(F.struct("delta", "dt_us"), "place").alias("l"))
+    # two samples of one instant have no rate between them
+    return last.select("series", "window_start", F.try_divide(F.col("l.delta"), F.col("l.dt_us") / 1e6).alias("irate"))
 
 
 # --------------------------------------------------------------------------
@@ -193,8 +209,9 @@ def counter_irate(samples: DataFrame, range_s: int = RANGE_SECONDS) -> DataFrame
 def latest_non_null(samples: DataFrame) -> DataFrame:
     """Per series the latest non-null value (nulls filtered first;
     ``max_by`` alone would return a null value)."""
+    order = F.struct(*_sample_order(samples))
     return samples.filter(F.col("value").isNotNull()).groupBy("series").agg(
-        F.max_by("value", "ts").alias("value"), F.max("ts").alias("ts"))
+        F.max_by("value", order).alias("value"), F.max("ts").alias("ts"))
 
 
 def status_text(v: Column) -> Column:

@@ -158,25 +158,26 @@ def storable_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("partition", "offset", "order_uid", "order_error", "child_error")
 
 
-def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out.route(message_table(spark, sf_dir), materialize=True)
+def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes without payloads; the narrow checked frame is written once, so each message is decoded once."""
+    return out.decide(_checked(spark, sf_dir), materialize=True)
 
 
 def message_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _routed(spark, sf_dir).select("topic", "partition", "offset", "order_uid", "status", "reason",
+    return _decided(spark, sf_dir).select("topic", "partition", "offset", "order_uid", "status", "reason",
                                          "error_text", "dead_lettered")
 
 
 def outcomes_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out.outcome_counts(_routed(spark, sf_dir))
+    return out.outcome_counts(_decided(spark, sf_dir))
 
 
 def dead_letters_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out.dead_letter_counts(_routed(spark, sf_dir))
+    return out.dead_letter_counts(_decided(spark, sf_dir))
 
 
 def dead_letter_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = out.dead_letters(_routed(spark, sf_dir))
+    d = out.dead_letters(out.attach(message_table(spark, sf_dir), _decided(spark, sf_dir).filter("dead_lettered")))
     last = F.element_at("headers", -1)
     return d.select("partition", "offset", "reason", F.size("headers").alias("n_headers"),
                     F.col("headers")[0]["key"].alias("first_header"), last["key"].alias("last_header"),

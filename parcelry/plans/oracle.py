@@ -636,7 +636,7 @@ FROM inc GROUP BY series % 8, ws
 """,
     "irate_by_series": f"""
 WITH {COUNTER_CTE},
-ir AS (SELECT series, ws, round(delta / ((epoch_us(ts) - epoch_us(pts)) / 1e6), 6) AS irate
+ir AS (SELECT series, ws, delta / ((epoch_us(ts) - epoch_us(pts)) / 1e6) AS irate
        FROM dd WHERE rn = 1 AND delta IS NOT NULL)
 SELECT series % 8 AS instance, {ts_text('ws')} AS window_start, round(100.0 - avg(irate) * 100, 6) AS cpu_pct
 FROM ir GROUP BY series % 8, ws

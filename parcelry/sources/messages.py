@@ -9,10 +9,19 @@ so runs repeat and the SQL oracle recomputes them.
 
 from __future__ import annotations
 
+import hashlib
+import importlib
+import inspect
+import json
+import re
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parcelry import schemas
 from parcelry.operators.documents import empty_items, order_facts
+from parcelry.session import checkpoint_dir
 
 TOPIC = "orders"
 PARTITIONS = 4
@@ -129,29 +138,57 @@ def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # JSON-array files -> one raw message per element
 # --------------------------------------------------------------------------
 
+def _elements(text: str) -> list[str]:
+    """The elements of a JSON array as written, up to the first syntax error.
+
+    Like a streaming decoder: what was read before an error has been sent.
+    """
+    skip, found = re.compile(r"[ \t\r\n]*"), []
+    decoder = json.JSONDecoder()
+    at = skip.match(text).end()
+    if text[at : at + 1] != "[":
+        return found
+    at = skip.match(text, at + 1).end()
+    while at < len(text) and text[at] != "]":
+        try:
+            end = decoder.raw_decode(text, at)[1]
+        except (ValueError, RecursionError):
+            break
+        found.append(text[at:end])
+        at = skip.match(text, end).end()
+        if text[at : at + 1] != ",":
+            break
+        at = skip.match(text, at + 1).end()
+    return found
+
+
 def json_array_messages(spark: SparkSession, path: str, topic: str = TOPIC) -> DataFrame:
     """Read files holding ``[{...}, {...}, ...]``; one message per element.
 
-    One file is one task (whole-text read), so keep files small or convert
-    to JSON Lines first.  A file that does not parse as an array yields one
-    row with a null value (reported later as a decode failure) instead of
-    the elements before the syntax error.  Elements are re-printed from the
-    parsed tokens (key order kept, insignificant spacing dropped).
+    Elements are passed on as they are written; those before a syntax error
+    are kept, and a file that is no array gives none.  One file is one task
+    (whole-text read), so keep files small or convert to JSON Lines first.
+    The topic of a message names its file and the offset is the element's
+    place, so coordinates are unique across files.
     """
+    def split(batches):
+        for batch in batches:
+            for file, text in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist()):
+                found = _elements(text)
+                yield pa.RecordBatch.from_pydict(
+                    {"file": [file] * len(found), "pos": list(range(len(found))), "elem": [e.encode() for e in found]},
+                    pa.schema([("file", pa.string()), ("pos", pa.int64()), ("elem", pa.binary())]))
+
     raw = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("file"), F.col("value").alias("text"))
-    # array<string>: each element comes back as its own JSON text, key order kept
-    arr = F.from_json(F.make_valid_utf8(F.col("text")), "array<string>")
-    x = raw.select("file", F.posexplode_outer(arr).alias("pos", "elem"))
+        F.input_file_name().alias("file"), F.make_valid_utf8("value").alias("text"))
+    x = raw.mapInArrow(split, "file string, pos long, elem binary")
     return x.select(
         F.lit(None).cast("binary").alias("key"),
-        F.col("elem").cast("binary").alias("value"),
+        F.col("elem").alias("value"),
         F.array().cast("array<struct<key:string,value:binary>>").alias("headers"),
-        F.lit(topic).alias("topic"),
-        # one "partition" per file (hash of its path), offset = element index,
-        # so (topic, partition, offset) identifies a message across files
-        F.pmod(F.xxhash64("file"), F.lit(2147483647)).cast("int").alias("partition"),
-        F.coalesce(F.col("pos"), F.lit(0)).cast("long").alias("offset"),
+        F.concat(F.lit(f"{topic}@"), F.col("file")).alias("topic"),
+        F.lit(0).alias("partition"),
+        F.col("pos").alias("offset"),
         F.lit(None).cast("timestamp").alias("timestamp"),
         F.col("file"),
     )
@@ -161,37 +198,53 @@ def json_array_messages(spark: SparkSession, path: str, topic: str = TOPIC) -> D
 # Materialised message table (a written table in the shared folder)
 # --------------------------------------------------------------------------
 
-def _fs_status(spark: SparkSession, path: str):
-    """Hadoop FileSystem status of ``path`` (any scheme), or None."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    return fs.getFileStatus(p) if fs.exists(p) else None
+def _hadoop_path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _listing(spark: SparkSession, path: str) -> str:
+    """Every file below ``path`` with its length and time, sorted (any Hadoop file system)."""
+    p, fs = _hadoop_path(spark, path)
+    if not fs.exists(p):
+        return f"{path}: none"
+    found, files = [], fs.listFiles(p, True)
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return ";".join(sorted(found))
+
+
+# Modules whose code shapes the message rows.
+_GENERATORS = ("parcelry.sources.messages", "parcelry.sources.tables", "parcelry.operators.documents",
+               "parcelry.functions.formats", "parcelry.schemas")
+
+
+def _signature(spark: SparkSession, sf_dir: str) -> str:
+    sig = hashlib.sha256()
+    for name in _GENERATORS:
+        sig.update(inspect.getsource(importlib.import_module(name)).encode())  # also from a zip
+    for t in ("orders", "customer", "nation", "region", "lineitem", "part"):
+        sig.update(_listing(spark, f"{sf_dir.rstrip('/')}/{t}.parquet").encode())
+    return sig.hexdigest()[:16]
 
 
 def message_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``order_messages`` written once as Parquet under ``spark.checkpoint.dir``
     and read back, the way messages sit in a topic or landing folder.
 
-    The folder name is a hash of the source tables' files (path, length and
-    modification time) and of this module's code, so changed inputs or a
-    changed generator give a new table.  A finished
-    write leaves ``_SUCCESS``; an unfinished one is overwritten.  Paths go
-    through the Hadoop FileSystem API, so shared cluster storage works.
+    The folder name is a hash of every file below the source tables (path,
+    length, time) and of the code that builds the rows, so changed inputs,
+    also an appended file, or changed code give a new table.  A table is
+    written under a name of its own and then renamed, so two drivers never
+    write to one path; whoever comes second uses the first one's table.
     """
-    import hashlib
-
-    from parcelry.session import checkpoint_dir
-
     root = checkpoint_dir(spark).rstrip("/")
-    sig = hashlib.sha256()
-    with open(__file__, "rb") as f:
-        sig.update(f.read())
-    for t in ("orders", "customer", "nation", "region", "lineitem", "part"):
-        p = f"{sf_dir.rstrip('/')}/{t}.parquet"
-        st = _fs_status(spark, p)
-        sig.update(f"{p}:{st.getLen() if st else 0}:{st.getModificationTime() if st else 0};".encode())
-    path = f"{root}/messages-{sig.hexdigest()[:16]}"
-    if _fs_status(spark, f"{path}/_SUCCESS") is None:
-        order_messages(spark, sf_dir).write.mode("overwrite").parquet(path)
+    path = f"{root}/messages-{_signature(spark, sf_dir)}"
+    done, fs = _hadoop_path(spark, path)
+    if not fs.exists(done):
+        own, _ = _hadoop_path(spark, f"{path}-{uuid.uuid4().hex}")
+        order_messages(spark, sf_dir).write.parquet(own.toString())
+        if not fs.rename(own, done) and not fs.exists(done):
+            raise OSError(f"cannot rename {own.toString()} to {path}")
     return spark.read.schema(schemas.ENVELOPE).parquet(path)

@@ -51,22 +51,22 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(series, ts, value) - a counter per user with resets (``event_id % 500``)."""
-    return _events(spark, sf_dir).select(F.col("user_id").alias("series"), "ts",
+    """(series, sample_id, ts, value) - a counter per user with resets (``event_id % 500``)."""
+    return _events(spark, sf_dir).select(F.col("user_id").alias("series"), F.col("event_id").alias("sample_id"), "ts",
                                          (F.col("event_id") % 500).cast("double").alias("value"))
 
 
 def gauge_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(series, ts, value) - a gauge per user: ``round(value)``."""
-    return _events(spark, sf_dir).select(F.col("user_id").alias("series"), "ts",
+    """(series, sample_id, ts, value) - a gauge per user: ``round(value)``."""
+    return _events(spark, sf_dir).select(F.col("user_id").alias("series"), F.col("event_id").alias("sample_id"), "ts",
                                          F.round("value").alias("value"))
 
 
 def status_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(series, ts, value) - a 0/1 up gauge per user, null every 7th event."""
+    """(series, sample_id, ts, value) - a 0/1 up gauge per user, null every 7th event."""
     e = _events(spark, sf_dir)
     v = F.when(F.col("event_id") % 7 != 0, (F.col("event_id") % 2).cast("double"))
-    return e.select(F.col("user_id").alias("series"), "ts", v.alias("value"))
+    return e.select(F.col("user_id").alias("series"), F.col("event_id").alias("sample_id"), "ts", v.alias("value"))
 
 
 def partition_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ import os
 import duckdb
 
 import __spark_entry__ as E
+from parcelry.plans.catalog import catalog
+from parcelry.plans.oracle import oracle_sql
 from parcelry.sources.tables import TABLE_NAMES
 from tests.conftest import SF_SMALL
 from tools.oracle_check import digest
@@ -16,9 +18,9 @@ def test_all_queries_match_oracle(spark):
         p = f"{SF_SMALL}/{t}.parquet"
         if os.path.exists(p):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
-    sqls = E.oracle_sql()
+    sqls = oracle_sql()
     bad = []
-    for name, fn in E.queries().items():
+    for name, fn in catalog().items():
         df = fn(spark, SF_SMALL)
         rows = [tuple(r) for r in df.collect()]
         if name not in sqls:

@@ -3,7 +3,7 @@ loop joins, no Python evaluation, and column pruning at the scans."""
 
 import re
 
-import __spark_entry__ as E
+from parcelry.plans.catalog import catalog
 from tests.conftest import SF_SMALL
 
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
@@ -12,7 +12,7 @@ FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "
 
 def test_plans_have_no_forbidden_operators(spark):
     bad = {}
-    for name, fn in E.queries().items():
+    for name, fn in catalog().items():
         plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         hits = [op for op in FORBIDDEN if op in plan]
         if hits:
@@ -22,7 +22,7 @@ def test_plans_have_no_forbidden_operators(spark):
 
 def test_scans_read_only_needed_columns(spark):
     """The flagship never reads lineitem's unused columns (quantity, tax, flags, dates)."""
-    plan = E.queries()["order_documents"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    plan = catalog()["order_documents"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
     li = [s for s in schemas if "l_orderkey" in s]
     assert li and all("l_tax" not in s and "l_quantity" not in s and "l_shipdate" not in s for s in li)

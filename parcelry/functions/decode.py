@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from parcelry import schemas
+from parcelry.session import ensure_conf
 from parcelry.plans.guards import bind
 
 MAP_T = "map<string,variant>"
@@ -122,9 +123,7 @@ def decode_messages(df: DataFrame, value_col: str = "value") -> DataFrame:
     keys (later duplicates win) and checked the same way.  Each path is a
     CASE branch, so a row pays only for its own path.  No shuffle.
     """
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
-    conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    ensure_conf(df.sparkSession)
     txt = F.make_valid_utf8(F.col(value_col).cast("string"))
     s1 = df.select(
         "*",

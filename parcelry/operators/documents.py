@@ -36,14 +36,16 @@ def empty_items() -> Column:
 def items_per_order(lines: DataFrame) -> DataFrame:
     """A1: the ordered item list of each order, ``(order_key, items)``.
 
-    ``collect_list`` is partially aggregated map-side; ``sort_array`` over
-    (sort keys, item) fixes document order independently of task order.
+    The lines are shuffled by order first and collected once: with a few
+    lines an order, partial lists before the shuffle hardly reduce anything.
+    ``sort_array`` over (sort keys, item) fixes document order independently
+    of task order.
     """
     entry = F.struct(
         F.col("line_no"), F.col("part_key"), F.col("supp_key"),
         F.col("item.price").alias("p"), F.col("item.sale").alias("s"), F.col("item"),
     )
-    return lines.groupBy("order_key").agg(
+    return lines.repartition("order_key").groupBy("order_key").agg(
         F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["item"]).alias("items")
     )
 
@@ -118,7 +120,7 @@ def assemble_documents(orders: DataFrame, deliveries: DataFrame, payments: DataF
     """
     d = deliveries.select("order_uid", F.struct(*[F.col(c) for c in schemas.DELIVERY_FIELDS]).alias("delivery"))
     p = payments.select("order_uid", F.struct(*[F.col(c) for c in schemas.PAYMENT_FIELDS]).alias("payment"))
-    it = items.groupBy("order_uid").agg(
+    it = items.repartition("order_uid").groupBy("order_uid").agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct(F.col("item_pos"), F.struct(*[F.col(c) for c in schemas.ITEM_FIELDS]).alias("item")))),
             lambda e: e["item"]).alias("items"))
@@ -153,6 +155,28 @@ def order_item_flat(facts: DataFrame) -> DataFrame:
     return x.select(*[c for c in x.columns if c != "it"], *[F.col("it")[s].alias(t) for s, t in ITEM_FLAT])
 
 
+LINE_ORDER = ["line_no", "part_key", "supp_key", "item.price", "item.sale"]
+
+
+def item_rows(lines: DataFrame) -> DataFrame:
+    """P5 straight from the lines (with ``order_uid``): one row per item with
+    its place in the document; nothing is collected."""
+    pos = F.row_number().over(Window.partitionBy("order_uid").orderBy(*LINE_ORDER)) - 1
+    return lines.select("order_uid", pos.alias("item_pos"), *[F.col("item")[f].alias(f) for f in schemas.ITEM_FIELDS])
+
+
+def order_item_flat_lines(headers: DataFrame, lines: DataFrame) -> DataFrame:
+    """P7 / J3b as the plain fan-out join: headers left-join lines, numbered
+    within their order by the key of the join (one shuffle of the lines)."""
+    pos = F.row_number().over(Window.partitionBy("order_key").orderBy(*LINE_ORDER)) - 1
+    numbered = lines.select(F.col("order_key").alias("_k"), pos.alias("item_pos"), "item")
+    x = headers.join(numbered, F.col("order_key") == F.col("_k"), "left")
+    cols = [(F.col(s) if s != "date_created" else timestamp_text(F.col(s))).alias(t) for s, t in ORDER_FLAT_COLUMNS]
+    cols += [F.col("delivery")[s].alias(t) for s, t in DELIVERY_FLAT]
+    cols += [F.col("payment")[s].alias(t) for s, t in PAYMENT_FLAT]
+    return x.select(*cols, "item_pos", *[F.col("item")[s].alias(t) for s, t in ITEM_FLAT])
+
+
 def order_summary(facts: DataFrame) -> DataFrame:
     """Order, delivery and payment fields with the item count."""
     cols = [(F.col(s) if s != "date_created" else timestamp_text(F.col(s))).alias(t) for s, t in ORDER_FLAT_COLUMNS]

@@ -90,6 +90,17 @@ def without_audit_columns(df: DataFrame) -> DataFrame:
     return df.drop(*AUDIT_COLUMNS)
 
 
+# --------------------------------------------------------------------------
+# K5: NOT NULL audit
+# --------------------------------------------------------------------------
+
+def null_audit(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, n_null, n_rows) in one aggregate."""
+    g = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_null"), F.col("_n").alias("n_rows")) for c in columns])
+    return g.select(F.inline(rows))
+
+
 # --------------------------------------------------------------------------
 # K6: referential audits
 # --------------------------------------------------------------------------

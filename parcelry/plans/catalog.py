@@ -21,9 +21,15 @@ from parcelry.operators import series as ser
 from parcelry.sources import oplogs
 from parcelry.sources.messages import message_table, order_messages, stamped
 from parcelry.sources.tables import item_lines, load, order_base, order_headers
+from parcelry.streaming.intake import streamed_outcome_rate
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
+# Limits of the snapshot queries, set so that they drop some of the test rows
+# (the service's own defaults are in operators.documents).
+HOT_ENTRY_BYTES = 1_100
+RECENT_KEYS = 100
+
 
 # ---------------------------------------------------------------- documents
 
@@ -36,8 +42,8 @@ def _text_times(df: DataFrame, cols=("date_created", "created_at", "updated_at")
 
 
 def _items_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = doc.items_per_order(item_lines(spark, sf_dir))
-    return norm.items_rows(lists.select(F.concat(F.lit("ord"), F.col("order_key")).alias("order_uid"), "items"))
+    lines = item_lines(spark, sf_dir).withColumn("order_uid", F.concat(F.lit("ord"), "order_key"))
+    return doc.item_rows(lines)
 
 
 def orders_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +82,7 @@ def order_by_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_item_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc.order_item_flat(doc.order_facts(spark, sf_dir))
+    return doc.order_item_flat_lines(order_headers(spark, sf_dir), item_lines(spark, sf_dir))
 
 
 def order_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +98,7 @@ def latest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hot_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc.hot_orders(spark, sf_dir, doc.PRELOAD_SIZE, doc.CACHE_MAX_ENTRY_BYTES)
+    return doc.hot_orders(spark, sf_dir, doc.PRELOAD_SIZE, HOT_ENTRY_BYTES)
 
 
 # Fixed migration time used when replaying the additive migration offline.
@@ -105,15 +111,43 @@ def orders_with_audit_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text_times(norm.with_audit_columns(old, F.to_timestamp(F.lit(MIGRATION_TS))))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uids of the orders that the intake stores: one row per uid."""
+    return _decided(spark, sf_dir).filter(F.col("status") == out.VALID).select("order_uid")
+
+
 def orphan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return norm.orphan_children(_items_table(spark, sf_dir), norm.orders_rows(order_base(spark, sf_dir))).select(
-        "order_uid", "item_pos", "chrt_id")
+    """Item rows whose order is not in the store (anti-joined before items are numbered)."""
+    lines = item_lines(spark, sf_dir).withColumn("order_uid", F.concat(F.lit("ord"), "order_key"))
+    left = norm.orphan_children(lines, _stored(spark, sf_dir))
+    return doc.item_rows(left).select("order_uid", "item_pos", "chrt_id")
+
+
+def orphan_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm.orphan_children(norm.payments_rows(order_base(spark, sf_dir)), _stored(spark, sf_dir)).select("order_uid", "amount")
+
+
+def orphan_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm.orphan_children(norm.deliveries_rows(order_headers(spark, sf_dir)), _stored(spark, sf_dir)).select("order_uid", "name")
 
 
 def orphan_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders rows lacking their delivery row (J1 would drop them)."""
-    o = norm.orders_rows(order_base(spark, sf_dir))
-    return norm.orders_missing(o, norm.deliveries_rows(order_headers(spark, sf_dir))).select("order_uid")
+    """Orders without a stored delivery row (J1 drops them)."""
+    return norm.orders_missing(norm.orders_rows(order_base(spark, sf_dir)), _stored(spark, sf_dir)).select("order_uid")
+
+
+def not_null_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: nulls per required column of the flat view (orders without items have null item columns)."""
+    flat = doc.order_item_flat_lines(order_headers(spark, sf_dir), item_lines(spark, sf_dir))
+    return norm.null_audit(flat, ["order_uid", "delivery_name", "amount", "chrt_id", "rid", "brand"])
+
+
+def hot_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and items of the preload batch."""
+    top = doc.latest_order_keys(order_headers(spark, sf_dir), doc.PRELOAD_SIZE).select("order_key")
+    items = item_lines(spark, sf_dir).join(F.broadcast(top), "order_key", "left_semi")  # PRELOAD_SIZE rows at most
+    both = top.select(F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(items.select(F.lit(0), F.lit(1)))
+    return both.agg(F.coalesce(F.sum("o"), F.lit(0)).alias("n_orders"), F.coalesce(F.sum("i"), F.lit(0)).alias("n_items"))
 
 
 # ---------------------------------------------------------------- messages
@@ -146,11 +180,13 @@ def rule_violation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def item_rule_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _checked(spark, sf_dir).filter("decode_ok")
-    per_item = c.select("topic", "partition", "offset", F.explode(item_violations(F.col("order"))).alias("v"))
-    x = per_item.select("topic", "partition", "offset", F.explode("v").alias("rule"))
+    broken = F.flatten(item_violations(F.col("order")))
+    # an order counts once per rule: with the first of its items that breaks it
+    x = c.select(F.posexplode(broken).alias("i", "rule"), broken.alias("all"))
+    x = x.select("rule", (F.array_position("all", F.col("rule")) == F.col("i") + 1).cast("long").alias("first"))
     return x.groupBy("rule").agg(
         F.count(F.lit(1)).alias("n_items"),
-        F.count_distinct("topic", "partition", "offset").alias("n_orders"))
+        F.sum("first").alias("n_orders"))
 
 
 def storable_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,8 +284,43 @@ def hit_miss_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transient_error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = oplogs.outcome_log(spark, sf_dir)
-    return o.agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("status") == "error").alias("transient_errors"))
+    a = oplogs.attempt_log(spark, sf_dir)
+    return a.agg(F.count(F.lit(1)).alias("attempts"), F.count_if("transient").alias("transient_errors"))
+
+
+def message_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds from a message's creation header to its processing, for every message, failures included.
+
+    The processing time is the message time plus a delay read off its
+    coordinates (0 to 4.999 s), since test tables have no clock of their own.
+    """
+    m = message_table(spark, sf_dir)
+    delay = (F.col("offset") * 4 + F.col("partition")) % 5000
+    processed = F.timestamp_micros(F.unix_micros("timestamp") + delay * 1000)
+    seconds = (F.unix_micros(processed) - creation_time_ms(F.col("headers")) * 1000) / 1e6
+    return m.select("partition", "offset", F.round(seconds, 6).alias("latency_seconds"))
+
+
+def _p95(log: DataFrame, keys: list[str], bounds: list[float]) -> DataFrame:
+    h = ser.histogram(log, "seconds", keys, bounds)
+    return h.select(*keys, F.round(ser.histogram_quantile(0.95, F.col("cum"), bounds), 6).alias("p95"))
+
+
+def consumer_latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p95(message_latency(spark, sf_dir).withColumnRenamed("latency_seconds", "seconds"), ["partition"], ser.DEFAULT_BUCKETS)
+
+
+def cache_latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p95(oplogs.cache_log(spark, sf_dir), ["operation"], ser.CACHE_BUCKETS)
+
+
+def db_latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p95(oplogs.db_log(spark, sf_dir), ["operation"], ser.DB_BUCKETS)
+
+
+def streaming_outcome_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: the outcome log as a file stream, sliding rates in append mode; windows come out once the watermark has passed them."""
+    return streamed_outcome_rate(spark, f"{sf_dir.rstrip('/')}/events.parquet")
 
 
 def request_rate_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,21 +367,28 @@ def latest_gauge_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gauge_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """100 * (1 - value / capacity), capacity = the series' largest value
-    (a second gauge joined on the series key)."""
-    g = oplogs.gauge_samples(spark, sf_dir)
-    cap = g.groupBy("series").agg(F.max("value").alias("capacity"))
-    j = g.join(cap, "series", "inner")
+    """100 * (1 - free / size), two gauges of the same scrape joined on (series, sample)."""
+    g, cap = oplogs.gauge_samples(spark, sf_dir), oplogs.capacity_samples(spark, sf_dir)
+    j = g.join(cap, ["series", "sample_id"], "inner")
     pct = F.round(F.lit(100.0) * (F.lit(1.0) - F.try_divide(F.col("value"), F.col("capacity"))), 6)
-    return j.select("series", "ts", pct.alias("pct"))
+    return j.select("series", "ts", "mountpoint", pct.alias("pct"))
+
+
+def disk_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3: D2 of the root mount only."""
+    return _ts(_gauge_pct(spark, sf_dir).filter(F.col("mountpoint") == "/").drop("mountpoint"), "ts")
+
+
+def load_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ts(oplogs.load_samples(spark, sf_dir), "ts")
 
 
 def gauge_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ts(_gauge_pct(spark, sf_dir), "ts")
+    return _ts(_gauge_pct(spark, sf_dir).drop("mountpoint"), "ts")
 
 
 def gauge_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _gauge_pct(spark, sf_dir)
+    g = _gauge_pct(spark, sf_dir).drop("mountpoint")
     return _ts(g.withColumn("band", ser.gauge_band(F.col("pct"))), "ts")
 
 
@@ -318,8 +396,16 @@ def counter_increase_with_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ts(ser.counter_increase(oplogs.counter_samples(spark, sf_dir)), "window_start")
 
 
+def network_transmit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rate_by_instance(oplogs.transmit_samples(spark, sf_dir))
+
+
 def counter_rate_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inc = ser.counter_increase(oplogs.counter_samples(spark, sf_dir))
+    return _rate_by_instance(oplogs.counter_samples(spark, sf_dir))
+
+
+def _rate_by_instance(samples: DataFrame) -> DataFrame:
+    inc = ser.counter_increase(samples)
     g = inc.groupBy((F.col("series") % 8).alias("instance"), "window_start").agg(
         F.round(F.sum("increase") / ser.RANGE_SECONDS, 6).alias("rate"))
     return _ts(g, "window_start")
@@ -338,7 +424,7 @@ def trailing_5m_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recently_used_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ts(ser.recently_used(oplogs.access_log(spark, sf_dir), doc.CACHE_CAPACITY), "last_ts")
+    return _ts(ser.recently_used(oplogs.access_log(spark, sf_dir), RECENT_KEYS), "last_ts")
 
 
 def catalog() -> dict[str, Builder]:
@@ -394,5 +480,17 @@ def catalog() -> dict[str, Builder]:
         "counter_rate_by_series": counter_rate_by_series,
         "irate_by_series": irate_by_series,
         "trailing_5m_count": trailing_5m_count,
+        "orphan_payments": orphan_payments,
+        "orphan_deliveries": orphan_deliveries,
+        "not_null_audit": not_null_audit,
+        "hot_order_items": hot_order_items,
+        "message_latency": message_latency,
+        "consumer_latency_p95": consumer_latency_p95,
+        "cache_latency_p95": cache_latency_p95,
+        "db_latency_p95": db_latency_p95,
+        "network_transmit_rate": network_transmit_rate,
+        "disk_usage": disk_usage,
+        "load_averages": load_averages,
+        "streaming_outcome_rate": streaming_outcome_rate,
         "recently_used_keys": recently_used_keys,
     }

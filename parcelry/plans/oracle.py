@@ -23,11 +23,11 @@ def pick(values: list[str], key: str) -> str:
 
 
 # Same lists as FIXTURES.md B1.
-_ENTRIES = ["WBIL", "ENTR", "GATE"]
-_LOCALES = ["en", "ru", "de", "fr"]
-_CURRENCIES = ["USD", "EUR", "GBP", "JPY", "RUB", "CNY"]
-_PROVIDERS = ["wbpay", "paypal", "stripe"]
-_BANKS = ["alpha", "beta", "gamma"]
+_ENTRIES = ["NORTH", "SOUTH", "EAST"]
+_LOCALES = ["en", "de", "fr", "es"]
+_CURRENCIES = ["USD", "EUR", "GBP", "JPY", "CAD", "AUD"]
+_PROVIDERS = ["cardone", "paylane", "moneyway"]
+_BANKS = ["first", "second", "third"]
 
 # One row per order with flat order/delivery/payment fields (k = order key).
 HEADERS_CTE = f"""
@@ -130,17 +130,32 @@ MSGS_CTE = f"""
 {HEADERS_CTE.strip()}, {LINES_CTE.strip()}, {ITEMS_CTE.strip()},
 msgs AS (
   SELECT h.*, i.items_json, COALESCE(i.n_items, 0) AS n_items, cp.copy,
-    h.k % 20 AS r, 'orders' AS topic, CAST(h.k % 4 AS INTEGER) AS "partition",
+    h.k % 20 AS r, CASE WHEN h.k % 20 IN (15, 16) THEN (h.k // 20) % 6 ELSE -1 END AS s, 'orders' AS topic, CAST(h.k % 4 AS INTEGER) AS "partition",
     h.k // 4 + cp.copy * 1000000 AS "offset"
   FROM hdr h LEFT JOIN items i ON i.k = h.k
   JOIN (VALUES (0), (1)) cp(copy) ON cp.copy = 0 OR h.k % 50 = 13
 )"""
 
 
+# Item lists of residue 15: every item breaks the rule of subcase s.
+BAD_ITEMS_CTE = f"""
+bad AS (
+  SELECT k, to_json(list({{
+    'chrt_id': CASE WHEN s = 4 THEN 0 ELSE chrt_id END, 'track_number': item_track_number, 'price': price,
+    'rid': CASE WHEN s = 2 THEN 'r-x' ELSE rid END, 'name': CASE WHEN s = 1 THEN '' ELSE item_name END,
+    'sale': CASE WHEN s = 0 THEN 101 ELSE sale END, 'size': size,
+    'total_price': CASE WHEN s = 3 THEN -1 ELSE total_price END, 'nm_id': nm_id, 'brand': brand,
+    'status': CASE WHEN s = 5 THEN 0 ELSE status END}} ORDER BY {ITEM_ORDER})) AS bad_json
+  FROM (SELECT *, (k // 20) % 6 AS s FROM lines WHERE k % 20 = 15) GROUP BY k
+)"""
+
+
 def _message_json(extra: bool) -> str:
     tail = ", 'coupon': 'none'" if extra else ""
     return f"""to_json({{
-      'order_uid': m.order_uid, 'track_number': m.track_number, 'entry': m.entry,
+      'order_uid': m.order_uid,
+      'track_number': CASE WHEN m.r = 16 AND m.s = 0 THEN '' WHEN m.r = 16 AND m.s = 1 THEN 'TRK-1' ELSE m.track_number END,
+      'entry': CASE WHEN m.r = 16 AND m.s = 3 THEN '' ELSE m.entry END,
       'delivery': {{'name': m.d_name,
                    'phone': CASE WHEN m.r = 0 THEN '12345abc' ELSE m.d_phone END,
                    'zip': m.d_zip, 'city': m.d_city, 'address': m.d_address, 'region': m.d_region,
@@ -153,26 +168,27 @@ def _message_json(extra: bool) -> str:
                   'bank': m.p_bank, 'delivery_cost': m.p_delivery_cost,
                   'goods_total': CASE WHEN m.r = 7 THEN 0 ELSE m.p_goods_total END,
                   'custom_fee': m.p_custom_fee}},
-      'items': CASE WHEN m.r = 4 THEN '[]' ELSE COALESCE(m.items_json, '[]') END::JSON,
-      'locale': CASE WHEN m.r = 3 THEN 'xx_123' ELSE m.locale END,
+      'items': CASE WHEN m.r = 4 THEN '[]' WHEN m.r = 15 THEN COALESCE(bad.bad_json, '[]') ELSE COALESCE(m.items_json, '[]') END::JSON,
+      'locale': CASE WHEN m.r = 3 THEN 'xx_123' WHEN m.r = 16 AND m.s = 5 THEN 'en-variant1' ELSE m.locale END,
       'internal_signature': m.internal_signature,
-      'customer_id': m.customer_id, 'delivery_service': m.delivery_service,
+      'customer_id': CASE WHEN m.r = 16 AND m.s = 4 THEN m.customer_id || '@NUL@' ELSE m.customer_id END, 'delivery_service': m.delivery_service,
       'shardkey': CASE WHEN m.r = 5 THEN 'abc' ELSE m.shardkey END,
       'sm_id': CASE WHEN m.r = 6 THEN 0 WHEN m.r = 11 THEN 2147483648 ELSE m.sm_id END,
-      'date_created': strftime(m.date_created, '%Y-%m-%dT%H:%M:%SZ'),
+      'date_created': CASE WHEN m.r = 16 AND m.s = 2 THEN '0001-01-01T00:00:00Z' ELSE strftime(m.date_created, '%Y-%m-%dT%H:%M:%SZ') END,
       'oof_shard': m.oof_shard{tail}}})"""
 
 
 SYNTHETIC_ORDER_MESSAGES = f"""
-WITH {MSGS_CTE}
+WITH {MSGS_CTE}, {BAD_ITEMS_CTE}
 SELECT m.topic, m."partition", m."offset",
   {ts_text('m.date_created')} AS ts,
   epoch_ms(m.date_created) AS creation_ms,
   CASE WHEN m.r = 9 AND (m.k // 20) % 2 = 1 THEN upper(sha256('ord' || m.k))
        WHEN m.r = 9 THEN hex('{{"order_uid": "invalid-' || m.k || '", "items": [}}')
        WHEN m.r = 10 THEN hex({_message_json(True)})
-       ELSE hex({_message_json(False)}) END AS value_hex
-FROM msgs m
+       WHEN m.r = 14 THEN hex(replace({_message_json(False)}::VARCHAR, '"', chr(39)))
+       ELSE hex(replace({_message_json(False)}::VARCHAR, '@NUL@', '\\u0000')) END AS value_hex
+FROM msgs m LEFT JOIN bad ON bad.k = m.k
 """
 
 # Expected per-message facts from residues (no JSON parsing on this side).
@@ -180,8 +196,8 @@ EXPECT_CTE = f"""
 {MSGS_CTE.strip()},
 expect AS (
   SELECT m.*,
-    m.r NOT IN (9, 10) AS decode_ok,
-    CASE WHEN m.r = 9 THEN 'malformed' WHEN m.r = 10 THEN 'unknown_field' END AS decode_error,
+    m.r NOT IN (9, 10, 14) AS decode_ok,
+    CASE WHEN m.r IN (9, 14) THEN 'malformed' WHEN m.r = 10 THEN 'unknown_field' END AS decode_error,
     array_to_string(list_sort(list_filter([
       CASE WHEN m.r = 0 THEN 'delivery.phone.e164' END,
       CASE WHEN m.r = 1 THEN 'delivery.email.email' END,
@@ -193,26 +209,41 @@ expect AS (
       CASE WHEN m.r = 6 THEN 'sm_id.gt0' END,
       CASE WHEN m.r = 7 THEN 'payment.goods_total.required' END,
       CASE WHEN m.r = 7 THEN 'payment.goods_total.gt0' END,
-      CASE WHEN m.r = 8 THEN 'payment.currency.iso4217' END
-    ], lambda x: x IS NOT NULL)), ',') AS violations
+      CASE WHEN m.r = 8 THEN 'payment.currency.iso4217' END,
+      CASE WHEN m.r = 15 AND m.n_items > 0 AND m.s = 0 THEN 'items[].sale.lte100' END,
+      CASE WHEN m.r = 15 AND m.n_items > 0 AND m.s = 1 THEN 'items[].name.required' END,
+      CASE WHEN m.r = 15 AND m.n_items > 0 AND m.s = 2 THEN 'items[].rid.alphanum' END,
+      CASE WHEN m.r = 15 AND m.n_items > 0 AND m.s = 3 THEN 'items[].total_price.gte0' END,
+      CASE WHEN m.r = 15 AND m.n_items > 0 AND m.s = 4 THEN 'items[].chrt_id.required' END,
+      CASE WHEN m.r = 15 AND m.n_items > 0 AND m.s = 4 THEN 'items[].chrt_id.gt0' END,
+      CASE WHEN m.r = 15 AND m.n_items > 0 AND m.s = 5 THEN 'items[].status.required' END,
+      CASE WHEN m.r = 16 AND m.s = 0 THEN 'track_number.required' END,
+      CASE WHEN m.r = 16 AND m.s IN (0, 1) THEN 'track_number.alphanum' END,
+      CASE WHEN m.r = 16 AND m.s = 2 THEN 'date_created.required' END,
+      CASE WHEN m.r = 16 AND m.s = 3 THEN 'entry.required' END
+    ], lambda x: x IS NOT NULL)), ',') AS violations,
+    CASE WHEN m.r = 11 THEN 'inserting order: ERROR: integer out of range (SQLSTATE 22003)'
+         WHEN m.r = 16 AND m.s = 4 THEN 'inserting order: ERROR: invalid byte sequence for encoding "UTF8": 0x00 (SQLSTATE 22021)'
+         WHEN m.r = 16 AND m.s = 5 THEN 'inserting order: ERROR: value too long for type character varying(10) (SQLSTATE 22001)'
+    END AS order_error,
+    CASE WHEN m.r = 12 THEN 'inserting payment: ERROR: integer out of range (SQLSTATE 22003)' END AS child_error
   FROM msgs m
 ),
 outcome AS (
   SELECT e.*,
     CASE WHEN NOT e.decode_ok THEN 'invalid'
          WHEN e.violations <> '' THEN 'invalid'
-         WHEN e.r IN (11, 12) THEN 'error'
+         WHEN COALESCE(e.order_error, e.child_error) IS NOT NULL THEN 'error'
          WHEN e.copy = 1 THEN 'invalid'
          ELSE 'valid' END AS status,
     CASE WHEN NOT e.decode_ok THEN NULL
          WHEN e.violations <> '' THEN 'invalid_order'
-         WHEN e.r IN (11, 12) THEN 'unhandled_error'
+         WHEN COALESCE(e.order_error, e.child_error) IS NOT NULL THEN 'unhandled_error'
          WHEN e.copy = 1 THEN 'already_exists'
          ELSE NULL END AS reason,
     CASE WHEN NOT e.decode_ok THEN NULL
          WHEN e.violations <> '' THEN 'validation failed: invalid order'
-         WHEN e.r = 11 THEN 'failed to save order: inserting order: ERROR: integer out of range (SQLSTATE 22003)'
-         WHEN e.r = 12 THEN 'failed to save order: inserting payment: ERROR: integer out of range (SQLSTATE 22003)'
+         WHEN COALESCE(e.order_error, e.child_error) IS NOT NULL THEN 'failed to save order: ' || COALESCE(e.order_error, e.child_error)
          WHEN e.copy = 1 THEN 'failed to save order: record already exists: uid=' || e.order_uid
          ELSE NULL END AS error_text
   FROM expect e
@@ -238,15 +269,16 @@ GROUP BY rule
 
 ITEM_RULE_FAILURES = f"""
 WITH {EXPECT_CTE}
-SELECT CAST(NULL AS VARCHAR) AS rule, CAST(0 AS BIGINT) AS n_items, CAST(0 AS BIGINT) AS n_orders
-FROM expect WHERE false
+SELECT rule, CAST(sum(n_items) AS BIGINT) AS n_items, count(*) AS n_orders
+FROM (SELECT n_items, unnest(CASE s WHEN 0 THEN ['sale.lte100'] WHEN 1 THEN ['name.required'] WHEN 2 THEN ['rid.alphanum']
+        WHEN 3 THEN ['total_price.gte0'] WHEN 4 THEN ['chrt_id.required', 'chrt_id.gt0'] ELSE ['status.required'] END) AS rule
+      FROM expect WHERE r = 15 AND n_items > 0)
+GROUP BY rule
 """
 
 STORABLE_VERDICTS = f"""
 WITH {EXPECT_CTE}
-SELECT "partition", "offset", order_uid,
-  CASE WHEN r = 11 THEN 'inserting order: ERROR: integer out of range (SQLSTATE 22003)' END AS order_error,
-  CASE WHEN r = 12 THEN 'inserting payment: ERROR: integer out of range (SQLSTATE 22003)' END AS child_error
+SELECT "partition", "offset", order_uid, order_error, child_error
 FROM expect WHERE decode_ok AND violations = ''
 """
 
@@ -434,7 +466,7 @@ FROM top h LEFT JOIN items i ON i.k = h.k LEFT JOIN isz s ON s.k = h.k
 """
 
 HOT_ORDERS = f"""
-SELECT * FROM ({LATEST_ORDERS}) t WHERE size_bytes <= 1048576
+SELECT * FROM ({LATEST_ORDERS}) t WHERE size_bytes <= 1100
 """
 
 ORDERS_WITH_AUDIT_COLUMNS = f"""
@@ -445,16 +477,46 @@ SELECT order_uid, track_number, entry, locale, internal_signature, customer_id,
 FROM base
 """
 
+# Orders of which no message is stored: their children are orphans of the store.
+UNSTORED_CTE = f"""
+{EXPECT_CTE.strip()},
+unstored AS (SELECT k FROM outcome GROUP BY k HAVING count_if(status = 'valid') = 0)"""
+
 ORPHAN_ITEMS = f"""
-WITH {LINES_CTE},
+WITH {UNSTORED_CTE},
 pos AS (SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY {ITEM_ORDER}) - 1 AS INTEGER) AS item_pos FROM lines)
-SELECT 'ord' || k AS order_uid, item_pos, chrt_id FROM pos
-WHERE k NOT IN (SELECT o_orderkey FROM orders)
+SELECT 'ord' || k AS order_uid, item_pos, chrt_id FROM pos WHERE k IN (SELECT k FROM unstored)
+"""
+
+ORPHAN_PAYMENTS = f"""
+WITH {UNSTORED_CTE}
+SELECT 'ord' || k AS order_uid, CAST(round(o_totalprice * 100) AS BIGINT) AS amount
+FROM unstored JOIN orders ON k = o_orderkey
+"""
+
+ORPHAN_DELIVERIES = f"""
+WITH {UNSTORED_CTE}
+SELECT h.order_uid, h.d_name AS name FROM unstored u JOIN hdr h ON h.k = u.k
 """
 
 ORPHAN_ORDERS = f"""
-WITH {HEADERS_CTE}
-SELECT 'ord' || o_orderkey AS order_uid FROM orders WHERE o_orderkey NOT IN (SELECT k FROM hdr)
+WITH {UNSTORED_CTE}
+SELECT 'ord' || k AS order_uid FROM unstored
+"""
+
+NOT_NULL_AUDIT = f"""
+WITH {HEADERS_CTE}, {LINES_CTE},
+f AS (SELECT h.k, l.chrt_id, l.rid, l.brand FROM hdr h LEFT JOIN lines l ON l.k = h.k)
+SELECT unnest(['order_uid', 'delivery_name', 'amount', 'chrt_id', 'rid', 'brand']) AS column_name,
+  unnest([0, 0, 0, count_if(chrt_id IS NULL), count_if(rid IS NULL), count_if(brand IS NULL)]) AS n_null,
+  unnest([count(*), count(*), count(*), count(*), count(*), count(*)]) AS n_rows
+FROM f
+"""
+
+HOT_ORDER_ITEMS = f"""
+WITH {HEADERS_CTE}, {LINES_CTE}, {ITEMS_CTE},
+top AS (SELECT * FROM hdr ORDER BY updated_at DESC NULLS FIRST, order_uid LIMIT 250)
+SELECT count(*) AS n_orders, CAST(COALESCE(sum(i.n_items), 0) AS BIGINT) AS n_items FROM top h LEFT JOIN items i ON i.k = h.k
 """
 
 TABLE_ORACLES = {
@@ -473,6 +535,10 @@ TABLE_ORACLES = {
     "orders_with_audit_columns": ORDERS_WITH_AUDIT_COLUMNS,
     "orphan_items": ORPHAN_ITEMS,
     "orphan_orders": ORPHAN_ORDERS,
+    "orphan_payments": ORPHAN_PAYMENTS,
+    "orphan_deliveries": ORPHAN_DELIVERIES,
+    "not_null_audit": NOT_NULL_AUDIT,
+    "hot_order_items": HOT_ORDER_ITEMS,
 }
 
 
@@ -552,10 +618,32 @@ inc AS (SELECT series, ws, CAST(COALESCE(sum(delta), 0) AS DOUBLE) AS increase,
         FROM dd GROUP BY series, ws)"""
 
 GAUGE_CTE = """
-g AS (SELECT user_id AS series, ts, round(value) AS v FROM events),
-cap AS (SELECT series, max(v) AS capacity FROM g GROUP BY series),
-pct AS (SELECT g.series, g.ts, round(100.0 * (1.0 - g.v / NULLIF(cap.capacity, 0)), 6) AS pct
-        FROM g JOIN cap ON g.series = cap.series)"""
+pct AS (SELECT user_id AS series, ts, user_id % 3 AS m,
+          round(100.0 * (1.0 - round(value) / NULLIF(round(value) + event_id % 4000, 0)), 6) AS pct
+        FROM events)"""
+
+
+def quantile_of(src: str, keys: list[str], bounds: list[float]) -> str:
+    """histogram_quantile(0.95) over ``src`` (a subquery with ``seconds`` and the keys)."""
+    k, n = ", ".join(keys), len(bounds)
+    cum = "[" + ", ".join(f"count_if(seconds <= {b})" for b in bounds) + ", count(*)]"
+    bnd = "[" + ", ".join(str(b) for b in bounds) + "]"
+    return f"""
+WITH src AS ({src}),
+h AS (SELECT {k}, {cum} AS cum, count(*) AS total FROM src GROUP BY {k}),
+x AS (SELECT *, list_position(list_transform(cum, lambda c: CAST(c AS DOUBLE) >= 0.95 * total), true) AS idx FROM h)
+SELECT {k}, round(CASE WHEN idx > {n} THEN {bnd}[{n}]
+    ELSE (CASE WHEN idx <= 1 THEN 0.0 ELSE {bnd}[idx - 1] END)
+         + ({bnd}[idx] - CASE WHEN idx <= 1 THEN 0.0 ELSE {bnd}[idx - 1] END)
+           * (0.95 * total - CASE WHEN idx <= 1 THEN 0.0 ELSE cum[idx - 1] END)
+           / (cum[idx] - CASE WHEN idx <= 1 THEN 0.0 ELSE cum[idx - 1] END)
+  END, 6) AS p95 FROM x
+"""
+
+
+_CACHE_BOUNDS = [0.0001, 0.00025, 0.0005, 0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25]
+_DB_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0]
+_LATENCY_MS = '("offset" * 4 + "partition") % 5000'
 
 SERIES_ORACLES = {
     "normalized_paths": f"""
@@ -587,9 +675,40 @@ WITH {LOGS_CTE}
 SELECT count_if(hit) AS hits, count_if(NOT hit) AS misses,
   round(count_if(hit) / greatest(count(*), 1), 6) AS hit_ratio FROM look
 """,
-    "transient_error_counts": f"""
-WITH {LOGS_CTE}
-SELECT count(*) AS attempts, count_if(status = 'error') AS transient_errors FROM outc
+    "transient_error_counts": """
+SELECT CAST(sum(event_id % 3 + 1) AS BIGINT) AS attempts, CAST(sum(event_id % 3) AS BIGINT) AS transient_errors FROM events
+""",
+    "message_latency": f"""
+WITH {MSGS_CTE}
+SELECT "partition", "offset", CAST({_LATENCY_MS} AS DOUBLE) / 1000 AS latency_seconds FROM msgs
+""",
+    "consumer_latency_p95": quantile_of(
+        f'WITH {MSGS_CTE} SELECT "partition", CAST({_LATENCY_MS} AS DOUBLE) / 1000 AS seconds FROM msgs', ['"partition"'], _BOUNDS),
+    "cache_latency_p95": quantile_of(
+        "SELECT CASE WHEN event_id % 4 = 0 THEN 'set' ELSE 'get' END AS operation, value / 10000 AS seconds FROM events", ["operation"], _CACHE_BOUNDS),
+    "db_latency_p95": quantile_of(
+        "SELECT event_type AS operation, value / 500 AS seconds FROM events", ["operation"], _DB_BOUNDS),
+    "network_transmit_rate": f"""
+WITH {COUNTER_CTE.replace('% 500', '% 700')}
+SELECT series % 8 AS instance, {ts_text('ws')} AS window_start, round(sum(increase) / 300, 6) AS rate
+FROM inc GROUP BY series % 8, ws
+""",
+    "disk_usage": f"""
+WITH {GAUGE_CTE}
+SELECT series, {ts_text('ts')} AS ts, pct FROM pct WHERE m = 0
+""",
+    "load_averages": f"""
+SELECT user_id AS series, {ts_text('ts')} AS ts, round(value / 1000, 3) AS load1, round(value / 2000, 3) AS load5,
+  round(value / 4000, 3) AS load15
+FROM events
+""",
+    "streaming_outcome_rate": f"""
+WITH {LOGS_CTE},
+b AS (SELECT {bucket('ts', 60)} AS b, status, count(*) AS n FROM outc GROUP BY ALL),
+f AS (SELECT b - to_microseconds(CAST(j * 60000000 AS BIGINT)) AS ws, status, n FROM b, range(5) t(j)),
+w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events)
+SELECT {ts_text('ws')} AS window_start, status, CAST(sum(n) AS BIGINT) AS n, round(sum(n) / 300, 6) AS rate
+FROM f, w WHERE epoch_us(ws) + 300000000 <= (epoch_us(mark) // 1000) * 1000 GROUP BY ws, status
 """,
     "request_rate_5m": window_rate_sql("req", ["method", "path", "code"]),
     "outcome_rate_5m": window_rate_sql("outc", ["status"]),
@@ -649,7 +768,7 @@ FROM events
 """,
     "recently_used_keys": f"""
 WITH l AS (SELECT user_id AS key, max(ts) AS last_ts FROM events GROUP BY user_id
-           ORDER BY last_ts DESC, key LIMIT 500)
+           ORDER BY last_ts DESC, key LIMIT 100)
 SELECT CAST(row_number() OVER (ORDER BY last_ts DESC, key) AS INTEGER) AS rank, key, {ts_text('last_ts')} AS last_ts FROM l
 """,
 }

@@ -37,6 +37,10 @@ BAD_SHARDKEY = "abc"
 BAD_CURRENCY = "NOT"
 INT4_OVERFLOW = 2147483648
 EXTRA_FIELD = ("coupon", "none")
+BAD_SALE, BAD_RID, BAD_TRACK = 101, "r-x", "TRK-1"
+ZERO_TIME_TEXT = "0001-01-01T00:00:00Z"
+LONG_LOCALE = "en-variant1"
+SUBCASES = 6  # residues 15 and 16 split by (k div 20) % 6
 
 
 def message_time_text(ts: Column) -> Column:
@@ -52,13 +56,35 @@ def _at(r: Column, residue: int, bad: Column, good: Column) -> Column:
     return F.when(r == residue, bad).otherwise(good)
 
 
+def _named(fields: list[tuple[str, Column]]) -> Column:
+    """A struct whose names are literals: aliases inside a CASE branch would be trimmed."""
+    return F.named_struct(*[x for name, c in fields for x in (F.lit(name), c)])
+
+
+def _bad_items(s: Column) -> Column:
+    """The items of residue 15: every item breaks the rule of subcase ``s``."""
+    def bad(it: Column) -> Column:
+        change = {
+            "sale": _at(s, 0, F.lit(BAD_SALE).cast("long"), it["sale"]),
+            "name": _at(s, 1, F.lit(""), it["name"]),
+            "rid": _at(s, 2, F.lit(BAD_RID), it["rid"]),
+            "total_price": _at(s, 3, F.lit(-1).cast("long"), it["total_price"]),
+            "chrt_id": _at(s, 4, F.lit(0).cast("long"), it["chrt_id"]),
+            "status": _at(s, 5, F.lit(0).cast("long"), it["status"]),
+        }
+        return _named([(f, change.get(f, it[f])) for f in schemas.ITEM_FIELDS])
+    return F.transform("items", bad)
+
+
 def corrupted_struct(facts: DataFrame, r: Column, extra: bool = False) -> Column:
     """The message struct with the corruption of residue ``r`` applied field by
     field (one struct, one CASE per touched field - not one struct per case)."""
+    s = F.expr("order_key div 20") % SUBCASES
+    r16 = F.when(r == 16, s).otherwise(-1)
     d, p = F.col("delivery"), F.col("payment")
-    delivery = F.struct(*[
-        (_at(r, 0, F.lit(BAD_PHONE), d[f]) if f == "phone" else
-         _at(r, 1, F.lit(BAD_EMAIL), d[f]) if f == "email" else d[f]).alias(f)
+    delivery = _named([
+        (f, _at(r, 0, F.lit(BAD_PHONE), d[f]) if f == "phone" else
+         _at(r, 1, F.lit(BAD_EMAIL), d[f]) if f == "email" else d[f])
         for f in schemas.DELIVERY_FIELDS])
     pay = {
         "amount": _at(r, 2, F.lit(BAD_AMOUNT).cast("long"), p["amount"]),
@@ -66,21 +92,24 @@ def corrupted_struct(facts: DataFrame, r: Column, extra: bool = False) -> Column
         "currency": _at(r, 8, F.lit(BAD_CURRENCY), p["currency"]),
         "payment_dt": _at(r, 12, F.lit(INT4_OVERFLOW).cast("long"), p["payment_dt"]),
     }
-    payment = F.struct(*[pay.get(f, p[f]).alias(f) for f in schemas.PAYMENT_FIELDS])
+    payment = _named([(f, pay.get(f, p[f])) for f in schemas.PAYMENT_FIELDS])
     top = {
         "delivery": delivery,
         "payment": payment,
-        "items": _at(r, 4, empty_items(), F.col("items")),
-        "locale": _at(r, 3, F.lit(BAD_LOCALE), F.col("locale")),
+        "track_number": F.when(r16 == 0, "").when(r16 == 1, BAD_TRACK).otherwise(F.col("track_number")),
+        "entry": _at(r16, 3, F.lit(""), F.col("entry")),
+        "customer_id": _at(r16, 4, F.concat(F.col("customer_id"), F.lit("\u0000")), F.col("customer_id")),
+        "items": F.when(r == 4, empty_items()).when(r == 15, _bad_items(s)).otherwise(F.col("items")),
+        "locale": F.when(r == 3, BAD_LOCALE).when(r16 == 5, LONG_LOCALE).otherwise(F.col("locale")),
         "shardkey": _at(r, 5, F.lit(BAD_SHARDKEY), F.col("shardkey")),
         "sm_id": F.when(r == 6, F.lit(0).cast("long")).when(r == 11, F.lit(INT4_OVERFLOW).cast("long"))
                   .otherwise(F.col("sm_id")),
-        "date_created": message_time_text(F.col("date_created")),
+        "date_created": _at(r16, 2, F.lit(ZERO_TIME_TEXT), message_time_text(F.col("date_created"))),
     }
-    cols = [top.get(f, F.col(f)).alias(f) for f in schemas.ORDER_FIELDS]
+    cols = [(f, top.get(f, F.col(f))) for f in schemas.ORDER_FIELDS]
     if extra:
-        cols.append(F.lit(EXTRA_FIELD[1]).alias(EXTRA_FIELD[0]))
-    return F.struct(*cols)
+        cols.append((EXTRA_FIELD[0], F.lit(EXTRA_FIELD[1])))
+    return _named(cols)
 
 
 def stamp_headers(ms: Column) -> Column:
@@ -111,6 +140,7 @@ def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(r == 10, F.to_json(corrupted_struct(facts, r, extra=True)))
         .otherwise(F.to_json(corrupted_struct(facts, r)))
     )
+    text = F.when(r == 14, F.replace(text, F.lit('"'), F.lit("'"))).otherwise(text)
     gibberish = F.unhex(F.sha2(F.concat(F.lit("ord"), k.cast("string")), 256))
     value = (
         F.when((r == 9) & ((k / 20).cast("long") % 2 == 0), truncated_json(k).cast("binary"))

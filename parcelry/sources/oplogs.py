@@ -23,7 +23,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def outcome_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, ts, status, reason) - one consumer outcome per event."""
-    e = _events(spark, sf_dir)
+    return outcome_rows(_events(spark, sf_dir))
+
+
+def outcome_rows(e: DataFrame) -> DataFrame:
+    """The outcome log of an event frame (batch or stream)."""
     t = F.col("event_type")
     status = F.when(t.isin(*VALID_TYPES), "valid").when(t == "signup", "invalid").when(t == "error", "error")
     reason = F.when(t == "signup", "invalid_order").when(t == "error", "unhandled_error")
@@ -56,10 +60,48 @@ def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          (F.col("event_id") % 500).cast("double").alias("value"))
 
 
+def transmit_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series, sample_id, ts, value) - a second counter per user with resets (``event_id % 700``)."""
+    return _events(spark, sf_dir).select(F.col("user_id").alias("series"), F.col("event_id").alias("sample_id"), "ts",
+                                         (F.col("event_id") % 700).cast("double").alias("value"))
+
+
 def gauge_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(series, sample_id, ts, value) - a gauge per user: ``round(value)``."""
+    """(series, sample_id, ts, mountpoint, value) - free space per user: ``round(value)``."""
+    mount = F.element_at(F.array(F.lit("/"), F.lit("/data"), F.lit("/boot")), (F.col("user_id") % 3 + 1).cast("int"))
     return _events(spark, sf_dir).select(F.col("user_id").alias("series"), F.col("event_id").alias("sample_id"), "ts",
-                                         F.round("value").alias("value"))
+                                         mount.alias("mountpoint"), F.round("value").alias("value"))
+
+
+def capacity_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series, sample_id, capacity) - the size gauge of the same scrapes: free space plus what is used."""
+    return _events(spark, sf_dir).select(F.col("user_id").alias("series"), F.col("event_id").alias("sample_id"),
+                                         (F.round("value") + F.col("event_id") % 4000).alias("capacity"))
+
+
+def load_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series, ts, load1, load5, load15) - three load gauges per user."""
+    v = F.col("value")
+    return _events(spark, sf_dir).select(F.col("user_id").alias("series"), "ts", F.round(v / 1000, 3).alias("load1"),
+                                         F.round(v / 2000, 3).alias("load5"), F.round(v / 4000, 3).alias("load15"))
+
+
+def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, attempt, transient) - each event takes ``event_id % 3`` transient failures, then one last attempt."""
+    e = _events(spark, sf_dir).select("event_id", (F.col("event_id") % 3).cast("int").alias("fails"))
+    x = e.select("event_id", "fails", F.explode(F.sequence(F.lit(0), F.col("fails"))).alias("attempt"))
+    return x.select("event_id", "attempt", (F.col("attempt") < F.col("fails")).alias("transient"))
+
+
+def cache_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(operation, seconds) - cache calls; every fourth is a set."""
+    return _events(spark, sf_dir).select(F.when(F.col("event_id") % 4 == 0, "set").otherwise("get").alias("operation"),
+                                         (F.col("value") / 10000).alias("seconds"))
+
+
+def db_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(operation, seconds) - database calls by kind."""
+    return _events(spark, sf_dir).select(F.col("event_type").alias("operation"), (F.col("value") / 500).alias("seconds"))
 
 
 def status_samples(spark: SparkSession, sf_dir: str) -> DataFrame:

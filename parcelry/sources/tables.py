@@ -21,11 +21,11 @@ TABLE_NAMES = [
 ]
 
 # The value lists picked by key arithmetic (FIXTURES.md B1).
-ENTRIES = ["WBIL", "ENTR", "GATE"]
-LOCALES = ["en", "ru", "de", "fr"]
-CURRENCIES = ["USD", "EUR", "GBP", "JPY", "RUB", "CNY"]
-PROVIDERS = ["wbpay", "paypal", "stripe"]
-BANKS = ["alpha", "beta", "gamma"]
+ENTRIES = ["NORTH", "SOUTH", "EAST"]
+LOCALES = ["en", "de", "fr", "es"]
+CURRENCIES = ["USD", "EUR", "GBP", "JPY", "CAD", "AUD"]
+PROVIDERS = ["cardone", "paylane", "moneyway"]
+BANKS = ["first", "second", "third"]
 ITEM_STATUS = 202
 
 

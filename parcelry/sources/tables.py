@@ -55,7 +55,7 @@ def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nation with its region name (25 rows by construction, guarded anyway)."""
     n = load(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = load(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    g = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey, "inner").select("n_nationkey", "n_name", "r_name")
+    g = n.join(bounded_broadcast(r), n.n_regionkey == r.r_regionkey, "inner").select("n_nationkey", "n_name", "r_name")
     return bounded_broadcast(g)
 
 

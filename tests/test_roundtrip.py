@@ -38,3 +38,20 @@ def test_latest_two_of_three_in_order(spark):
     h = spark.createDataFrame([("u1", t0), ("u2", t0 + timedelta(seconds=1)), ("u3", t0 + timedelta(seconds=2))],
                               "order_uid string, updated_at timestamp")
     assert [r.order_uid for r in doc.latest_order_keys(h, 2).collect()] == ["u3", "u2"]
+
+
+def test_point_lookup(spark):
+    facts = doc.order_facts(spark, SF_SMALL)
+    row = doc.order_documents(facts).orderBy("order_uid").first()
+    assert doc.order_by_uid(spark, SF_SMALL, row["order_uid"]).collect() == [row]
+    assert doc.order_by_uid(spark, SF_SMALL, "ord999999999").count() == 0
+    assert doc.order_by_uid(spark, SF_SMALL, "no such uid").count() == 0
+
+
+def test_latest_orders_collects_nothing_while_building(spark):
+    tracker = spark.sparkContext.statusTracker()
+    doc.latest_orders(spark, SF_SMALL, 7)  # decides the sizes of its dimension sides
+    before = set(tracker.getJobIdsForGroup(None))
+    df = doc.latest_orders(spark, SF_SMALL, 7)
+    assert len(set(tracker.getJobIdsForGroup(None)) - before) <= 6  # the schemas of the six tables, no more
+    assert sorted(r["rank"] for r in df.select("rank").collect()) == list(range(1, 8))

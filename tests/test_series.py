@@ -77,3 +77,36 @@ def test_counter_increase_with_reset(spark):
                                "series long, ts timestamp, value double")
     [r] = ser.counter_increase(df).collect()
     assert r.increase == 2 + 3 + 2 + 2
+
+
+def test_window_rate_for_any_range_and_step(spark):
+    """Equal to Spark's own sliding windows, also where the step does not divide the range."""
+    import random
+    from datetime import datetime, timedelta, timezone
+    rng = random.Random(1)
+    t0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    df = spark.createDataFrame([(t0 + timedelta(seconds=rng.randrange(900)), rng.choice("ab")) for _ in range(200)], "ts timestamp, k string")
+    for range_s, step_s in ((90, 60), (300, 60), (60, 60), (100, 35), (50, 70)):
+        got = {(r.window_start, r.k): r.n for r in ser.window_rate(df, "ts", ["k"], range_s, step_s).collect()}
+        if step_s <= range_s:
+            w = F.window("ts", f"{range_s} seconds", f"{step_s} seconds")
+            want = {(r.w.start, r.k): r.n for r in df.groupBy(w.alias("w"), "k").agg(F.count("*").alias("n")).collect()}
+        else:  # windows with gaps between them
+            want = {}
+            for r in df.collect():
+                us = int(r.ts.timestamp())
+                if us % step_s < range_s:
+                    key = (datetime.fromtimestamp(us - us % step_s, timezone.utc).replace(tzinfo=None), r.k)
+                    want[key] = want.get(key, 0) + 1
+            got = {(k[0].astimezone(timezone.utc).replace(tzinfo=None) if k[0].tzinfo else k[0], k[1]): n for k, n in got.items()}
+        assert got == want, (range_s, step_s)
+
+
+def test_equal_timestamps_have_one_order(spark):
+    rows = [(1, i, "2024-01-01 00:00:00", float(v)) for i, v in enumerate([5, 3, 9])] + [(1, 9, "2024-01-01 00:00:10", 1.0)]
+    df = spark.createDataFrame(rows, "series long, sample_id long, t string, value double").select("series", "sample_id", F.to_timestamp("t").alias("ts"), "value")
+    for parts in (1, 3):
+        s = df.repartition(parts)
+        assert ser.counter_increase(s).first()["increase"] == 3 + 6 + 1
+        assert ser.counter_irate(s).first()["irate"] == 0.1
+        assert ser.latest_non_null(s.filter("sample_id < 9")).first()["value"] == 9.0

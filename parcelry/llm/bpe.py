@@ -13,8 +13,8 @@ matches of one length class are merged side by side in numpy, one merge each
 per step; matches over ``LONG`` bytes run the same tree in a loop.
 
 The rank file is read on the driver (its path is a parameter) and sent to
-the executors: its size is checked against ``MAX_RANK_BYTES``.  Each worker
-keeps the ids of matches it met in a table of bounded size.
+the executors: its size is checked against ``MAX_RANK_BYTES``.  A task keeps
+the ids of matches it met in a table of bounded size and drops it at its end.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; null
 ids and repeated rows are kept; a very long text is one row like any other.
@@ -23,7 +23,6 @@ ids and repeated rows are kept; a very long text is one row like any other.
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -32,25 +31,46 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from parcelry.llm.common import slices, texts
+from parcelry.llm.common import release, slices, texts
 
 LONG = 64
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 150_000
 MAX_RANK_BYTES = 32 << 20
 _INF = np.int64(1) << 62
 
 
+def read_ranks(data: bytes) -> dict[bytes, int]:
+    """Token bytes to rank, from the lines of a rank file."""
+    rows = (line.split() for line in data.splitlines() if line)
+    return {base64.b64decode(token): int(rank) for token, rank in rows}
+
+
+class Tokens:
+    """The tokens' bytes of one rank file, in one array."""
+
+    def __init__(self, data: bytes):
+        ranks = read_ranks(data)
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.lengths = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all ids in a row, and the length of each id's token."""
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.starts[ids] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.flat[at], lengths
+
+
 class Vocabulary:
-    """Ranks, the merge table and the tokens' bytes of one rank file."""
+    """Ranks and merge table of one rank file, and the ids of the matches met so far."""
 
     def __init__(self, data: bytes):
-        rows = (line.split() for line in data.splitlines() if line)
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in rows}
+        self.ranks = read_ranks(data)
         size = max(self.ranks.values()) + 1
-        tokens = [b""] * size
-        for token, rank in self.ranks.items():
-            tokens[rank] = token
-        self.tokens = tokens
         self.size = size
         self.merges = {
             (self.ranks[t[:i]], self.ranks[t[i:]]): r
@@ -62,9 +82,6 @@ class Vocabulary:
         self._keys = keys[order]
         self._merged = np.fromiter(self.merges.values(), np.int64, len(self.merges))[order]
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.lengths = np.array([len(t) for t in tokens], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
         self.cache: dict[str, list[int]] = {}
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -193,25 +210,6 @@ class Vocabulary:
         self.learn(fresh)
         return [list(chain.from_iterable(map(cache.__getitem__, pieces))) for pieces in cut]
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of all ids in a row, and the length of each id's token."""
-        lengths = self.lengths[ids]
-        ends = np.cumsum(lengths)
-        at = np.repeat(self.starts[ids] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
-        return self.flat[at], lengths
-
-
-_LOADED: dict[str, Vocabulary] = {}
-
-
-def vocabulary(data: bytes) -> Vocabulary:
-    """The worker's vocabulary for this rank file, built once per process."""
-    key = hashlib.sha256(data).hexdigest()
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Vocabulary(data)
-    return _LOADED[key]
-
 
 def _sent(df: DataFrame, path: str):
     with open(path, "rb") as f:
@@ -226,14 +224,16 @@ def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     ranks = _sent(docs, rank_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, compiled = vocabulary(ranks.value), regex.compile(pattern)
+        vocab, compiled = Vocabulary(ranks.value), regex.compile(pattern)
         for batch in batches:
-            for part in slices(batch, "text", max_bytes=2 << 20):
+            for part in slices(batch, "text", max_bytes=1 << 20):
                 found = vocab.encode(part.column("text").to_pylist(), compiled)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 flat = np.fromiter(chain.from_iterable(found), np.int32, int(offsets[-1]))
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
+        del vocab
+        release()
 
     return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -246,10 +246,10 @@ def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(ranks.value)
+        vocab = Tokens(ranks.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
                 lists = part.column("ids")
                 ids = lists.flatten().to_numpy(zero_copy_only=False)
                 per = np.diff(lists.offsets.to_numpy())
@@ -257,6 +257,7 @@ def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(per)])]
                 decoded = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), decoded], [*names, "decoded"])
+        release()
 
     return encoded.mapInArrow(run, schema)
 

@@ -8,6 +8,7 @@ kept in machine-local folders and no ``localCheckpoint`` is used.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -63,6 +64,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Give freed memory back at the end of a task: Python workers live on
+    between tasks and stages, next to an executor's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batch: pa.RecordBatch, text_col: str, max_rows: int = 512, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch into runs of at most ``max_rows`` rows and about
     ``max_bytes`` of text, so Python objects for one run stay small however

@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from parcelry.llm.common import slices, texts
+from parcelry.llm.common import release, slices, texts
 
 SHINGLE_WORDS = 5
 MIN_SIMILARITY = 0.8
@@ -44,13 +44,21 @@ BLOCKS = tuple((sum([7, 7, 7, 7, 6, 6, 6, 6, 6, 6][:i]), w) for i, w in enumerat
 PASS_BYTES = 16 << 20
 _PUNCT = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "…«»“”‘’„‚–—¿¡·"
 _FACTORS = np.array([xxhash.xxh64_intdigest(bytes([i]), 5) | 1 for i in range(SHINGLE_WORDS)], np.uint64)
+# Hashes of words that a task keeps at hand.
+CACHE_ENTRIES = 150_000
 _WORDS: dict[str, int] = {}
 
 
+def _end() -> None:
+    """End of a task: drop what it kept."""
+    _WORDS.clear()
+    release()
+
+
 def word_hashes(text: str) -> np.ndarray:
     """64-bit hash of every normalised word that is not empty."""
     tokens = text.split()
-    if len(_WORDS) > 300_000:
+    if len(_WORDS) > CACHE_ENTRIES:
         _WORDS.clear()
     found = list(map(_WORDS.get, tokens))
     if None in found:
@@ -201,10 +209,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MI
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, "text", max_bytes=2 << 20):
+                for part in slices(batch, "text", max_bytes=1 << 20):
                     found = [(d, *x) for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()) for x in shared.value.leaks(t, min_similarity)]
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "start", "similarity"])
+            _end()
 
         here = src.mapInArrow(run, schema)
         out = here if out is None else out.unionByName(here)
@@ -218,8 +227,9 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MI
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, "text", max_bytes=2 << 20):
+                for part in slices(batch, "text", max_bytes=1 << 20):
                     yield part.filter(pa.array([not shared.value.leaks(t, min_similarity) for t in part.column("text").to_pylist()], pa.bool_()))
+            _end()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

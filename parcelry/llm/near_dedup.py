@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from parcelry.llm.common import fresh, slices, store, texts
+from parcelry.llm.common import fresh, release, slices, store, texts
 from parcelry.llm.simhash import fingerprint
 from parcelry.plans.guards import bounded_broadcast
 
@@ -128,10 +128,11 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", max_bytes=2 << 20):
                 texts_ = part.column("text").cast(pa.binary()).to_pylist()
                 fp = np.fromiter((fingerprint(t, k) for t in texts_), np.uint64, len(texts_)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(fp)], ["doc_id", "text_hash", "fp"])
+        release()
 
     return texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from parcelry.llm.common import slices, texts
+from parcelry.llm.common import release, slices, texts
 
 SAMPLE_ROWS = 5_000
 WINDOW = 48
@@ -103,11 +103,13 @@ def token_class(token: str) -> int:
     return CLASS["other"]
 
 
+# Classes of tokens that a task keeps at hand.
+CACHE_ENTRIES = 150_000
 _CACHE: dict[str, int] = {}
 
 
 def classes(tokens: list[str]) -> np.ndarray:
-    if len(_CACHE) > 300_000:
+    if len(_CACHE) > CACHE_ENTRIES:
         _CACHE.clear()
     get = _CACHE.get
     out = list(map(get, tokens))
@@ -249,7 +251,7 @@ def _labelled_windows(docs: DataFrame, sample_rows: int) -> list[tuple]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", max_bytes=2 << 20):
+            for part in slices(batch, "text", max_bytes=1 << 20):
                 out = {"own": [], "prev": [], "next": [], "file": [], "label": [], "hit": []}
                 for text in part.column("text").to_pylist():
                     places = [m.span() for m in _TOKEN.finditer(text)]
@@ -304,12 +306,14 @@ def find_secrets(docs: DataFrame, model: Crf | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
         for batch in batches:
-            for part in slices(batch, "text", max_bytes=2 << 20):
+            for part in slices(batch, "text", max_bytes=1 << 20):
                 found = [scan(t, crf) for t in part.column("text").to_pylist()]
                 counts = [pa.array([sum(s[1] == k for s in every) for _, every in found], pa.int64()) for k in range(4)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), *counts, pa.array([span_text(b) for b, _ in found], pa.string()), pa.array([span_text(e) for _, e in found], pa.string())],
                     ["doc_id", "n_assign", "n_access", "n_hex", "n_crf", "base_spans", "spans"])
+        _CACHE.clear()
+        release()
 
     return texts(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_crf long, base_spans string, spans string")
 

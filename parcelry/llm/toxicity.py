@@ -35,11 +35,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from parcelry.llm.common import held_out, slices, store, texts
+from parcelry.llm.common import held_out, release, slices, store, texts
 
 TRAIN_PER_LABEL = 6_000
 MAX_TOKENS = 50_000
 PREFIXES = (4, 5, 6, 7)
+# Weights of tokens that a task keeps at hand.
+CACHE_ENTRIES = 150_000
 MIN_TOXIC_COUNT = 4
 MIN_Z = 3.5
 MIN_WEIGHT = 1.5
@@ -76,7 +78,7 @@ class Model:
 
     def scores(self, tokens: list[str]) -> np.ndarray:
         cache = self.cache
-        if len(cache) > 300_000:
+        if len(cache) > CACHE_ENTRIES:
             cache.clear()
         out = list(map(cache.get, tokens))
         if None in out:
@@ -108,6 +110,13 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _end(model: Model | None) -> None:
+    """End of a task: the broadcast model stays in the worker, what the task added to it goes."""
+    if model is not None:
+        model.cache.clear()
+    release()
+
+
 def maximal_segments(at: list[int], gains: list[float], other: float) -> list[tuple[int, int, float, float]]:
     """All maximal scoring segments of a sequence that has ``gains`` at ``at`` and ``other`` elsewhere.
 
@@ -142,7 +151,7 @@ def _units(sample: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", max_bytes=2 << 20):
+            for part in slices(batch, "text", max_bytes=1 << 20):
                 counts: tuple[Counter, Counter] = (Counter(), Counter())
                 for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
                     tokens = text.split()
@@ -206,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
-            for part in slices(batch, "text", max_bytes=2 << 20):
+            for part in slices(batch, "text", max_bytes=1 << 20):
                 out = {"toxic": [], "n": [], "at": [], "w": []}
                 for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
                     tokens = text.split()
@@ -215,6 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
                     for name, v in (("toxic", int(toxic)), ("n", len(tokens)), ("at", at.tolist()), ("w", s[at].tolist())):
                         out[name].append(v)
                 yield pa.RecordBatch.from_pydict(out, pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("at", pa.list_(pa.int64())), ("w", pa.list_(pa.float64()))]))
+        _end(fitted)
 
     rows = sample.mapInArrow(hits, "toxic int, n long, at array<long>, w array<double>").collect()
     rows.sort(key=lambda r: (r["toxic"], r["n"], r["at"]))
@@ -253,7 +263,7 @@ def toxic_passages(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
-            for part in slices(batch, "text", max_bytes=2 << 20):
+            for part in slices(batch, "text", max_bytes=1 << 20):
                 x, spans = [], []
                 for text in part.column("text").to_pylist():
                     n, found = fitted.segments(text) if fitted else (0, [])
@@ -262,6 +272,7 @@ def toxic_passages(docs: DataFrame, model: Model | None) -> DataFrame:
                     spans.append([f"{a}:{b}" for a, b, s, _ in found if math.log(max(fitted.k * n, 1e-9)) - fitted.lam * s < floor])
                 score = fitted.score(np.array(x)) if fitted else np.zeros(len(x))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score), pa.array([len(s) for s in spans], pa.int64()), pa.array([",".join(s) for s in spans], pa.string())], ["doc_id", "score", "n_segments", "segments"])
+        _end(fitted)
 
     return texts(docs).mapInArrow(run, "doc_id long, score double, n_segments long, segments string")
 
@@ -279,10 +290,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
-            for part in slices(batch, "text", max_bytes=2 << 20) if fitted else [batch]:
+            for part in slices(batch, "text", max_bytes=1 << 20) if fitted else [batch]:
                 if fitted:
                     x = np.array([fitted.evidence(*fitted.segments(t or "")) for t in part.column("text").to_pylist()])
                     part = part.filter(pa.array(fitted.score(x) < 0.5))
                 yield part
+        _end(fitted)
 
     return docs.mapInArrow(run, docs.schema)

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from parcelry.session import checkpoint_dir
 
@@ -60,6 +60,23 @@ def held_out(doc_id: Column | str, modulus: int, remainder: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit(""))), F.lit(modulus)) == remainder
 
 
+def smallest_per_key(df: DataFrame, key: str, id_col: str, n: int) -> DataFrame:
+    """At most ``n`` rows of each key: the ones with the smallest hash of their id.
+
+    Keys are counted first (combined before the shuffle), and only rows whose
+    hash lies among about the first ``4 n + 100`` of their key are ranked, so
+    ranking a key never gathers more than that in one task, however many
+    rows or tasks there are.  Adds the rank as ``place``.
+    """
+    known, counts = fresh(df, "_key", "_rows")
+    total = df.groupBy(F.col(key).alias(known)).agg(F.count("*").alias(counts))
+    text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    share = F.shiftrightunsigned(F.xxhash64(text), 11) / float(1 << 53)
+    few = df.join(total, F.col(key) == F.col(known)).filter(share * F.col(counts) < 4 * n + 100)
+    order = Window.partitionBy(key).orderBy(share, id_col)
+    return few.select(*df.columns, F.row_number().over(order).alias("place")).filter(F.col("place") <= n)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

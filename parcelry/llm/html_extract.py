@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from parcelry.llm.common import slices, store
+from parcelry.llm.common import release, slices, smallest_per_key, store
 from parcelry.plans.guards import bounded_broadcast
 
 SAMPLE_PAGES = 5
@@ -291,10 +291,9 @@ def extract(page: str | None, wrapper: dict | None) -> str:
 
 def wrappers(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     """(host, wrapper) of every host."""
-    order = Window.partitionBy("host").orderBy(F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), "page_id")
-    # ids first: the ranking moves no html, and its limit is applied before the shuffle
-    picked = pages.select("host", "page_id").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample_pages)
-    picked = bounded_broadcast(store(picked.select("host", "page_id").distinct(), "sample-pages"), sample_pages * MAX_BROADCAST_WRAPPERS)
+    # ids first: the choice moves no html
+    picked = smallest_per_key(pages.select("host", "page_id").distinct(), "host", "page_id", sample_pages)
+    picked = bounded_broadcast(store(picked.select("host", "page_id"), "sample-pages"), sample_pages * MAX_BROADCAST_WRAPPERS)
     first = Window.partitionBy("host").orderBy("page_id", "html")
     sample = pages.join(picked, ["host", "page_id"], "left_semi").select("host", "page_id", "html")
     sample = sample.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample_pages)
@@ -325,6 +324,7 @@ def main_text(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
                         loaded[raw] = {"root": w["root"], "set": frozenset(map(tuple, w["template"]))}
                     found.append(extract(page, loaded.get(raw)))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(found, pa.string())], ["page_id", "url", "text"])
+        release()
 
     return joined.mapInArrow(run, "page_id long, url string, text string")
 

@@ -25,9 +25,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from parcelry.llm.common import held_out, slices
+from parcelry.llm.common import held_out, release, slices, smallest_per_key
 
 ORDERS = (2, 3, 4)
 SLOT_BITS = 18
@@ -109,8 +109,7 @@ def train(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> Model | None
     """Model fitted on rows that are not held out; None if there is none with a letter."""
     learn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     learn = learn.filter(F.col("lang").isNotNull() & ~held_out("doc_id", modulus, remainder) & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    picked = learn.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= TRAIN_PER_LANG)
+    picked = smallest_per_key(learn.select("doc_id", "lang").distinct(), "lang", "doc_id", TRAIN_PER_LANG)
     # at most TRAIN_PER_LANG ids a language: the side's size is bounded
     sample = learn.join(F.broadcast(picked), ["doc_id", "lang"])
 
@@ -164,6 +163,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 t = part.column("text").to_pylist()
                 names, scores = fitted.predict(t) if fitted is not None else (["und"] * len(t), [0.0] * len(t))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 

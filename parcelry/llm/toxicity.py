@@ -33,9 +33,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from parcelry.llm.common import held_out, release, slices, store, texts
+from parcelry.llm.common import held_out, release, slices, smallest_per_key, store, texts
 
 TRAIN_PER_LABEL = 6_000
 MAX_TOKENS = 50_000
@@ -200,9 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
     """Model fitted on labelled rows that are not held out; None if one of the labels is missing."""
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
     marks = marks.filter(~held_out("doc_id", modulus, remainder))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
     ids = texts(docs).select("doc_id").join(marks, "doc_id").distinct()
-    picked = ids.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= TRAIN_PER_LABEL).select("doc_id", "toxic")
+    picked = smallest_per_key(ids, "toxic", "doc_id", TRAIN_PER_LABEL).select("doc_id", "toxic")
     # at most 2 x TRAIN_PER_LABEL ids: the side's size is bounded
     sample = texts(docs).join(F.broadcast(picked), "doc_id").select("text", "toxic")
     sample = store(sample, "toxic-sample")

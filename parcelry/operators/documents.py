@@ -36,16 +36,16 @@ def empty_items() -> Column:
 def items_per_order(lines: DataFrame) -> DataFrame:
     """A1: the ordered item list of each order, ``(order_key, items)``.
 
-    The lines are shuffled by order first and collected once: with a few
-    lines an order, partial lists before the shuffle hardly reduce anything.
-    ``sort_array`` over (sort keys, item) fixes document order independently
-    of task order.
+    ``collect_list`` is partially aggregated map-side; ``sort_array`` over
+    (sort keys, item) fixes document order independently of task order.
+    (Shuffling the lines first and collecting once was measured at sf0.1: no
+    gain, 7.0 s against 6.8 s.)
     """
     entry = F.struct(
         F.col("line_no"), F.col("part_key"), F.col("supp_key"),
         F.col("item.price").alias("p"), F.col("item.sale").alias("s"), F.col("item"),
     )
-    return lines.repartition("order_key").groupBy("order_key").agg(
+    return lines.groupBy("order_key").agg(
         F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["item"]).alias("items")
     )
 
@@ -120,7 +120,7 @@ def assemble_documents(orders: DataFrame, deliveries: DataFrame, payments: DataF
     """
     d = deliveries.select("order_uid", F.struct(*[F.col(c) for c in schemas.DELIVERY_FIELDS]).alias("delivery"))
     p = payments.select("order_uid", F.struct(*[F.col(c) for c in schemas.PAYMENT_FIELDS]).alias("payment"))
-    it = items.repartition("order_uid").groupBy("order_uid").agg(
+    it = items.groupBy("order_uid").agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct(F.col("item_pos"), F.struct(*[F.col(c) for c in schemas.ITEM_FIELDS]).alias("item")))),
             lambda e: e["item"]).alias("items"))

@@ -5,13 +5,14 @@ Method.  Pages of one host come from one template.  For each host up to
 parsed to trees and aligned with the first of them by simple tree matching.
 Aligned nodes whose text is the same on all of them are template, the others
 are slots.  The wrapper keeps the host's content node (an article or main
-element if there is one, else the deepest node that holds most of the
-varying text) and its template texts.  Every page is then read in one pass:
+element if there is one, else the lowest common ancestor of all slots)
+and its template texts.  Every page is then read in one pass:
 the blocks under its content node, without menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments, and
 without template texts.  Inside an article or main element no text counts as
-template, so a passage that pages of a host share stays.  A page without the
-host's content node is read whole by the same rules.
+template, so a passage that pages of a host share stays.  A page without
+such an element is read whole: every slot lies under the content node, so
+it cuts nothing.
 
 Rows per host are bounded before a host's pages meet; the wrappers go to the
 pages by a broadcast only if their number is checked to be small, else by a
@@ -37,8 +38,6 @@ from parcelry.plans.guards import bounded_broadcast
 
 SAMPLE_PAGES = 5
 MAX_BROADCAST_WRAPPERS = 100_000
-# Share of the varying text that a content node must hold when there is no article or main element.
-CONTENT_SHARE = 0.7
 
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section summary table tbody td template tfoot th thead title tr ul".split())
 _RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -239,7 +238,7 @@ def induce(pages: list[str]) -> str:
     trees = [t for t in trees if t.children or t.texts]
     if not trees:
         return json.dumps({"root": None, "template": []})
-    seed, constant, varying = trees[0], defaultdict(int), defaultdict(int)
+    seed, constant = trees[0], defaultdict(int)
     for other in trees[1:]:
         pairs: list[tuple[Node, Node]] = []
         match(seed, other, pairs)
@@ -249,11 +248,13 @@ def induce(pages: list[str]) -> str:
                     constant[(x.path, t)] += 1
     template = {key for key, n in constant.items() if n == len(trees) - 1 and len(trees) > 2}
     mains: dict[str, int] = {}
+    slots: set[str] = set()
 
     def mass(node: Node) -> int:
         own = sum(len(t) for t in node.texts if (node.path, t) not in template)
         total = own + sum(mass(c) for c in node.children)
-        varying[node.path] += total
+        if own:
+            slots.add(node.path)
         if node.main:
             mains.setdefault(node.path, 0)
             mains[node.path] += total
@@ -264,9 +265,12 @@ def induce(pages: list[str]) -> str:
     if mains:
         root = max(mains, key=lambda p: (mains[p], -p.count(">")))
     else:
-        whole = varying[""]
-        enough = [p for p, n in varying.items() if whole and n >= CONTENT_SHARE * whole]
-        root = max(enough, key=lambda p: (p.count(">"), varying[p]), default=None)
+        # a slot's text block itself is never the content node
+        steps = [p.rpartition(">")[0].split(">") for p in slots]
+        same = 0
+        while steps and all(len(x) > same for x in steps) and len({x[same] for x in steps}) == 1:
+            same += 1
+        root = ">".join(steps[0][:same]) if steps else None
     kept = sorted(k for k in template if not any(k[0] == p or k[0].startswith(p + ">") for p in mains))
     return json.dumps({"root": root or None, "template": [list(k) for k in kept]})
 
@@ -275,18 +279,15 @@ def extract(page: str | None, wrapper: dict | None) -> str:
     """Main text of a page."""
     if not page:
         return ""
-    root = wrapper["root"] if wrapper else None
     template = wrapper["set"] if wrapper else frozenset()
-    inside, whole, main = [], [], []
+    whole, main = [], []
     for element, _, text in blocks(page):
         if element.dropped or (not element.main and (element.path, text) in template):
             continue
         whole.append(text)
         if element.main:
             main.append(text)
-        if root and (element.path == root or element.path.startswith(root + ">")):
-            inside.append(text)
-    return "\n\n".join(main or inside or whole)
+    return "\n\n".join(main or whole)
 
 
 def wrappers(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:

@@ -173,3 +173,16 @@ def test_tree_matching_sizes():
     pairs = []
     assert html_extract.match(a, b) == html_extract.match(a, b, pairs) == len(pairs) == 6
     assert re.sub(r"[^>]", "", pairs[-1][0].path)
+
+
+def read_all(layout_pages):
+    wrapper = json.loads(html_extract.induce(layout_pages))
+    wrapper["set"] = frozenset(map(tuple, wrapper["template"]))
+    return wrapper, [html_extract.extract(p, wrapper) for p in layout_pages]
+
+
+def test_short_blocks_beside_long_paragraphs_stay():
+    page = "<html><body><div class='content'><h1>T{0}</h1><p>{1}</p><ul><li>one {0}</li></ul><blockquote>q{0}</blockquote><table><tr><td>c{0}</td></tr></table><p>{1}</p></div><div>Terms of use</div></body></html>"
+    wrapper, texts = read_all([page.format(i, story(i) * 20) for i in range(6)])
+    assert wrapper["root"] == ">html>body>div.content"
+    assert texts[2].split("\n\n") == ["T2", story(2) * 20, "one 2", "q2", "c2", story(2) * 20]

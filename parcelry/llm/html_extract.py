@@ -4,15 +4,14 @@ Method.  Pages of one host come from one template.  For each host up to
 ``SAMPLE_PAGES`` pages (the ones with the smallest hash of their id) are
 parsed to trees and aligned with the first of them by simple tree matching.
 Aligned nodes whose text is the same on all of them are template, the others
-are slots.  The wrapper keeps the host's content node (an article or main
-element if there is one, else the lowest common ancestor of all slots)
-and its template texts.  Every page is then read in one pass:
+are slots.  The wrapper keeps the host's content node (the lowest common
+ancestor of all slots) and its template texts.  Every page is then read in one pass:
 the blocks under its content node, without menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments, and
-without template texts.  Inside an article or main element no text counts as
-template, so a passage that pages of a host share stays.  A page without
-such an element is read whole: every slot lies under the content node, so
-it cuts nothing.
+without template texts.  Every slot lies under the content
+node, so it cuts nothing.  Article and main elements are a hint only: a
+template text is kept if the nearest of them around it also holds a slot on
+that page.  A page with no slot at all is read whole.
 
 Rows per host are bounded before a host's pages meet; the wrappers go to the
 pages by a broadcast only if their number is checked to be small, else by a
@@ -46,6 +45,8 @@ _DROPPED = frozenset("head nav header footer aside form script style noscript te
 _MAIN = frozenset(("article", "main"))
 _DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login comment comments commentlist disqus respond replies share sharing social related recommended pagination pager skip toolbar".split())
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
+# Parts of class names that speak of a state of the article, not of its kind (comments-open, no-sidebar).
+_STATES = frozenset("open closed on off enabled disabled no has with without is".split())
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "body": ({"head"}, set())}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
@@ -61,11 +62,12 @@ def _dropped(tag: str, attrs: dict[str, str]) -> bool:
     """Whether an element and all in it is no article text."""
     if tag in _DROPPED:
         return True
-    if not attrs or tag in ("html", "body") or tag in _MAIN:
+    if not attrs or tag in ("html", "body", "main"):
         return False
     if attrs.get("role") in _DROPPED_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return True
-    words = _WORD.findall(attrs.get("class", "") + " " + attrs.get("id", ""))
+    names = (attrs.get("class", "") + " " + attrs.get("id", "")).split()
+    words = [w for x in map(_WORD.findall, names) if tag != "article" or _STATES.isdisjoint(x) for w in x]
     return not _DROPPED_WORDS.isdisjoint(words)
 
 
@@ -78,6 +80,7 @@ class Element:
     __slots__ = ("tag", "step", "path", "dropped", "main")
 
     def __init__(self, tag: str, step: str, path: str, dropped: bool, main: bool):
+        # main: is itself an article or main element
         self.tag, self.step, self.path, self.dropped, self.main = tag, step, path, dropped, main
 
 
@@ -158,7 +161,7 @@ def blocks(page: str) -> Iterator[tuple[Element, tuple[Element, ...], str]]:
         if m.group(3).endswith("/") and not block:
             continue
         step = _name(tag, attrs)
-        stack.append(Element(tag, step, f"{top.path}>{step}", top.dropped or gone, top.main or tag in _MAIN or attrs.get("role") == "main"))
+        stack.append(Element(tag, step, f"{top.path}>{step}", top.dropped or gone, tag in _MAIN or attrs.get("role") == "main"))
     yield from flush()
 
 
@@ -247,32 +250,18 @@ def induce(pages: list[str]) -> str:
                 if t in y.texts:
                     constant[(x.path, t)] += 1
     template = {key for key, n in constant.items() if n == len(trees) - 1 and len(trees) > 2}
-    mains: dict[str, int] = {}
-    slots: set[str] = set()
-
-    def mass(node: Node) -> int:
-        own = sum(len(t) for t in node.texts if (node.path, t) not in template)
-        total = own + sum(mass(c) for c in node.children)
-        if own:
-            slots.add(node.path)
-        if node.main:
-            mains.setdefault(node.path, 0)
-            mains[node.path] += total
-        return total
-
-    for t in trees:
-        mass(t)
-    if mains:
-        root = max(mains, key=lambda p: (mains[p], -p.count(">")))
-    else:
-        # a slot's text block itself is never the content node
-        steps = [p.rpartition(">")[0].split(">") for p in slots]
-        same = 0
-        while steps and all(len(x) > same for x in steps) and len({x[same] for x in steps}) == 1:
-            same += 1
-        root = ">".join(steps[0][:same]) if steps else None
-    kept = sorted(k for k in template if not any(k[0] == p or k[0].startswith(p + ">") for p in mains))
-    return json.dumps({"root": root or None, "template": [list(k) for k in kept]})
+    # a slot's text block itself is never the content node
+    steps = [p.rpartition(">")[0].split(">") for t in trees for p in slots(t, template)]
+    same = 0
+    while steps and all(len(x) > same for x in steps) and len({x[same] for x in steps}) == 1:
+        same += 1
+    return json.dumps({"root": ">".join(steps[0][:same]) if steps else None, "template": [list(k) for k in sorted(template)]})
+
+
+def slots(node: Node, template: set) -> list[str]:
+    """Paths of all nodes with text that is no template."""
+    own = [node.path] if any((node.path, t) not in template for t in node.texts) else []
+    return own + [p for c in node.children for p in slots(c, template)]
 
 
 def extract(page: str | None, wrapper: dict | None) -> str:
@@ -280,14 +269,10 @@ def extract(page: str | None, wrapper: dict | None) -> str:
     if not page:
         return ""
     template = wrapper["set"] if wrapper else frozenset()
-    whole, main = [], []
-    for element, _, text in blocks(page):
-        if element.dropped or (not element.main and (element.path, text) in template):
-            continue
-        whole.append(text)
-        if element.main:
-            main.append(text)
-    return "\n\n".join(main or whole)
+    found = [(chain, text, (element.path, text) in template) for element, chain, text in blocks(page) if not element.dropped]
+    live = {id(e) for chain, _, same in found if not same for e in chain if e.main}
+    out = [text for chain, text, same in found if not same or id(next((e for e in reversed(chain) if e.main), None)) in live]
+    return "\n\n".join(out or [text for _, text, _ in found])
 
 
 def wrappers(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:

@@ -186,3 +186,9 @@ def test_short_blocks_beside_long_paragraphs_stay():
     wrapper, texts = read_all([page.format(i, story(i) * 20) for i in range(6)])
     assert wrapper["root"] == ">html>body>div.content"
     assert texts[2].split("\n\n") == ["T2", story(2) * 20, "one 2", "q2", "c2", story(2) * 20]
+
+
+def test_article_elements_are_only_a_hint():
+    page = "<html><body><div class='story'><h1>T{0}</h1><p>{1}</p></div><article class='teaser'><p>Buy our book</p></article><article class='comment'><p>I agree {0}</p></article><article class='post comments-open'><p>Note {0}</p><p>Same note</p></article></body></html>"
+    _, texts = read_all([page.format(i, story(i)) for i in range(6)])
+    assert texts[4].split("\n\n") == ["T4", story(4), "Note 4", "Same note"]

@@ -1,21 +1,28 @@
 """Operator 8: main text of pages by wrapper induction.
 
-Method.  Pages of one host come from one template.  For each host up to
-``SAMPLE_PAGES`` pages (the ones with the smallest hash of their id) are
-parsed to trees and aligned with the first of them by simple tree matching.
-Aligned nodes whose text is the same on all of them are template, the others
-are slots.  The wrapper keeps the host's content node (the lowest common
-ancestor of all slots) and its template texts.  Every page is then read in one pass:
-the blocks under its content node, without menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments, and
-without template texts.  Every slot lies under the content
-node, so it cuts nothing.  Article and main elements are a hint only: a
-template text is kept if the nearest of them around it also holds a slot on
-that page.  A page with no slot at all is read whole.
-
-Rows per host are bounded before a host's pages meet; the wrappers go to the
-pages by a broadcast only if their number is checked to be small, else by a
-shuffle join that Spark may split.
+Method.  Pages of one host come from a few templates.  Every page is parsed to
+a tree in which siblings of one step (tag, id, classes) are one node.  The
+pages of a host that share a layout (the node with most text, and the layout
+nodes beside and above it) form a cluster; one of them is its seed, and every
+other page is aligned with the seed by simple tree matching.  A text that
+stands at one aligned node on ``TEMPLATE_SHARE`` of the distinct pages of its
+cluster is template; all other texts fill slots.  The content node is the
+lowest common ancestor of all slots, so every slot lies in it and it cuts
+nothing.  The text of a page is what fills its slots, without menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles and reader
+comments.
+
+Article and main elements are a hint only: a template text is kept if the
+nearest of them around it also holds a slot on that page, so a passage that
+articles of a host share stays, and an article that is the same everywhere
+goes.  A page with no slot at all is read whole.  Clusters of fewer than
+``MIN_PAGES`` distinct pages have no template.
+
+No page is left out.  Trees travel as hashes of their texts (64 bits, no byte
+check) and are counted once per distinct page; the counts are combined before
+they are shuffled.  Seeds and templates go to the pages by a broadcast only if
+their number is checked to be small, else by a shuffle join that Spark may
+split.
 
 Defined cases: a null or empty html has the empty text; a null url is a host
 of its own; null ids and repeated rows are rows like any other.
@@ -23,19 +30,22 @@ of its own; null ids and repeated rows are rows like any other.
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import json
 import re
-from collections import defaultdict
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from parcelry.llm.common import release, slices, smallest_per_key, store
+from parcelry.llm.common import release, slices, store
 from parcelry.plans.guards import bounded_broadcast
 
-SAMPLE_PAGES = 5
+MIN_PAGES = 3
+TEMPLATE_SHARE = 0.9
 MAX_BROADCAST_WRAPPERS = 100_000
 
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section summary table tbody td template tfoot th thead title tr ul".split())
@@ -43,6 +53,7 @@ _RAW = frozenset("script style textarea title iframe noembed noframes xmp".split
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROPPED = frozenset("head nav header footer aside form script style noscript template iframe textarea title svg math canvas button select option datalist dialog menu object audio video map noembed noframes search".split())
 _MAIN = frozenset(("article", "main"))
+_LAYOUT = frozenset("html body div section article main center".split())
 _DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login comment comments commentlist disqus respond replies share sharing social related recommended pagination pager skip toolbar".split())
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 # Parts of class names that speak of a state of the article, not of its kind (comments-open, no-sidebar).
@@ -166,102 +177,167 @@ def blocks(page: str) -> Iterator[tuple[Element, tuple[Element, ...], str]]:
 
 
 class Node:
-    """Tree node for alignment: step name, own block texts, children."""
+    """Tree node for alignment: step name, own block texts (or their keys), children by step."""
 
-    __slots__ = ("step", "path", "main", "texts", "children", "size")
+    __slots__ = ("step", "path", "texts", "children")
 
-    def __init__(self, element: Element):
-        self.step, self.path, self.main = element.step, element.path, element.main
-        self.texts: list[str] = []
-        self.children: list[Node] = []
-        self.size = 1
+    def __init__(self, step: str, path: str):
+        self.step, self.path = step, path
+        self.texts: list = []
+        self.children: dict[str, Node] = {}
 
 
 def tree(page: str) -> Node:
-    """Tree of the elements that hold text not dropped by the rules."""
-    root = Node(Element("", "", "", False, False))
-    nodes: dict[int, Node] = {}
-    alive: list[tuple[Element, ...]] = []  # keeps elements alive, so their ids stay theirs
+    """Tree of the elements that hold text not dropped by the rules; siblings of one step are one node."""
+    root = Node("", "")
     for element, chain, text in blocks(page):
         if element.dropped:
             continue
-        alive.append(chain)
         at = root
         for e in chain[1:]:
-            node = nodes.get(id(e))
+            node = at.children.get(e.step)
             if node is None:
-                node = nodes[id(e)] = Node(e)
-                at.children.append(node)
+                node = at.children[e.step] = Node(e.step, e.path)
             at = node
         at.texts.append(text)
-    _measure(root)
     return root
 
 
-def _measure(node: Node) -> int:
-    node.size = 1 + sum(_measure(c) for c in node.children)
-    return node.size
+def _nodes(root: Node) -> list[Node]:
+    """All nodes, parents before children."""
+    found = [root]
+    for node in found:
+        found.extend(node.children.values())
+    return found
+
+
+def _heaviest(common: list[tuple[int, int]]) -> list[int]:
+    """Indices of the heaviest run of (rank, weight) with rising ranks; ranks are distinct."""
+    if all(x[0] < y[0] for x, y in zip(common, common[1:])):
+        return list(range(len(common)))
+    ranks: list[int] = []  # ends of runs, by rank; heavier ones only
+    ends: list[tuple[int, int]] = []  # (weight of the run, index of its last)
+    before = [-1] * len(common)
+    for i, (rank, weight) in enumerate(common):
+        at = bisect_right(ranks, rank)
+        total = weight
+        if at:
+            total, before[i] = ends[at - 1][0] + weight, ends[at - 1][1]
+        end = at
+        while end < len(ranks) and ends[end][0] <= total:
+            end += 1
+        ranks[at:end], ends[at:end] = [rank], [(total, i)]
+    out, i = [], ends[-1][1]
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
 
 
 def match(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None) -> int:
     """Simple tree matching: size of the largest order-keeping match of two trees.
 
-    With ``pairs`` the matched nodes are appended to it.
+    With ``pairs`` the matched nodes are appended to it.  Steps of siblings
+    are distinct, so a child has at most one partner.
     """
     if a.step != b.step:
         return 0
-    if not a.children or not b.children:
-        if pairs is not None:
-            pairs.append((a, b))
-        return 1
-    n, m = len(a.children), len(b.children)
-    gain = [[1 if x.step == y.step and not (x.children and y.children) else match(x, y) for y in b.children] for x in a.children]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        row, above, g = best[i], best[i - 1], gain[i - 1]
-        for j in range(1, m + 1):
-            row[j] = max(row[j - 1], above[j], above[j - 1] + g[j - 1])
+    order = [(a, b)]
+    for x, y in order:
+        order.extend((c, y.children[s]) for s, c in x.children.items() if s in y.children)
+    size: dict[int, int] = {}
+    chosen: dict[int, list[tuple[Node, Node]]] = {}
+    for x, y in reversed(order):
+        rank = {s: i for i, s in enumerate(y.children)}
+        common = [(c, y.children[s]) for s, c in x.children.items() if s in rank]
+        kept = _heaviest([(rank[c.step], size[id(c)]) for c, _ in common])
+        chosen[id(x)] = [common[i] for i in kept]
+        size[id(x)] = 1 + sum(size[id(c)] for c, _ in chosen[id(x)])
     if pairs is not None:
-        pairs.append((a, b))
-        i, j = n, m
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                match(a.children[i], b.children[j], pairs)
-    return 1 + best[n][m]
+        found = [(a, b)]
+        for x, _ in found:
+            found.extend(chosen[id(x)])
+        pairs.extend(found)
+    return size[id(a)]
+
+
+def key(path: str, text: str) -> int:
+    """64-bit key of a text at a path."""
+    return int.from_bytes(hashlib.blake2b(f"{path}\0{text}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def layout(root: Node) -> str:
+    """Structural signature: the layout node with most text of its own, and the layout nodes that are not below it."""
+    mass: dict[str, int] = defaultdict(int)
+    holder = {id(root): ""}
+    seen = [(root, True)]
+    for node, open_ in seen:
+        own = holder[id(node)]
+        mass[own] += sum(map(len, node.texts))
+        for c in node.children.values():
+            inside = open_ and re.match("[a-z]*", c.step).group() in _LAYOUT
+            holder[id(c)] = c.path if inside else own
+            seen.append((c, inside))
+    top = max(mass, key=lambda p: mass[p])
+    rest = sorted(p for p in mass if not p.startswith(top + ">")) if top else []
+    return hashlib.blake2b("\n".join([top, *rest]).encode("utf-8", "replace"), digest_size=12).hexdigest()
+
+
+def pack(root: Node) -> str:
+    """A tree as JSON: parent, step and text keys of every node."""
+    nodes = _nodes(root)
+    at = {id(n): i for i, n in enumerate(nodes)}
+    parent = {id(c): at[id(n)] for n in nodes for c in n.children.values()}
+    return json.dumps([[parent.get(id(n), -1), n.step, [key(n.path, t) for t in dict.fromkeys(n.texts)]] for n in nodes])
+
+
+def unpack(packed: str) -> Node:
+    nodes: list[Node] = []
+    for up, step, keys in json.loads(packed):
+        node = Node(step, "")
+        node.texts = keys
+        if up >= 0:
+            nodes[up].children[step] = node
+        nodes.append(node)
+    return nodes[0]
+
+
+def shared(seed: Node, other: Node) -> list:
+    """Texts (or keys) that stand at aligned nodes of both trees."""
+    pairs: list[tuple[Node, Node]] = []
+    match(seed, other, pairs)
+    found = []
+    for x, y in pairs:
+        have = set(y.texts)
+        found += [(x, t) for t in dict.fromkeys(x.texts) if t in have]
+    return found
 
 
 def induce(pages: list[str]) -> str:
-    """Wrapper of pages of one host, as JSON: content path and template texts."""
+    """Wrapper of pages of one cluster, as JSON: content node and template texts."""
     trees = [tree(p) for p in dict.fromkeys(pages)]
     trees = [t for t in trees if t.children or t.texts]
-    if not trees:
-        return json.dumps({"root": None, "template": []})
-    seed, constant = trees[0], defaultdict(int)
-    for other in trees[1:]:
-        pairs: list[tuple[Node, Node]] = []
-        match(seed, other, pairs)
-        for x, y in pairs:
-            for t in x.texts:
-                if t in y.texts:
-                    constant[(x.path, t)] += 1
-    template = {key for key, n in constant.items() if n == len(trees) - 1 and len(trees) > 2}
+    count: Counter = Counter()
+    for other in trees:
+        count.update((x.path, t) for x, t in shared(trees[0], other))
+    template = {k for k, n in count.items() if len(trees) >= MIN_PAGES and n >= TEMPLATE_SHARE * len(trees)}
     # a slot's text block itself is never the content node
-    steps = [p.rpartition(">")[0].split(">") for t in trees for p in slots(t, template)]
+    paths = {n.path.rpartition(">")[0] for t in trees for n in _nodes(t) if any((n.path, x) not in template for x in n.texts)}
+    steps = [p.split(">") for p in paths]
     same = 0
-    while steps and all(len(x) > same for x in steps) and len({x[same] for x in steps}) == 1:
+    while steps and all(len(s) > same for s in steps) and len({s[same] for s in steps}) == 1:
         same += 1
     return json.dumps({"root": ">".join(steps[0][:same]) if steps else None, "template": [list(k) for k in sorted(template)]})
 
 
-def slots(node: Node, template: set) -> list[str]:
-    """Paths of all nodes with text that is no template."""
-    own = [node.path] if any((node.path, t) not in template for t in node.texts) else []
-    return own + [p for c in node.children for p in slots(c, template)]
+class Keys:
+    """Template texts known by their keys."""
+
+    def __init__(self, keys):
+        self.keys = frozenset(keys)
+
+    def __contains__(self, place: tuple[str, str]) -> bool:
+        return key(*place) in self.keys
 
 
 def extract(page: str | None, wrapper: dict | None) -> str:
@@ -275,43 +351,86 @@ def extract(page: str | None, wrapper: dict | None) -> str:
     return "\n\n".join(out or [text for _, text, _ in found])
 
 
-def wrappers(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
-    """(host, wrapper) of every host."""
-    # ids first: the choice moves no html
-    picked = smallest_per_key(pages.select("host", "page_id").distinct(), "host", "page_id", sample_pages)
-    picked = bounded_broadcast(store(picked.select("host", "page_id"), "sample-pages"), sample_pages * MAX_BROADCAST_WRAPPERS)
-    first = Window.partitionBy("host").orderBy("page_id", "html")
-    sample = pages.join(picked, ["host", "page_id"], "left_semi").select("host", "page_id", "html")
-    sample = sample.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample_pages)
+def _trees(pages: DataFrame) -> DataFrame:
+    """(host, h, layout, tree) of every distinct page that holds text."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        return pa.table({"host": rows.column("host").slice(0, 1), "wrapper": pa.array([induce(sorted(h for h in rows.column("html").to_pylist() if h))], pa.string())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "html", max_bytes=4 << 20):
+                rows = []
+                for host, h, page in zip(*(c.to_pylist() for c in part.columns)):
+                    root = tree(page)
+                    if root.children or root.texts:
+                        rows.append((host, h, layout(root), pack(root)))
+                if rows:
+                    host, h, sign, packed = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(h, pa.int64()), pa.array(sign, pa.string()), pa.array(packed, pa.string())], ["host", "h", "layout", "tree"])
+        release()
+
+    src = pages.filter(F.length("html") > 0).select("host", F.xxhash64("html").alias("h"), "html")
+    parsed = src.mapInArrow(run, "host string, h long, layout string, tree string")
+    # equal pages have equal rows
+    return store(parsed.dropDuplicates(["host", "h"]), "page-trees")
 
-    return store(sample.groupBy("host").applyInArrow(run, "host string, wrapper string"), "wrappers")
 
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, layout, template keys) of every cluster that has a template."""
+    trees = _trees(pages)
+    sizes = trees.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min("h").alias("h")).filter(F.col("n") >= MIN_PAGES)
+    seeds = sizes.join(trees.select("host", "h", F.col("tree").alias("seed")), ["host", "h"]).select("host", "layout", "n", "seed")
+    known = bounded_broadcast(store(seeds, "seeds"), MAX_BROADCAST_WRAPPERS)
 
-def main_text(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded: dict[str, Node] = {}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                found = []
+                for packed, seed in zip(part.column("tree").to_pylist(), part.column("seed").to_pylist()):
+                    if seed not in loaded:
+                        if len(loaded) > 1_000:
+                            loaded.clear()
+                        loaded[seed] = unpack(seed)
+                    found.append([k for _, k in shared(loaded[seed], unpack(packed))])
+                yield pa.RecordBatch.from_arrays([part.column("host"), part.column("layout"), part.column("n"), pa.array(found, pa.list_(pa.int64()))], ["host", "layout", "n", "keys"])
+        release()
+
+    joined = trees.join(known, ["host", "layout"]).select("host", "layout", "n", "tree", "seed")
+    aligned = joined.mapInArrow(run, "host string, layout string, n long, keys array<long>").select("host", "layout", "n", F.explode("keys").alias("k"))
+    counted = aligned.groupBy("host", "layout", "k").agg(F.count("*").alias("pages"), F.first("n").alias("n"))
+    template = counted.filter(F.col("pages") >= TEMPLATE_SHARE * F.col("n"))
+    return store(template.groupBy("host", "layout").agg(F.collect_list("k").alias("keys")), "wrappers")
+
+
+def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text`` of every page."""
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
-    known = bounded_broadcast(wrappers(src, sample_pages), MAX_BROADCAST_WRAPPERS)
-    joined = src.join(known, "host", "left").select("page_id", "url", "html", "wrapper")
+    known = bounded_broadcast(wrappers(src), MAX_BROADCAST_WRAPPERS)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "html", max_bytes=4 << 20):
+                signs = [layout(tree(page)) if page else None for page in part.column("html").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(signs, pa.string())], [*part.schema.names, "layout"])
+        release()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded: dict[str, dict] = {}
+        loaded: dict[tuple, dict] = {}
         for batch in batches:
             for part in slices(batch, "html", max_bytes=4 << 20):
                 found = []
-                for page, raw in zip(part.column("html").to_pylist(), part.column("wrapper").to_pylist()):
-                    if raw is not None and raw not in loaded:
+                for page, host, sign, keys in zip(*(part.column(c).to_pylist() for c in ("html", "host", "layout", "keys"))):
+                    if keys is not None and (host, sign) not in loaded:
                         if len(loaded) > 1_000:
                             loaded.clear()
-                        w = json.loads(raw)
-                        loaded[raw] = {"root": w["root"], "set": frozenset(map(tuple, w["template"]))}
-                    found.append(extract(page, loaded.get(raw)))
+                        loaded[host, sign] = {"set": Keys(keys)}
+                    found.append(extract(page, loaded[host, sign] if keys is not None else None))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(found, pa.string())], ["page_id", "url", "text"])
         release()
 
+    signed = src.mapInArrow(sign, "page_id long, url string, html string, host string, layout string")
+    joined = signed.join(known, ["host", "layout"], "left").select("page_id", "url", "html", "host", "layout", "keys")
     return joined.mapInArrow(run, "page_id long, url string, text string")
 
 

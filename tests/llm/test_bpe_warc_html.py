@@ -192,3 +192,33 @@ def test_article_elements_are_only_a_hint():
     page = "<html><body><div class='story'><h1>T{0}</h1><p>{1}</p></div><article class='teaser'><p>Buy our book</p></article><article class='comment'><p>I agree {0}</p></article><article class='post comments-open'><p>Note {0}</p><p>Same note</p></article></body></html>"
     _, texts = read_all([page.format(i, story(i)) for i in range(6)])
     assert texts[4].split("\n\n") == ["T4", story(4), "Note 4", "Same note"]
+
+
+def test_every_layout_of_a_host_has_its_wrapper(spark):
+    a = "<html><body><div class='a'><h1>T{0}</h1><p>{1}</p><p>Read more of this</p></div><div class='low'>Terms of use</div></body></html>"
+    b = "<html><body><div class='left'>Our motto</div><div class='b'><p>{1}</p><p>{2}</p></div></body></html>"
+    rows = [(i, f"http://one.example.org/{i}", (b if i % 3 else a).format(i, story(i), "Seen on a few" if i < 20 else f"End {i}")) for i in range(60)]
+    rows += [(i, *rows[3][1:]) for i in range(100, 200)]  # copies of one page count once
+    got = {r["page_id"]: r["text"] for r in html_extract.op8_html_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    for i in range(60):
+        assert got[i].split("\n\n") == ([story(i), "Seen on a few" if i < 20 else f"End {i}"] if i % 3 else [f"T{i}", story(i)])
+    assert got[150] == got[3]
+
+
+def test_heaviest_order_keeping_match():
+    rng = random.Random(6)
+    for _ in range(200):
+        n = rng.randrange(1, 8)
+        common = list(zip(rng.sample(range(20), n), rng.choices(range(1, 6), k=n)))
+        kept = html_extract._heaviest(common)
+        runs = [[i for i in range(n) if m >> i & 1] for m in range(1 << n)]
+        best = max(sum(common[i][1] for i in r) for r in runs if all(common[x][0] < common[y][0] for x, y in zip(r, r[1:])))
+        assert sum(common[i][1] for i in kept) == best
+        assert all(common[x][0] < common[y][0] for x, y in zip(kept, kept[1:]))
+
+
+def test_a_packed_tree_aligns_like_its_page():
+    pages = [PAGE.format(n=story(i), nav="m") for i in (1, 2)]
+    x, y = map(html_extract.tree, pages)
+    plain = [html_extract.key(n.path, t) for n, t in html_extract.shared(x, y)]
+    assert plain and plain == [k for _, k in html_extract.shared(*(html_extract.unpack(html_extract.pack(t)) for t in (x, y)))]

@@ -6,10 +6,11 @@ others are revisits of it; smaller payloads are always responses.  Records
 are built as text and written by Spark's text writer with the record
 separator CR LF CR LF, gzip-compressed, in the shared folder.
 
-Reading.  Archives are read back by the text reader with the same separator.
-A payload may hold the separator itself, so the pieces are joined again
-until the block has its ``Content-Length``; a block that doesn't fit, or a
-payload whose digest differs from its header's, is an error.
+Reading.  Archives are read back by the text reader with the same separator,
+which only cuts them into pieces of bounded size: pieces and the separators
+between them are read as one stream of bytes, in which ``Content-Length``
+alone says where a block ends.  A block that is not followed by the record
+separator, or a payload whose digest differs from its header's, is an error.
 
 Index.  Method: external merge.  The captures of each archive are sorted by
 (URL key, timestamp, id) and stored as runs.  Ranges of that key go to
@@ -37,6 +38,7 @@ from parcelry.plans.guards import bounded_broadcast
 MIN_REVISIT_BYTES = 1_000
 RECORDS_PER_ARCHIVE = 20_000
 SEPARATOR = "\r\n\r\n"
+_END, _MAGIC = SEPARATOR.encode(), b"WARC/"
 # Captures have no time of their own: seconds after this instant by page_id.
 FIRST_CAPTURE = 1_704_067_200
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"
@@ -92,31 +94,58 @@ def url_key(url: str) -> str:
 
 
 class Captures:
-    """Joins the pieces of one archive back to records, in order."""
+    """Reads the pieces of one archive, in order, as a stream of records."""
 
     def __init__(self, archive: str):
         self.archive, self.head, self.parts, self.got, self.want = archive, None, [], 0, 0
+        self.raw = bytearray()  # of a header that is not complete
+        self.ended: int | None = None  # bytes seen of the separator behind a block
+        self.begun = False
         self.found: list[tuple] = []
 
     def add(self, piece: bytes) -> None:
-        if self.head is None:
-            if not piece.startswith(b"WARC/"):
-                raise ValueError(f"{self.archive}: a record without a WARC header")
-            lines = (x.partition(": ") for x in piece.decode().split("\r\n")[1:])
-            self.head = {k.lower(): v for k, _, v in lines}
-            self.want, self.got, self.parts = int(self.head["content-length"]), -len(SEPARATOR), []
-            return
-        self.parts.append(piece)
-        self.got += len(piece) + len(SEPARATOR)
-        if self.got > self.want:
-            raise ValueError(f"{self.archive}: a block longer than its Content-Length")
-        if self.got == self.want and len(self.parts) > 1:
-            self._close(SEPARATOR.encode().join(self.parts))
+        if self.begun:
+            self._feed(_END)
+        self.begun = True
+        self._feed(piece)
+
+    def _feed(self, data: bytes) -> None:
+        at = 0
+        while at < len(data):
+            if self.ended is not None:
+                part = data[at : at + len(_END) - self.ended]
+                if part != _END[self.ended : self.ended + len(part)]:
+                    raise ValueError(f"{self.archive}: a block longer than its Content-Length")
+                at, self.ended = at + len(part), self.ended + len(part)
+                if self.ended == len(_END):
+                    self.ended = None
+            elif self.head is None:
+                known = len(self.raw)
+                self.raw += data[at:]
+                if not self.raw.startswith(_MAGIC[: len(self.raw)]):
+                    raise ValueError(f"{self.archive}: a record without a WARC header")
+                end = self.raw.find(_END, max(0, known - len(_END) + 1))
+                if end < 0:
+                    return
+                at += end + len(_END) - known
+                lines = (x.partition(": ") for x in self.raw[:end].decode().split("\r\n")[1:])
+                self.head = {k.lower(): v for k, _, v in lines}
+                self.want, self.got, self.parts, self.raw = int(self.head["content-length"]), 0, [], bytearray()
+            else:
+                part = data[at : at + self.want - self.got]
+                self.parts.append(part)
+                at, self.got = at + len(part), self.got + len(part)
+                if self.got == self.want:
+                    self.ended = 0
+                    self._close(b"".join(self.parts))
 
     def _close(self, block: bytes) -> None:
         head, self.head = self.head, None
-        http, _, payload = block.partition(SEPARATOR.encode())
-        size = int(re.search(rb"Content-Length: (\d+)", http).group(1))
+        http, _, payload = block.partition(_END)
+        length = re.search(rb"Content-Length: (\d+)", http)
+        if length is None:
+            raise ValueError(f"{self.archive}: a block without the length of its payload")
+        size = int(length.group(1))
         digest = head["warc-payload-digest"].removeprefix("sha1:")
         kind = head["warc-type"]
         if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
@@ -127,7 +156,8 @@ class Captures:
         self.found.append((url_key(url), head["warc-date"], None if page == "none" else int(page), kind, size, digest, int(refers[10:-1]) if refers else None, url, self.archive))
 
     def run(self) -> list[tuple]:
-        if self.head is not None:
+        # the separator behind the last piece is not seen
+        if self.head is not None or self.raw or self.ended:
             raise ValueError(f"{self.archive}: the last record is cut off")
         return sorted(self.found, key=_order)
 

@@ -222,3 +222,31 @@ def test_a_packed_tree_aligns_like_its_page():
     x, y = map(html_extract.tree, pages)
     plain = [html_extract.key(n.path, t) for n, t in html_extract.shared(x, y)]
     assert plain and plain == [k for _, k in html_extract.shared(*(html_extract.unpack(html_extract.pack(t)) for t in (x, y)))]
+
+
+ENDS = ["\r", "\n", "\r\n", "\n\r", "\r\n\r", "\n\r\n", "\r\n\r\n", "\r\n\r\n\r", "\r\n\r\n\r\n", "\r\n\r\n\r\n\r\n"]
+
+
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_payloads_may_end_in_line_ends(spark, size):
+    rows = [(i, f"http://a.example.org/{i}", body + end) for i, (body, end) in enumerate((b, e) for b in ("", "<p>x</p>", "\r\n<p>é\r\n\r\n" * 200) for e in ENDS)]
+    path = shared_path(spark, "test-line-ends")
+    warc.write_archives(spark.createDataFrame(rows + rows[-4:], "page_id long, url string, html string").coalesce(1), path, records_per_archive=size)
+    got = Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, path).collect())
+    assert got == slow_warc(rows + rows[-4:])
+
+
+def test_a_cut_archive_is_an_error():
+    block = b"Content-Length: 5\r\n\r\nabc\r\n"
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Date: d\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Length: %d"
+    whole = head % (hashlib.sha1(b"abc\r\n").hexdigest().encode(), len(block)) + b"\r\n\r\n" + block + b"\r\n\r\n"
+    for cut in range(1, len(whole) + 1):
+        reader = warc.Captures("x")
+        pieces = whole[:cut].split(b"\r\n\r\n")
+        try:
+            for piece in pieces:
+                reader.add(piece)
+            ok = len(reader.run()) == 1
+        except ValueError:
+            ok = False
+        assert ok == (cut in (len(whole), len(whole) - 4)), cut

@@ -37,14 +37,14 @@ TRAIN_PER_LANG = 600
 RIDGE = 1e-3
 # Sharpness of the score (a softmax of the regression outputs).
 SHARPNESS = 4.0
-_PLANE = np.array([c if chr(c).isalpha() else 32 for c in range(0x10000)], np.uint32)
+_LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
 def gram_slots(text: str) -> np.ndarray | None:
     """Sorted distinct slots of the text's n-grams; None if it has no letter."""
     code = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    code = np.where(code < 0x10000, _PLANE[np.minimum(code, 0xFFFF)], code)
+    code = np.where(_LETTER[code], code, np.uint32(32))
     if not (code != 32).any():
         return None
     code = np.concatenate([[32], code, [32]]).astype(np.uint32)

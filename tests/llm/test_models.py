@@ -217,6 +217,15 @@ def test_kernel_is_the_shared_share():
     assert model.kernel([a])[0, 0] == pytest.approx(len(np.intersect1d(a, b)) / (len(a) * len(b)) ** 0.5, rel=1e-6)
 
 
+def test_only_letters_are_letters(speech):
+    signs = ["\U0001F600 \U0001F680\U0001F680!", "12 \U0001D11E \U0001F0A1", "\U0001F468\u200d\U0001F469 ✓", "\ud800"]
+    assert [language_id.gram_slots(t) for t in signs] == [None] * 4
+    assert language_id.gram_slots("\U00010400\U00020000") is not None  # letters above 0xFFFF
+    assert (language_id.gram_slots("stone \U0001F600 river") == language_id.gram_slots("stone   river")).all()
+    model = language_id.train(speech[0])
+    assert model.predict([*signs, "the showing"])[0] == ["und"] * 4 + ["aa"]
+
+
 # --- decontamination
 
 def slow_leaks(docs, items):

@@ -1,4 +1,4 @@
-"""Operator 9: repeated passages, by prefix-partitioned suffix trees.
+"""Operator 9: repeated passages, by prefix-partitioned suffix groups.
 
 Words are runs without white space (space, 0x09-0x0D).  A window is ``width``
 (13) consecutive words of one document.  Every word covered by a window
@@ -12,12 +12,17 @@ group fits in memory.  Groups are dealt to partitions by that prefix.  Only
 internal nodes at least ``width`` words deep matter, so a suffix's path to
 that depth is kept as the 64-bit hash that its prefixes extend word by word;
 sorting a group's paths gives its deep nodes (equal paths), and a node with
-suffixes of several chunks is a repeat.  Runs of neighbouring repeated
+suffixes of several chunks is a repeat.  No tree is built: of a suffix tree
+only its nodes at depth ``width`` decide a row, and equal hashes stand for
+them without a check of the bytes.  Runs of neighbouring repeated
 suffixes are the maximal repeats reported as ``repeats``.  Paths are not
 stored as words: 13 words a suffix would be about ten times the input.
 
 Exchange.  Documents are cut into chunks by ranges of ``doc_id``, so a chunk
-with a smaller number holds smaller ids only.  A chunk sends each of its
+with a smaller number holds smaller ids only; the borders are quantiles of
+the ids weighted by bytes.  Rows without an id never repeat each other, so
+they are dealt by a hash of their text (copies of one text stay together) to
+chunks after all others.  A chunk sends each of its
 distinct paths once to the path's group (a passage held by a third of all
 documents is one entry per chunk there), and gets one bit back per entry: is
 it in an earlier chunk?  Inside a chunk ids are compared directly.
@@ -160,6 +165,31 @@ def pc_fill(column: pa.ChunkedArray) -> np.ndarray:
     return column.fill_null(NULL_ID).to_numpy()
 
 
+def cut_chunks(src: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int, int, int]:
+    """``src`` with its ``chunk``, the bytes of all texts, the number of chunks and the first chunk of rows without an id."""
+    size = src.agg(F.sum(F.octet_length("text")).alias("b"), F.count("doc_id").alias("n"), F.sum(F.when(F.col("doc_id").isNull(), F.octet_length("text"))).alias("null_b")).first()
+    n_bytes, null_bytes, n_rows = int(size["b"] or 0), int(size["null_b"] or 0), int(size["n"])
+    chunks, null_chunks = (max(1, math.ceil(n / chunk_bytes)) for n in (n_bytes - null_bytes, null_bytes))
+    # chunk borders: one id per chunk, a table of 8 bytes each
+    borders = np.array([], np.int64)
+    if chunks > 1 and n_rows:
+        at = [i / chunks for i in range(1, chunks)]
+        # an id counts once for every quarter of the mean size that its text has
+        share = F.ceil(F.octet_length("text") / F.lit(max(1.0, (n_bytes - null_bytes) / n_rows / 4))).cast("int")
+        weighted = src.filter("doc_id IS NOT NULL").select("doc_id", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), share))))
+        borders = np.unique(np.array(weighted.select(F.percentile_approx("doc_id", at, max(10_000, 20 * chunks)).alias("q")).first()["q"], np.int64))
+    # number of the first chunk of rows without an id
+    no_id = len(borders) + 1
+
+    @F.pandas_udf("int")
+    def chunk_of(ids: pd.Series, salt: pd.Series) -> pd.Series:
+        at = np.searchsorted(borders, ids.fillna(NULL_ID).to_numpy(np.int64), side="left")
+        return pd.Series(np.where(ids.isna(), no_id + salt, at).astype(np.int32))
+
+    salt = F.pmod(F.xxhash64("text"), F.lit(null_chunks)).cast("int")
+    return src.withColumn("chunk", chunk_of("doc_id", salt)), n_bytes, chunks + null_chunks * (null_bytes > 0), no_id
+
+
 def find_repeats(docs: DataFrame, width: int = WIDTH, group: int = GROUP_SUFFIXES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_words, n_removed, kept, repeats``.
 
@@ -167,22 +197,11 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, group: int = GROUP_SUFFIXE
     the maximal repeats as ``start:end`` word positions, comma-joined.
     """
     src = texts(docs)
-    size = src.agg(F.sum(F.octet_length("text")).alias("b"), F.count("doc_id").alias("n")).first()
-    n_bytes, n_rows = int(size["b"] or 0), int(size["n"])
+    dealt, n_bytes, chunks, no_id = cut_chunks(src, chunk_bytes)
     n_words = n_bytes / 6.0
     heavy = heavy_prefixes(src, n_words, width, group)
     groups = max(1, math.ceil(n_words / group))
-    chunks = max(1, math.ceil(n_bytes / chunk_bytes))
-    # chunk borders: one id per chunk, a table of 8 bytes each
-    borders = np.array([], np.int64)
-    if chunks > 1 and n_rows:
-        at = [i / chunks for i in range(1, chunks)]
-        borders = np.unique(np.array(src.select(F.percentile_approx("doc_id", at, max(10_000, 20 * chunks)).alias("q")).first()["q"], np.int64))
-
-    @F.pandas_udf("int")
-    def chunk_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(borders, ids.fillna(NULL_ID).to_numpy(np.int64), side="left").astype(np.int32))
-
+    dealt = dealt.repartition(chunks, "chunk")
     shared = src.sparkSession.sparkContext.broadcast((heavy, groups))
 
     def send(rows: pa.Table) -> pa.Table:
@@ -201,8 +220,9 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, group: int = GROUP_SUFFIXE
         path = np.concatenate(blobs)
         order = np.lexsort((of, path))
         first = np.concatenate([[True], path[order][1:] != path[order][:-1]])
+        lowest = of[order][first][np.cumsum(first) - 1]
         earlier = np.empty(len(path), bool)
-        earlier[order] = ~first  # in an earlier chunk: each chunk names a path once
+        earlier[order] = lowest < np.minimum(of[order], no_id)  # each chunk names a path once
         ends = np.cumsum([len(b) for b in blobs])[:-1]
         bits = [np.packbits(x).tobytes() for x in np.split(earlier, ends)]
         return pa.table({"chunk": pa.array(chunk, pa.int32()), "part": rows.column("part"), "bits": pa.array(bits, pa.binary())})
@@ -239,7 +259,6 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, group: int = GROUP_SUFFIXE
             "kept": pa.array(kept, pa.binary()).cast(pa.string()), "repeats": pa.array(spans, pa.string()),
         })
 
-    dealt = src.withColumn("chunk", chunk_of("doc_id")).repartition(chunks, "chunk")
     sent = dealt.groupBy("chunk").applyInArrow(send, "part int, chunk int, paths binary")
     bits = sent.repartition(groups, "part").groupBy("part").applyInArrow(answer, "chunk int, part int, bits binary")
     out = "doc_id long, n_words long, n_removed long, kept string, repeats string"

@@ -158,6 +158,23 @@ def test_repeats_over_many_chunks_and_groups(spark):
     assert found == slow_repeats(rows, 4)
 
 
+def test_chunks_hold_even_bytes_and_rows_without_ids_spread(spark):
+    rng = random.Random(12)
+    vocabulary = ["a", "b", "c", "d"]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=200 if i < 40 else 3))) for i in range(400)]
+    rows += [(None, " ".join(rng.choices(vocabulary, k=20))) for _ in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    dealt, _, _, no_id = substring_dedup.cut_chunks(substring_dedup.texts(df), 1_000)
+    size = Counter()
+    for r in dealt.collect():
+        assert (r["doc_id"] is None) == (r["chunk"] >= no_id)
+        size[r["chunk"]] += len(r["text"])
+    assert max(size.values()) < 3_000 and sum(c >= no_id for c in size) > 4
+    got = substring_dedup.find_repeats(df, width=4, group=100, chunk_bytes=1_000)
+    found = Counter((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in got.collect())
+    assert found == slow_repeats(rows, 4)
+
+
 def test_heavy_prefixes_split_groups():
     text = ("the " * 300 + "stone river paper " * 50).encode()
     hashes = [substring_dedup.word_hashes(text)]

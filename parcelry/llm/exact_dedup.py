@@ -6,8 +6,9 @@ white space (space, 0x09-0x0D) becomes one space; null counts as empty.
 Method.  Rows are grouped by the 64-bit hash *and* the bytes of the
 normalised text, so two texts with one hash are told apart by comparing
 bytes; the group count is combined before the shuffle, so a text held by a
-third of all rows reaches its owner as one row per task.  Each distinct text
-is one index entry.  The directory starts with one slot and doubles: a
+third of all rows reaches its owner as one row per task.  This grouping
+alone decides the rows; the index stores what it found, and its buckets,
+depths and chains decide none.  Each distinct text is one index entry.  The directory starts with one slot and doubles: a
 bucket of depth d (the entries whose hashes share d leading bits) that holds
 more than ``bucket_rows`` entries splits in two, up to ``max_depth`` bits;
 overfull buckets at that depth overflow into longer chains.  Buckets are

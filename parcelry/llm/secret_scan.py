@@ -10,19 +10,23 @@ class (key word, separator, hexadecimal, mixed letters and digits by length,
 sum of weights of the token's class and kind, the classes of its two neighbours and features of the
 whole text (its share of separators, digits and long mixed tokens), plus a
 transition weight; inside cannot follow outside.  Weights are fitted by
-forward-backward gradients on windows of a bounded sample of rows
-(``SAMPLE_ROWS``, the ones with the smallest hash of their id) whose labels
-are the base spans.  Decoding is Viterbi over the whole text.  A text in
-which no token can make a labelled run pay (its best label gain plus the
-best transition gain is not positive) is all outside without decoding.
+forward-backward gradients on windows whose labels are the base spans: of
+all rows, the ``MAX_WINDOWS`` windows around a base span and as many at any
+place of a text without one that have the smallest hash of id and place (at
+most ``MARKS`` base spans a text, again by hash).  Decoding is Viterbi over
+the whole text.  A text in which no labelled run can pay is all outside
+without decoding: neither one token with both moves at a run's ends, nor a
+further token with one move inside a run, has a positive gain.
 
 Defined cases: a null or empty text has no spans (digest of the empty
-string); if the sample holds no base span the CRF adds nothing; null ids,
+string); if no row holds a base span the CRF adds nothing; null ids,
 repeated rows and very long texts are rows like any other.
 """
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -30,11 +34,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from parcelry.llm.common import release, slices, texts
+from parcelry.llm.common import release, slices, store, texts
 
-SAMPLE_ROWS = 5_000
 WINDOW = 48
 MAX_WINDOWS = 400
+MARKS = 4
 # The three base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -188,8 +192,10 @@ class Crf:
         edge = np.array([CLASS["edge"]])
         e = self.scores(cls, np.concatenate([edge, cls[:-1]]), np.concatenate([cls[1:], edge]), file_features(cls)[None, :])
         t = self.moves()
-        gain = max(0.0, float(t[t > -1e8].max() - t[OUTSIDE, OUTSIDE]))
-        if (e[:, :2].max(axis=1) - e[:, OUTSIDE]).max() + gain <= 0:
+        over = t - t[OUTSIDE, OUTSIDE]
+        # a run of m tokens has m - 1 moves inside and, but at the text's edges, one at either end
+        ends = max(0.0, over[OUTSIDE, BEGIN]) + max(0.0, over[:2, OUTSIDE].max())
+        if (e[:, :2].max(axis=1) - e[:, OUTSIDE]).max() + max(ends, over[:2, :2].max()) <= 0:
             return None
         (bb, bi, bo), (ib, ii, io), (ob, _, oo) = t.tolist()
         rows = e.tolist()
@@ -242,54 +248,79 @@ def scan(text: str, model: Crf | None) -> tuple[list[tuple[int, int, int]], list
     return base, sorted(base + more)
 
 
-def _labelled_windows(docs: DataFrame, sample_rows: int) -> list[tuple]:
-    """Windows of the sample: around every base span, and the first of each text without one."""
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("k")
-    ids = docs.select("doc_id", key).orderBy("k", "doc_id").limit(sample_rows).select("doc_id").distinct()
-    # at most ``sample_rows`` ids: the side's size is bounded
-    sample = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+def _draw(doc_id: int | None, place: int) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{doc_id}:{place}".encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _window(text: str, lo: int, base: list[tuple[int, int, int]]) -> tuple:
+    """Features and labels of the window of tokens that begins at token ``lo``."""
+    places = [m.span() for m in _TOKEN.finditer(text)]
+    cls = classes([text[a:b] for a, b in places])
+    labels = _labels(places, base)[0]
+    edge = np.array([CLASS["edge"]])
+    prev, nxt = np.concatenate([edge, cls[:-1]]), np.concatenate([cls[1:], edge])
+    if labels[lo] == INSIDE:
+        lo += 1
+    cut = slice(lo, lo + WINDOW)
+    return (*(x[cut].tolist() for x in (cls, prev, nxt)), file_features(cls).tolist(), labels[cut].tolist())
+
+
+def _labels(places: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> tuple[np.ndarray, list[int]]:
+    """Labels of all tokens, and the first token of every base span."""
+    starts = np.array([a for a, _ in places])
+    labels, marks = np.full(len(places), OUTSIDE), []
+    for a, _, b in base:
+        lo, hi = int(np.searchsorted(starts, a, "right")) - 1, int(np.searchsorted(starts, b, "left"))
+        if (labels[lo:hi] == OUTSIDE).all():
+            labels[lo], labels[lo + 1 : hi] = BEGIN, INSIDE
+            marks.append(lo)
+    return labels, marks
+
+
+def _labelled_windows(docs: DataFrame) -> list[tuple]:
+    """Windows around base spans and at any place of texts without one, drawn by hash from all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a task keeps the smallest hashes of either kind, negated: the largest of them is on top
+        best: dict[bool, list[tuple]] = {True: [], False: []}
         for batch in batches:
             for part in slices(batch, "text", max_bytes=1 << 20):
-                out = {"own": [], "prev": [], "next": [], "file": [], "label": [], "hit": []}
-                for text in part.column("text").to_pylist():
-                    places = [m.span() for m in _TOKEN.finditer(text)]
-                    if not places:
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                    tokens = text.split()
+                    if not tokens:
                         continue
-                    tokens = [text[a:b] for a, b in places]
-                    cls = classes(tokens)
-                    starts = np.array([a for a, _ in places])
-                    labels = np.full(len(tokens), OUTSIDE)
-                    marks = []
-                    for a, _, b in base_spans(text, max(map(len, tokens))):
-                        lo, hi = int(np.searchsorted(starts, a, "right")) - 1, int(np.searchsorted(starts, b, "left"))
-                        if (labels[lo:hi] == OUTSIDE).all():
-                            labels[lo], labels[lo + 1 : hi] = BEGIN, INSIDE
-                            marks.append(lo)
-                    file, edge = file_features(cls), np.array([CLASS["edge"]])
-                    prev, nxt = np.concatenate([edge, cls[:-1]]), np.concatenate([cls[1:], edge])
-                    for lo in [max(0, m - WINDOW // 2) for m in marks[:4]] or [0]:
-                        if labels[lo] == INSIDE:
-                            lo += 1
-                        cut = slice(lo, lo + WINDOW)
-                        for name, values in (("own", cls), ("prev", prev), ("next", nxt), ("label", labels)):
-                            out[name].append(values[cut].tolist())
-                        out["file"].append(file.tolist())
-                        out["hit"].append(bool(marks))
-                yield pa.RecordBatch.from_pydict(out, pa.schema([(c, pa.list_(pa.int64())) for c in ("own", "prev", "next")] + [("file", pa.list_(pa.float64())), ("label", pa.list_(pa.int64())), ("hit", pa.bool_())]))
-
-    schema = "own array<long>, prev array<long>, next array<long>, file array<double>, label array<long>, hit boolean"
-    windows = sample.mapInArrow(run, schema)
-    order = F.xxhash64(F.col("own").cast("string"))
-    hits = windows.filter("hit").orderBy(order).limit(MAX_WINDOWS)
-    plain = windows.filter("NOT hit").orderBy(order).limit(MAX_WINDOWS)
-    return [tuple(r) for r in hits.union(plain).collect()]
-
-
-def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Crf | None:
-    """CRF fitted on a bounded sample; None if the sample has no base span."""
-    rows = _labelled_windows(texts(docs), sample_rows)
+                    base = base_spans(text, max(map(len, tokens)))
+                    if base:
+                        marks = _labels([m.span() for m in _TOKEN.finditer(text)], base)[1]
+                        drawn = sorted((_draw(doc_id, m), max(0, m - WINDOW // 2)) for m in marks)[:MARKS]
+                    else:
+                        k = _draw(doc_id, -1)
+                        drawn = [(k, _draw(doc_id, -2) % max(1, len(tokens) - WINDOW + 1))]
+                    kept = best[bool(base)]
+                    for k, lo in drawn:
+                        if len(kept) < MAX_WINDOWS or -k >= kept[0][0]:
+                            put = heapq.heappush if len(kept) < MAX_WINDOWS else heapq.heappushpop
+                            put(kept, (-k, *_window(text, lo, base)))
+        rows = [(-r[0], *r[1:], hit) for hit, kept in best.items() for r in kept]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _WINDOWS)], schema=_WINDOWS)
+        _CACHE.clear()
+        release()
+
+    schema = "k long, own array<long>, prev array<long>, next array<long>, file array<double>, label array<long>, hit boolean"
+    windows = store(docs.mapInArrow(run, schema), "windows")
+    order = ["k", "own", "prev", "next", "file", "label"]
+    hits = windows.filter("hit").orderBy(*order).limit(MAX_WINDOWS)
+    plain = windows.filter("NOT hit").orderBy(*order).limit(MAX_WINDOWS)
+    return [tuple(r)[1:] for r in hits.union(plain).collect()]
+
+
+_WINDOWS = pa.schema([("k", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("own", "prev", "next")), ("file", pa.list_(pa.float64())), ("label", pa.list_(pa.int64())), ("hit", pa.bool_())])
+
+
+def train(docs: DataFrame) -> Crf | None:
+    """CRF fitted on a bounded sample; None if no row has a base span."""
+    rows = _labelled_windows(texts(docs))
     if not any(r[5] for r in rows):
         return None
     rows.sort(key=lambda r: (r[0], r[4]))

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parcelry.llm import decontaminate, language_id, secret_scan, toxicity
 from parcelry.llm.common import held_out, table
@@ -174,6 +175,32 @@ def test_viterbi_finds_the_best_labels():
         assert score(got or [2] * 6) == pytest.approx(score(best))
 
 
+def test_crf_learns_from_rare_secrets(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choice(["river", "Stone", "8412"]) for _ in range(5))) for i in range(20_000)]
+    order = [r[0] for r in spark.range(len(rows)).orderBy(F.xxhash64(F.col("id").cast("string"))).collect()]
+    for i in order[-3:]:  # not among the first rows by hash
+        rows[i] = (i, "river Stone " + SECRETS[0] + " river")
+    model = secret_scan.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert model is not None
+    assert any(y == secret_scan.BEGIN for y in model.decode(secret_scan.classes(rows[order[-1]][1].split())) or [])
+
+
+def test_negatives_come_from_anywhere(spark):
+    rows = [(i, "river " * 200 + "8412 " * 200) for i in range(50)] + [(99, SECRETS[0])]
+    plain = [r for r in secret_scan._labelled_windows(secret_scan.texts(spark.createDataFrame(rows, "doc_id long, text string"))) if not r[5]]
+    assert {secret_scan.CLASS["digits"], secret_scan.CLASS["lower"]} == {c for r in plain for c in r[0]}
+
+
+def test_early_exit_counts_both_ends():
+    model = secret_scan.Crf()
+    model.weights["move"][secret_scan.OUTSIDE, secret_scan.BEGIN] = model.weights["move"][secret_scan.BEGIN, secret_scan.OUTSIDE] = 1.0
+    lower, key = secret_scan.CLASS["lower"], secret_scan.CLASS["key"]
+    model.weights["own"][lower, secret_scan.BEGIN], model.weights["own"][key, secret_scan.BEGIN] = -9.0, -1.5
+    model.weights["own"][:, secret_scan.INSIDE] = -9.0
+    assert model.decode(np.array([lower, key, lower])) == [2, 0, 2]
+
+
 # --- language
 
 @pytest.fixture(scope="module")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelry.llm import bpe, decontaminate, exact_dedup, html_extract, language_id, near_dedup, secret_scan, substring_dedup, toxicity, warc
+from parcelry.llm import bpe, decontaminate, exact_dedup, html_extract, language_id, near_dedup, secret_scan, sentence_pieces, substring_dedup, toxicity, warc
 from parcelry.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_32k.model") -> DataFrame:
+    return sentence_pieces.op12_sentencepiece(table(spark, sf_dir, "documents"), public_tokenizers.path(model))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_text": op8_html_text,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_decontaminate": op10_decontaminate,
+        "op12_sentencepiece": op12_sentencepiece,
     }
 
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from parcelry.plans.guards import estimated_bytes
 from parcelry.session import checkpoint_dir
 
 # Null ids sort after every real id.
@@ -77,6 +78,15 @@ def smallest_per_key(df: DataFrame, key: str, id_col: str, n: int) -> DataFrame:
     return few.select(*df.columns, F.row_number().over(order).alias("place")).filter(F.col("place") <= n)
 
 
+def input_bytes(docs: DataFrame, column: str) -> int:
+    """About how many bytes ``column`` holds: Catalyst's estimate, or a sum over the rows where it has none."""
+    df = docs.select(column)
+    size = estimated_bytes(df)
+    if size is not None and size < 1 << 55:  # a plan of unknown size counts as far larger
+        return size
+    return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

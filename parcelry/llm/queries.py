@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelry.llm import bpe, decontaminate, exact_dedup, html_extract, language_id, near_dedup, secret_scan, sentence_pieces, substring_dedup, toxicity, warc
+from parcelry.llm import bpe, decontaminate, exact_dedup, html_extract, language_id, near_dedup, secret_scan, sentence_pieces, substring_dedup, token_alignment, toxicity, warc, whitening
 from parcelry.llm.common import table
 
 
@@ -51,10 +51,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model") -> DataFrame:
+    return token_alignment.op11_alignment(table(spark, sf_dir, "documents"), public_tokenizers.path(a), public_tokenizers.path(b))
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_32k.model") -> DataFrame:
     return sentence_pieces.op12_sentencepiece(table(spark, sf_dir, "documents"), public_tokenizers.path(model))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.op13_whitening(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -67,7 +75,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_text": op8_html_text,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_decontaminate": op10_decontaminate,
+        "op11_alignment": op11_alignment,
         "op12_sentencepiece": op12_sentencepiece,
+        "op13_whitening": op13_whitening,
     }
 
 

@@ -42,8 +42,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from parcelry.llm.common import release, shared_path, slices, texts
-from parcelry.plans.guards import estimated_bytes
+from parcelry.llm.common import input_bytes, release, shared_path, slices, texts
 from parcelry.plans.layout import write_bucketed
 
 MARK = "▁"
@@ -246,14 +245,14 @@ def _sent(df: DataFrame, path: str):
 
 def _sizes(docs: DataFrame) -> tuple[int, int]:
     """Hash classes and block buckets for the input's size; results do not depend on them."""
-    size = estimated_bytes(docs) or 0
+    size = input_bytes(docs, "text")
     return min(MAX_CLASSES, max(32, size // CLASS_BYTES)), min(MAX_BUCKETS, max(64, 8 * size // BLOCK_BYTES))
 
 
 def encode(docs: DataFrame, model_path: str, classes: int | None = None) -> DataFrame:
     """``doc_id`` and ``ids`` of every whole text, with the begin and end ids."""
     sp, model = _sent(docs, model_path)
-    auto, buckets = _sizes(docs.select("text"))
+    auto, buckets = _sizes(docs)
     path = shared_path(docs.sparkSession, "sentence-blocks")
     parts = write_bucketed(cut_blocks(docs, classes or auto), path, buckets, ["block"])
     bundles = docs.sparkSession.read.schema(parts.schema).parquet(path).filter("class >= 0").select("block", "class", "chunks")

@@ -166,3 +166,29 @@ def test_row_products_equal_dense():
         assert (al.product_sizes(rows_of(x), rows_of(y)) == x.astype(int) @ y.sum(1)).all()
         t = rows_of(x).transposed()
         assert (t.indices == np.nonzero(x.T)[1]).all()
+
+
+def test_ranks_equal_the_file_on_every_character():
+    """The rank library and the tokenizer file's own agree on every code point, beside letters, digits, signs and spaces."""
+    own = Tokenizer.from_file(JSON)
+    own.encode_special_tokens = True
+    with open(JSON, "rb") as f, open(MODEL, "rb") as m:
+        tools = al.Tokenizers(f.read(), m.read())
+    assert tools.ranked is not None
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(chars), 20_000):
+        for text in (" ".join(chars[lo : lo + 20_000]), "".join(f"a{c}1{c}.{c} {c}b" for c in chars[lo : lo + 20_000 : 7])):
+            assert tools.ranked.encode_ordinary(text) == own.encode(text, add_special_tokens=False).ids
+    for text in [" " * 300_000, "\n" * 300_000 + "x", "x" * 300_000, " <|endoftext|> don't 'S", "\t \r\n"]:
+        assert tools._a(text) == own.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizer_files_are_left_to_their_own_library():
+    import json
+
+    with open(JSON, "rb") as f:
+        spec = json.load(f)
+    spec["model"]["merges"] = spec["model"]["merges"][1:] + spec["model"]["merges"][:1]
+    assert al.as_ranks(json.dumps(spec).encode()) is None
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    assert al.as_ranks(json.dumps(spec).encode()) is None

@@ -111,12 +111,14 @@ def order_by_uid(spark: SparkSession, sf_dir: str, uid: str) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def assemble_documents(orders: DataFrame, deliveries: DataFrame, payments: DataFrame,
-                       items: DataFrame) -> DataFrame:
+                       items: DataFrame, colocated: bool = False) -> DataFrame:
     """Literal re-assembly from the four normalised tables.
 
     orders JOIN deliveries JOIN payments (inner, 1:1) LEFT JOIN the items
     grouped per order in ``item_pos`` order.  All joins are on ``order_uid``,
     so every side is shuffled once on the same key and the joins zip.
+    ``colocated`` says that all four are bucketed by it (``normalize.open_tables``):
+    merge joins then need no exchange at all.
     """
     d = deliveries.select("order_uid", F.struct(*[F.col(c) for c in schemas.DELIVERY_FIELDS]).alias("delivery"))
     p = payments.select("order_uid", F.struct(*[F.col(c) for c in schemas.PAYMENT_FIELDS]).alias("payment"))
@@ -125,6 +127,8 @@ def assemble_documents(orders: DataFrame, deliveries: DataFrame, payments: DataF
             F.sort_array(F.collect_list(F.struct(F.col("item_pos"), F.struct(*[F.col(c) for c in schemas.ITEM_FIELDS]).alias("item")))),
             lambda e: e["item"]).alias("items"))
     o = orders.withColumnRenamed("shard_key", "shardkey")
+    if colocated:
+        d, p, it = d.hint("merge"), p.hint("merge"), it.hint("merge")
     j = o.join(d, "order_uid", "inner").join(p, "order_uid", "inner").join(it, "order_uid", "left")
     j = j.withColumn("items", F.coalesce(F.col("items"), empty_items()))
     return j.select("order_uid", document_json(j).alias("document"))

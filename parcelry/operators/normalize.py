@@ -9,9 +9,13 @@ nested order row is the only stored fact; ``orders``, ``deliveries``,
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from parcelry import schemas
+from parcelry.plans import files
+from parcelry.plans.layout import read_bucketed, write_bucketed
 from parcelry.session import ensure_conf
 
 RUN_COL, BATCH_COL = "run_id", "batch_id"
@@ -69,6 +73,35 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORE_SCHEMA).parquet(path)
 
 
+# --------------------------------------------------------------------------
+# The four tables side by side, bucketed by order
+# --------------------------------------------------------------------------
+
+TABLES = ("orders", "deliveries", "payments", "items")
+
+
+def store_tables(tables: dict[str, DataFrame], root: str, buckets: int) -> None:
+    """Write the four tables in ``buckets`` buckets by ``order_uid``, one sorted file a bucket.
+
+    Each is shuffled once here, and not again by joins on the key.
+    """
+    spark = tables["orders"].sparkSession
+    layout = {"buckets": buckets, "tables": {}}
+    for name in TABLES:
+        df = tables[name]
+        write_bucketed(df.repartition(buckets, "order_uid"), f"{root}/{name}", buckets, ["order_uid"], ["order_uid"])
+        layout["tables"][name] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    files.create_text(spark, f"{root}/_layout.json", json.dumps(layout))
+
+
+def open_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The bucketed scans of tables that ``store_tables`` wrote, in any session."""
+    ensure_conf(spark)
+    layout = json.loads(files.read_text(spark, f"{root}/_layout.json"))
+    return {name: read_bucketed(spark, f"{root}/{name}", ddl, layout["buckets"], ["order_uid"], ["order_uid"])
+            for name, ddl in layout["tables"].items()}
+
+
 # --------------------------------------------------------------------------
 # Additive migration (audit columns with a default for old rows)
 # --------------------------------------------------------------------------
@@ -101,6 +134,24 @@ def null_audit(df: DataFrame, columns: list[str]) -> DataFrame:
     return g.select(F.inline(rows))
 
 
+# Columns that the tables declare NOT NULL.
+NOT_NULL = {
+    "orders": [c for c in schemas.ORDERS_TABLE_COLUMNS if c not in ("internal_signature", "created_at", "updated_at")],
+    "deliveries": ["order_uid", *schemas.DELIVERY_FIELDS],
+    "payments": ["order_uid", *[c for c in schemas.PAYMENT_FIELDS if c != "request_id"]],
+    "items": ["order_uid", *schemas.ITEM_FIELDS],
+}
+
+
+def not_null_audits(tables: dict[str, DataFrame]) -> DataFrame:
+    """K5: (table_name, column_name, n_null, n_rows) of every NOT NULL column; one aggregate a table, no join."""
+    parts = [null_audit(tables[t], cols).select(F.lit(t).alias("table_name"), "*") for t, cols in NOT_NULL.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
 # --------------------------------------------------------------------------
 # K6: referential audits
 # --------------------------------------------------------------------------

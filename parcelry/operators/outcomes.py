@@ -109,22 +109,67 @@ def decide(checked: DataFrame, stored_uids: DataFrame | None = None, materialize
     winners = claims.groupBy(F.col("order_uid").alias("_uid")).agg(F.min("_seq").alias("_win"), F.max("_stored").alias("_stored"))
     if materialize:
         winners = written(winners, "winners")
-    # uids that pass the rules are alphanumeric: a key with '#' matches none
-    key = F.when(pending, F.col("order_uid")).otherwise(F.concat(F.lit("#"), F.col("message_id")))
+    key = _join_key(pending, F.col("message_id"))
     p = n.withColumn("_key", key).join(winners, F.col("_key") == F.col("_uid"), "left")
     p = p.select("*", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))
+    again = (F.col("copy") > 1) & F.col("child_error").isNull()
+    o = F.coalesce(F.col("_early"), _late(place, again))
+    return p.select("message_id", "copy", *SEQ_COLS, "order_uid", o["status"].alias("status"), o["reason"].alias("reason"),
+                    o["error_text"].alias("error_text"), o["reason"].isNotNull().alias("dead_lettered"))
+
+
+def _join_key(pending: Column, other: Column) -> Column:
+    """The uid of a message that the uniqueness step decides, else a key of its own.
+
+    Uids that pass the rules are alphanumeric: a key with '#' matches none.
+    """
+    return F.when(pending, F.col("order_uid")).otherwise(F.concat(F.lit("#"), other))
+
+
+def _late(place: Column, again: Column) -> Column:
+    """Outcome of steps 4 to 6 from the joined winner (``_win``, ``_stored``)."""
     stored = F.coalesce(F.col("_stored"), F.lit(False))
     beaten = F.col("_win").isNotNull() & (F.col("_win") < place)
-    again = (F.col("copy") > 1) & F.col("child_error").isNull()
-    late = (
+    return (
         F.when(stored | beaten | again, _outcome(INVALID, R_EXISTS, F.concat(F.lit(MSG_EXISTS_PREFIX), F.col("order_uid"))))
         .when(F.col("child_error").isNotNull(),
               _outcome(ERROR, R_UNHANDLED, F.concat(F.lit(MSG_SAVE_PREFIX), F.col("child_error"))))
         .otherwise(_outcome(VALID, None, F.lit(None)))
     )
-    o = F.coalesce(F.col("_early"), late)
-    return p.select("message_id", "copy", *SEQ_COLS, "order_uid", o["status"].alias("status"), o["reason"].alias("reason"),
-                    o["error_text"].alias("error_text"), o["reason"].isNotNull().alias("dead_lettered"))
+
+
+def pending(checked: DataFrame) -> DataFrame:
+    """``(order_uid, claims)`` of the messages that the uniqueness step decides;
+    ``claims`` says that the message could be stored."""
+    return checked.filter(_early(checked).isNull()).select("order_uid", F.col("child_error").isNull().alias("claims"))
+
+
+LANDED_COLS = ["landed_file", "landed_row"]
+
+
+def settle(landed: DataFrame, stored_uids: DataFrame) -> DataFrame:
+    """T1 for checked messages that lie in files: ``landed`` with the outcome columns.
+
+    Every row has a place of its own (``LANDED_COLS`` break ties of copies), so
+    copies need no counting: one of them is the earliest.  The winners of the
+    batch are the earliest claim of each uid (combined map-side) and the uids
+    stored before (``order_uid``), written as a table; messages join them by
+    uid, on a scan of each side, so AQE broadcasts a small batch's winners and
+    splits the partition of a hot uid.
+    """
+    early = _early(landed)
+    place = F.struct(*[F.col(c) for c in SEQ_COLS], F.xxhash64("value").alias("_vh"), *[F.col(c) for c in LANDED_COLS])
+    open_ = early.isNull()
+    claims = landed.filter(open_ & F.col("child_error").isNull()).select("order_uid", place.alias("_seq"), F.lit(False).alias("_stored"))
+    prior = stored_uids.select("order_uid", F.lit(None).cast(claims.schema["_seq"].dataType).alias("_seq"), F.lit(True).alias("_stored"))
+    winners = claims.unionByName(prior).groupBy(F.col("order_uid").alias("_uid")).agg(F.min("_seq").alias("_win"), F.max("_stored").alias("_stored"))
+    winners = written(winners, "winners")
+    key = _join_key(open_, F.concat_ws("#", *[F.col(c).cast("string") for c in LANDED_COLS]))
+    p = landed.withColumn("_key", key).join(winners, F.col("_key") == F.col("_uid"), "left")
+    o = F.coalesce(early, _late(place, F.lit(False)))
+    return p.withColumn("_o", o).select(
+        *landed.columns, F.col("_o.status").alias("status"), F.col("_o.reason").alias("reason"),
+        F.col("_o.error_text").alias("error_text"), F.col("_o.reason").isNotNull().alias("dead_lettered"))
 
 
 OUTCOME_COLS = ["status", "reason", "error_text", "dead_lettered"]

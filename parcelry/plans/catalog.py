@@ -7,9 +7,10 @@ feature (latest-N, recently-used-N).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from parcelry.functions.decode import creation_time, creation_time_ms, decode_messages
 from parcelry.functions.formats import timestamp_text
@@ -17,11 +18,19 @@ from parcelry.functions.rules import item_violations
 from parcelry.operators import documents as doc
 from parcelry.operators import normalize as norm
 from parcelry.operators import outcomes as out
+from parcelry.operators import ranges
 from parcelry.operators import series as ser
+from parcelry.plans.derived import derived
+from parcelry.plans.guards import estimated_bytes, written
+from parcelry.session import checkpoint_dir
 from parcelry.sources import oplogs
-from parcelry.sources.messages import message_table, order_messages, stamped
+from parcelry.sources.messages import message_path, message_table, order_messages, source_paths, stamped
 from parcelry.sources.tables import item_lines, load, order_base, order_headers
-from parcelry.streaming.intake import streamed_outcome_rate
+from parcelry.streaming.commits import ORDERS, CommitLog
+from parcelry.streaming.compaction import compact, write_sorted
+from parcelry.streaming.intake import committed_outcomes, file_source, start_intake, streamed_outcome_rate
+from parcelry.streaming.orphans import streamed_orphans
+from parcelry.streaming.reads import latest_stored_orders, orders_by_uid
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +38,7 @@ Builder = Callable[[SparkSession, str], DataFrame]
 # (the service's own defaults are in operators.documents).
 HOT_ENTRY_BYTES = 1_100
 RECENT_KEYS = 100
+LOOKUP_KEYS = 100
 
 
 # ---------------------------------------------------------------- documents
@@ -69,6 +79,83 @@ def order_documents_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   norm.payments_rows(base), _items_table(spark, sf_dir))
 
 
+STORE_MODULES = ("parcelry.operators.documents", "parcelry.operators.normalize", "parcelry.sources.tables", "parcelry.functions.formats",
+                 "parcelry.schemas", "parcelry.plans.layout", "parcelry.streaming.commits", "parcelry.streaming.compaction")
+BUCKETS_PER_GB = 32
+STORE_BATCHES = 6
+
+
+def _normalised(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    base, headers = order_base(spark, sf_dir), order_headers(spark, sf_dir)
+    lines = item_lines(spark, sf_dir).withColumn("order_uid", F.concat(F.lit("ord"), "order_key"))
+    return {"orders": norm.orders_rows(base), "deliveries": norm.deliveries_rows(headers), "payments": norm.payments_rows(base),
+            "items": doc.item_rows(lines)}
+
+
+def bucketed_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The four tables, stored once in buckets by order (8 at least, more with the bytes of the line items)."""
+    def build(root: str) -> None:
+        size = estimated_bytes(load(spark, sf_dir, "lineitem")) or 0
+        norm.store_tables(_normalised(spark, sf_dir), root, min(50_000, max(8, size * BUCKETS_PER_GB >> 30)))
+
+    return norm.open_tables(spark, derived(spark, "bucketed", source_paths(sf_dir), STORE_MODULES, build))
+
+
+def order_documents_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1, J2, J3a over bucketed tables: no exchange."""
+    t = bucketed_tables(spark, sf_dir)
+    return doc.assemble_documents(t["orders"], t["deliveries"], t["payments"], t["items"], colocated=True)
+
+
+def not_null_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: every NOT NULL column of the four stored tables."""
+    return norm.not_null_audits(bucketed_tables(spark, sf_dir))
+
+
+def order_store(spark: SparkSession, sf_dir: str) -> str:
+    """A committed store of all orders: batches in the order of their times, the later half left as small parts."""
+    def build(root: str) -> None:
+        log = CommitLog(spark, root)
+        rows = doc.order_facts(spark, sf_dir)
+        have = set(rows.columns)
+        rows = written(rows.select(*[F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in norm.STORE_SCHEMA.fields]), "facts")
+        cuts = rows.select(F.percentile_approx(F.unix_micros("updated_at"), [i / STORE_BATCHES for i in range(1, STORE_BATCHES)], 1000).alias("c")).first()["c"]
+        for i, (low, high) in enumerate(zip([None, *(cuts or [])], [*(cuts or []), None])):
+            us = F.unix_micros("updated_at")
+            mine = (F.lit(True) if low is None else us > low) & (F.lit(True) if high is None else us <= high)
+            batch = rows.filter(mine).drop(norm.BATCH_COL).withColumn(norm.BATCH_COL, F.lit(i).cast("long"))
+            part = write_sorted(log, batch, ORDERS, 4, batch.count())
+            log.commit_batch("build", i, [part] if part else [])
+        compact(log, fan_in=STORE_BATCHES // 2)
+
+    return derived(spark, "order-store", source_paths(sf_dir), STORE_MODULES, build)
+
+
+def order_lookup_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q: documents of the most accessed orders, read from the store by key (a bounded list: the lookup's own limit)."""
+    keys = counts_of_access(spark, sf_dir).limit(LOOKUP_KEYS).collect()
+    return doc.order_documents(orders_by_uid(spark, order_store(spark, sf_dir), [f"ord{r['key']}" for r in keys]))
+
+
+def counts_of_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = ser.counts_by(oplogs.access_log(spark, sf_dir), "key")
+    return n.orderBy(F.col("n").desc(), "key").select("key")
+
+
+def latest_orders_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 on the store: newest files only."""
+    top = latest_stored_orders(spark, order_store(spark, sf_dir), doc.PRELOAD_SIZE)
+    rank = F.row_number().over(Window.orderBy(F.col("updated_at").desc_nulls_first(), F.col("order_uid")))  # PRELOAD_SIZE rows
+    return top.select(rank.alias("rank"), "order_uid", doc.document_json(top).alias("document"))
+
+
+def streamed_message_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1, T2, S4 as a stream: the message table through the intake's two queries, read back from its commits."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/intake-{uuid.uuid4().hex}"
+    start_intake(file_source(spark, message_path(spark, sf_dir)), f"{root}/out", f"{root}/checkpoint", available_now=True).awaitTermination()
+    return committed_outcomes(spark, f"{root}/out").select("topic", "partition", "offset", "order_uid", "status", "reason")
+
+
 def items_per_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = doc.items_per_order(item_lines(spark, sf_dir))
     return lists.select(F.concat(F.lit("ord"), F.col("order_key")).alias("order_uid"),
@@ -127,6 +214,16 @@ def orphan_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm.orphan_children(norm.payments_rows(order_base(spark, sf_dir)), _stored(spark, sf_dir)).select("order_uid", "amount")
 
 
+def streaming_orphan_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6 on the stream: payments whose order is not stored, out once the watermark has passed their span."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/orphan-inputs-{uuid.uuid4().hex}"
+    base = order_base(spark, sf_dir)
+    at = base.select("order_uid", F.col("date_created").cast("timestamp").alias("ts"), F.col("payment.amount").alias("amount"))
+    at.write.parquet(f"{root}/payments")
+    at.join(_stored(spark, sf_dir), "order_uid", "left_semi").select("order_uid", "ts").write.parquet(f"{root}/orders")
+    return streamed_orphans(spark, f"{root}/payments", f"{root}/orders").select("order_uid", "amount")
+
+
 def orphan_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm.orphan_children(norm.deliveries_rows(order_headers(spark, sf_dir)), _stored(spark, sf_dir)).select("order_uid", "name")
 
@@ -418,6 +515,37 @@ def irate_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ts(g, "window_start")
 
 
+def _ranges(spark: SparkSession, sf_dir: str, modulus: int) -> DataFrame:
+    return _ts(ranges.range_vectors(oplogs.scraped_counter(spark, sf_dir, modulus)), "at")
+
+
+def counter_increase_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``increase(x[5m])`` at every minute, with the raw increase between samples."""
+    g = _ranges(spark, sf_dir, 500)
+    return g.select("series", "at", "n_samples", F.round("raw_increase", 6).alias("raw_increase"), F.round("increase", 6).alias("increase"))
+
+
+def network_receive_rate_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sum(rate(x[5m])) by (device)``; four devices of two instances."""
+    return _rate_by_device(spark, sf_dir, 500)
+
+
+def network_transmit_rate_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As D4, on the second counter."""
+    return _rate_by_device(spark, sf_dir, 700)
+
+
+def _rate_by_device(spark: SparkSession, sf_dir: str, modulus: int) -> DataFrame:
+    g = _ranges(spark, sf_dir, modulus).filter(F.col("rate").isNotNull())
+    return g.groupBy((F.col("series") % 4).alias("device"), "at").agg(F.round(F.sum("rate"), 6).alias("rate"))
+
+
+def cpu_usage_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``100 - avg by (instance)(irate(idle[5m])) * 100``; two cores an instance."""
+    g = _ranges(spark, sf_dir, 500).filter(F.col("irate").isNotNull())
+    return g.groupBy((F.col("series") % 4).alias("instance"), "at").agg(F.round(F.lit(100.0) - F.avg("irate") * 100, 6).alias("cpu_pct"))
+
+
 def trailing_5m_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = load(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("key"), "ts")
     return ser.trailing_count(x, "key", "ts").select("event_id", "key", "n_trailing")
@@ -493,4 +621,14 @@ def catalog() -> dict[str, Builder]:
         "load_averages": load_averages,
         "streaming_outcome_rate": streaming_outcome_rate,
         "recently_used_keys": recently_used_keys,
+        "order_documents_bucketed": order_documents_bucketed,
+        "not_null_columns": not_null_columns,
+        "order_lookup_stored": order_lookup_stored,
+        "latest_orders_stored": latest_orders_stored,
+        "streamed_message_outcomes": streamed_message_outcomes,
+        "streaming_orphan_payments": streaming_orphan_payments,
+        "counter_increase_5m": counter_increase_5m,
+        "network_receive_rate_5m": network_receive_rate_5m,
+        "network_transmit_rate_5m": network_transmit_rate_5m,
+        "cpu_usage_5m": cpu_usage_5m,
     }

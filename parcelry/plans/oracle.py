@@ -159,7 +159,7 @@ def _message_json(extra: bool) -> str:
       'delivery': {{'name': m.d_name,
                    'phone': CASE WHEN m.r = 0 THEN '12345abc' ELSE m.d_phone END,
                    'zip': m.d_zip, 'city': m.d_city, 'address': m.d_address, 'region': m.d_region,
-                   'email': CASE WHEN m.r = 1 THEN 'not-an-email' ELSE m.d_email END}},
+                   'email': CASE WHEN m.r = 1 AND m.k // 20 % 2 = 0 THEN 'not-an-email' WHEN m.r = 1 THEN 'user@localhost' ELSE m.d_email END}},
       'payment': {{'transaction': m.p_transaction, 'request_id': m.p_request_id,
                   'currency': CASE WHEN m.r = 8 THEN 'NOT' ELSE m.p_currency END,
                   'provider': m.p_provider,
@@ -513,6 +513,44 @@ SELECT unnest(['order_uid', 'delivery_name', 'amount', 'chrt_id', 'rid', 'brand'
 FROM f
 """
 
+LATEST_ORDERS_STORED = f"""
+WITH {HEADERS_CTE}, {LINES_CTE}, {ITEMS_CTE},
+top AS (SELECT * FROM hdr ORDER BY updated_at DESC NULLS FIRST, order_uid LIMIT 250)
+SELECT CAST(row_number() OVER (ORDER BY h.updated_at DESC NULLS FIRST, h.order_uid) AS INTEGER) AS rank,
+  h.order_uid, {document_sql()} AS document
+FROM top h LEFT JOIN items i ON i.k = h.k
+"""
+
+ORDER_LOOKUP_STORED = f"""
+WITH {HEADERS_CTE}, {LINES_CTE}, {ITEMS_CTE},
+asked AS (SELECT user_id FROM events GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 100)
+SELECT h.order_uid, {document_sql()} AS document
+FROM hdr h LEFT JOIN items i ON i.k = h.k
+WHERE h.k IN (SELECT user_id FROM asked)
+"""
+
+STREAMED_MESSAGE_OUTCOMES = f"""
+WITH {EXPECT_CTE}
+SELECT topic, "partition", "offset", CASE WHEN decode_ok THEN order_uid END AS order_uid, status, reason FROM outcome
+"""
+
+
+STREAMING_ORPHAN_PAYMENTS = f"""
+WITH {EXPECT_CTE},
+stored AS (SELECT DISTINCT order_uid FROM outcome WHERE status = 'valid'),
+pay AS (SELECT 'ord' || o_orderkey AS order_uid, o_orderdate AS ts, CAST(round(o_totalprice * 100) AS BIGINT) AS amount FROM orders),
+mark AS (SELECT least(max(ts), max(ts) FILTER (WHERE order_uid IN (SELECT order_uid FROM stored))) - INTERVAL 1 DAY AS wm FROM pay)
+SELECT order_uid, amount FROM pay, mark
+WHERE order_uid NOT IN (SELECT order_uid FROM stored) AND ts + INTERVAL 36 HOUR < wm
+"""
+
+
+def _not_null(table: str, sql: str, columns: list[str]) -> str:
+    names = ", ".join(f"'{c}'" for c in columns)
+    counts = ", ".join(f'count_if("{c}" IS NULL)' for c in columns)
+    return f"SELECT '{table}' AS table_name, unnest([{names}]) AS column_name, unnest([{counts}]) AS n_null, count(*) AS n_rows FROM ({sql})"
+
+
 HOT_ORDER_ITEMS = f"""
 WITH {HEADERS_CTE}, {LINES_CTE}, {ITEMS_CTE},
 top AS (SELECT * FROM hdr ORDER BY updated_at DESC NULLS FIRST, order_uid LIMIT 250)
@@ -538,6 +576,20 @@ TABLE_ORACLES = {
     "orphan_payments": ORPHAN_PAYMENTS,
     "orphan_deliveries": ORPHAN_DELIVERIES,
     "not_null_audit": NOT_NULL_AUDIT,
+    "not_null_columns": " UNION ALL ".join([
+        _not_null("orders", ORDERS_ROWS, ["order_uid", "track_number", "entry", "locale", "customer_id", "delivery_service", "shard_key", "sm_id",
+                                          "date_created", "oof_shard"]),
+        _not_null("deliveries", DELIVERIES_ROWS, ["order_uid", "name", "phone", "zip", "city", "address", "region", "email"]),
+        _not_null("payments", PAYMENTS_ROWS, ["order_uid", "transaction", "currency", "provider", "amount", "payment_dt", "bank", "delivery_cost",
+                                              "goods_total", "custom_fee"]),
+        _not_null("items", ITEMS_ROWS, ["order_uid", "chrt_id", "track_number", "price", "rid", "name", "sale", "size", "total_price", "nm_id",
+                                        "brand", "status"]),
+    ]),
+    "order_documents_bucketed": ORDER_DOCUMENTS,
+    "latest_orders_stored": LATEST_ORDERS_STORED,
+    "order_lookup_stored": ORDER_LOOKUP_STORED,
+    "streamed_message_outcomes": STREAMED_MESSAGE_OUTCOMES,
+    "streaming_orphan_payments": STREAMING_ORPHAN_PAYMENTS,
     "hot_order_items": HOT_ORDER_ITEMS,
 }
 
@@ -617,6 +669,25 @@ dd AS (SELECT *, CASE WHEN pv IS NULL THEN NULL WHEN v < pv THEN v ELSE v - pv E
 inc AS (SELECT series, ws, CAST(COALESCE(sum(delta), 0) AS DOUBLE) AS increase, count(*) AS n_samples
         FROM dd GROUP BY series, ws)"""
 
+def range_cte(modulus: int) -> str:
+    """Range vectors by definition: every sample joined to every step whose range holds it."""
+    return f"""
+s AS (SELECT user_id % 8 AS series, event_id AS id, CAST(event_id % {modulus} AS DOUBLE) AS v,
+        1704067200000000 + CAST(floor((epoch_us(ts) - 1704067200000000) / 100) AS BIGINT) AS us FROM events),
+x AS (SELECT series, id, v, us, unnest(generate_series((us + 59999999) // 60000000, (us + 359999999) // 60000000 - 1)) AS k FROM s),
+l AS (SELECT *, lag(v) OVER w AS pv, lag(us) OVER w AS pus, row_number() OVER (PARTITION BY series, k ORDER BY us DESC, id DESC) AS back
+      FROM x WINDOW w AS (PARTITION BY series, k ORDER BY us, id)),
+d AS (SELECT *, CASE WHEN v < pv THEN v ELSE v - pv END AS delta FROM l),
+r AS (SELECT series, k, count(*) AS n, CAST(coalesce(sum(delta), 0) AS DOUBLE) AS raw, first(v ORDER BY us, id) AS v0,
+        min(us) / 1e6 - (k * 60 - 300) AS ds, k * 60 - max(us) / 1e6 AS de, (max(us) - min(us)) / 1e6 AS span,
+        max(CASE WHEN back = 1 THEN delta / nullif((us - pus) / 1e6, 0) END) AS irate
+      FROM d GROUP BY series, k),
+e AS (SELECT *, span / nullif(n - 1, 0) AS mean FROM r),
+f AS (SELECT *, CASE WHEN ds >= mean * 1.1 THEN mean / 2 ELSE ds END AS a, CASE WHEN de >= mean * 1.1 THEN mean / 2 ELSE de END AS b FROM e),
+rv AS (SELECT series, k, n, raw, irate, make_timestamp(k * 60000000) AS at_,
+         raw * (span + least(a, CASE WHEN raw > 0 AND v0 >= 0 THEN span * v0 / raw ELSE a END) + b) / nullif(span, 0) AS increase FROM f)"""
+
+
 GAUGE_CTE = """
 pct AS (SELECT user_id AS series, ts, user_id % 3 AS m,
           round(100.0 * (1.0 - round(value) / NULLIF(round(value) + event_id % 4000, 0)), 6) AS pct
@@ -759,6 +830,22 @@ ir AS (SELECT series, ws, delta / ((epoch_us(ts) - epoch_us(pts)) / 1e6) AS irat
        FROM dd WHERE rn = 1 AND delta IS NOT NULL)
 SELECT series % 8 AS instance, {ts_text('ws')} AS window_start, round(100.0 - avg(irate) * 100, 6) AS cpu_pct
 FROM ir GROUP BY series % 8, ws
+""",
+    "counter_increase_5m": f"""
+WITH {range_cte(500)}
+SELECT series, {ts_text('at_')} AS at, n AS n_samples, round(raw, 6) AS raw_increase, round(increase, 6) AS increase FROM rv
+""",
+    "network_receive_rate_5m": f"""
+WITH {range_cte(500)}
+SELECT series % 4 AS device, {ts_text('at_')} AS at, round(sum(increase / 300), 6) AS rate FROM rv WHERE increase IS NOT NULL GROUP BY series % 4, at_
+""",
+    "network_transmit_rate_5m": f"""
+WITH {range_cte(700)}
+SELECT series % 4 AS device, {ts_text('at_')} AS at, round(sum(increase / 300), 6) AS rate FROM rv WHERE increase IS NOT NULL GROUP BY series % 4, at_
+""",
+    "cpu_usage_5m": f"""
+WITH {range_cte(500)}
+SELECT series % 4 AS instance, {ts_text('at_')} AS at, round(100.0 - avg(irate) * 100, 6) AS cpu_pct FROM rv WHERE irate IS NOT NULL GROUP BY series % 4, at_
 """,
     "trailing_5m_count": """
 SELECT event_id, user_id AS key,

@@ -9,19 +9,12 @@ so runs repeat and the SQL oracle recomputes them.
 
 from __future__ import annotations
 
-import hashlib
-import importlib
-import inspect
-import json
-import re
-import uuid
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parcelry import schemas
 from parcelry.operators.documents import empty_items, order_facts
-from parcelry.session import checkpoint_dir
+from parcelry.plans.derived import derived
+from parcelry.sources.json_arrays import json_array_elements
 
 TOPIC = "orders"
 PARTITIONS = 4
@@ -30,7 +23,7 @@ DUPLICATE_OFFSET = 1_000_000
 # The corruptions (FIXTURES.md B2; values as the original
 # generator and producer use them).
 BAD_PHONE = "12345abc"
-BAD_EMAIL = "not-an-email"
+BAD_EMAIL, BAD_EMAIL_HOST = "not-an-email", "user@localhost"
 BAD_AMOUNT = -100
 BAD_LOCALE = "xx_123"
 BAD_SHARDKEY = "abc"
@@ -84,7 +77,7 @@ def corrupted_struct(facts: DataFrame, r: Column, extra: bool = False) -> Column
     d, p = F.col("delivery"), F.col("payment")
     delivery = _named([
         (f, _at(r, 0, F.lit(BAD_PHONE), d[f]) if f == "phone" else
-         _at(r, 1, F.lit(BAD_EMAIL), d[f]) if f == "email" else d[f])
+         F.when((r == 1) & (F.expr("order_key div 20") % 2 == 0), BAD_EMAIL).when(r == 1, BAD_EMAIL_HOST).otherwise(d[f]) if f == "email" else d[f])
         for f in schemas.DELIVERY_FIELDS])
     pay = {
         "amount": _at(r, 2, F.lit(BAD_AMOUNT).cast("long"), p["amount"]),
@@ -168,51 +161,14 @@ def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # JSON-array files -> one raw message per element
 # --------------------------------------------------------------------------
 
-def _elements(text: str) -> list[str]:
-    """The elements of a JSON array as written, up to the first syntax error.
-
-    Like a streaming decoder: what was read before an error has been sent.
-    """
-    skip, found = re.compile(r"[ \t\r\n]*"), []
-    decoder = json.JSONDecoder()
-    at = skip.match(text).end()
-    if text[at : at + 1] != "[":
-        return found
-    at = skip.match(text, at + 1).end()
-    while at < len(text) and text[at] != "]":
-        try:
-            end = decoder.raw_decode(text, at)[1]
-        except (ValueError, RecursionError):
-            break
-        found.append(text[at:end])
-        at = skip.match(text, end).end()
-        if text[at : at + 1] != ",":
-            break
-        at = skip.match(text, at + 1).end()
-    return found
-
-
 def json_array_messages(spark: SparkSession, path: str, topic: str = TOPIC) -> DataFrame:
     """Read files holding ``[{...}, {...}, ...]``; one message per element.
 
-    Elements are passed on as they are written; those before a syntax error
-    are kept, and a file that is no array gives none.  One file is one task
-    (whole-text read), so keep files small or convert to JSON Lines first.
-    The topic of a message names its file and the offset is the element's
-    place, so coordinates are unique across files.
+    Elements are passed on as they are written (``sources.json_arrays``); the
+    topic of a message names its file and the offset is the element's place,
+    so coordinates are unique across files.
     """
-    def split(batches):
-        for batch in batches:
-            for file, text in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist()):
-                found = _elements(text)
-                yield pa.RecordBatch.from_pydict(
-                    {"file": [file] * len(found), "pos": list(range(len(found))), "elem": [e.encode() for e in found]},
-                    pa.schema([("file", pa.string()), ("pos", pa.int64()), ("elem", pa.binary())]))
-
-    raw = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("file"), F.make_valid_utf8("value").alias("text"))
-    x = raw.mapInArrow(split, "file string, pos long, elem binary")
-    return x.select(
+    return json_array_elements(spark, path).select(
         F.lit(None).cast("binary").alias("key"),
         F.col("elem").alias("value"),
         F.array().cast("array<struct<key:string,value:binary>>").alias("headers"),
@@ -228,53 +184,21 @@ def json_array_messages(spark: SparkSession, path: str, topic: str = TOPIC) -> D
 # Materialised message table (a written table in the shared folder)
 # --------------------------------------------------------------------------
 
-def _hadoop_path(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _listing(spark: SparkSession, path: str) -> str:
-    """Every file below ``path`` with its length and time, sorted (any Hadoop file system)."""
-    p, fs = _hadoop_path(spark, path)
-    if not fs.exists(p):
-        return f"{path}: none"
-    found, files = [], fs.listFiles(p, True)
-    while files.hasNext():
-        f = files.next()
-        found.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
-    return ";".join(sorted(found))
+# Modules whose code shapes the message rows.
+GENERATORS = ("parcelry.sources.messages", "parcelry.sources.tables", "parcelry.operators.documents",
+              "parcelry.functions.formats", "parcelry.schemas")
 
 
-# Modules whose code shapes the message rows.
-_GENERATORS = ("parcelry.sources.messages", "parcelry.sources.tables", "parcelry.operators.documents",
-               "parcelry.functions.formats", "parcelry.schemas")
+def source_paths(sf_dir: str) -> list[str]:
+    """The tables that orders are built from."""
+    return [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("orders", "customer", "nation", "region", "lineitem", "part")]
 
 
-def _signature(spark: SparkSession, sf_dir: str) -> str:
-    sig = hashlib.sha256()
-    for name in _GENERATORS:
-        sig.update(inspect.getsource(importlib.import_module(name)).encode())  # also from a zip
-    for t in ("orders", "customer", "nation", "region", "lineitem", "part"):
-        sig.update(_listing(spark, f"{sf_dir.rstrip('/')}/{t}.parquet").encode())
-    return sig.hexdigest()[:16]
+def message_path(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of ``order_messages`` written once (``plans.derived``), the
+    way messages sit in a topic or landing folder."""
+    return derived(spark, "messages", source_paths(sf_dir), GENERATORS, lambda own: order_messages(spark, sf_dir).write.parquet(own))
 
 
 def message_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``order_messages`` written once as Parquet under ``spark.checkpoint.dir``
-    and read back, the way messages sit in a topic or landing folder.
-
-    The folder name is a hash of every file below the source tables (path,
-    length, time) and of the code that builds the rows, so changed inputs,
-    also an appended file, or changed code give a new table.  A table is
-    written under a name of its own and then renamed, so two drivers never
-    write to one path; whoever comes second uses the first one's table.
-    """
-    root = checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/messages-{_signature(spark, sf_dir)}"
-    done, fs = _hadoop_path(spark, path)
-    if not fs.exists(done):
-        own, _ = _hadoop_path(spark, f"{path}-{uuid.uuid4().hex}")
-        order_messages(spark, sf_dir).write.parquet(own.toString())
-        if not fs.rename(own, done) and not fs.exists(done):
-            raise OSError(f"cannot rename {own.toString()} to {path}")
-    return spark.read.schema(schemas.ENVELOPE).parquet(path)
+    return spark.read.schema(schemas.ENVELOPE).parquet(message_path(spark, sf_dir))

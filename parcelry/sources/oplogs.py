@@ -66,6 +66,21 @@ def transmit_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          (F.col("event_id") % 700).cast("double").alias("value"))
 
 
+# How much faster than the events the scrapes run, so that a range holds several.
+SCRAPE_SPEEDUP = 100
+SCRAPE_START_US = 1_704_067_200_000_000  # 2024-01-01T00:00:00Z
+INSTANCES = 8
+
+
+def scraped_counter(spark: SparkSession, sf_dir: str, modulus: int) -> DataFrame:
+    """(series, sample_id, ts, value) - a counter per instance (``user_id % 8``) with resets
+    (``event_id % modulus``), scraped at the events' times, run a hundred times as fast."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    fast = F.lit(SCRAPE_START_US) + F.floor((us - SCRAPE_START_US) / SCRAPE_SPEEDUP)
+    return _events(spark, sf_dir).select((F.col("user_id") % INSTANCES).alias("series"), F.col("event_id").alias("sample_id"),
+                                         F.timestamp_micros(fast.cast("long")).alias("ts"), (F.col("event_id") % modulus).cast("double").alias("value"))
+
+
 def gauge_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series, sample_id, ts, mountpoint, value) - free space per user: ``round(value)``."""
     mount = F.element_at(F.array(F.lit("/"), F.lit("/data"), F.lit("/boot")), (F.col("user_id") % 3 + 1).cast("int"))

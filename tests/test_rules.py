@@ -73,3 +73,23 @@ def test_storage_rules(spark):
     assert "character varying(10)" in c[2].order_error
     assert "0x00" in c[3].order_error
     assert c[4].child_error.startswith("inserting item")
+
+
+EMAILS = {
+    "test@gmail.com": True, "a@b.co": True, "user@localhost": False, "a@b.1": False, "a@b.c0m1": False, "a@b.c1m": True, "a@1b.com": True,
+    "a.b+c@x-y.org": True, ".a@b.com": False, "a.@b.com": False, "a..b@c.com": False, "a@b..com": False, "a@b.com.": False, "a@-b.com": False,
+    "a@b-.com": False, "a@.com": False, "a@b.c": True, "a@b.-c": False, "a b@c.com": False, "\"a b\"@c.com": True, "a@b@c.com": False,
+    "a@b.com\n": False, "имя@почта.рф": True, "invalid-email": False, "": False, "@b.com": False, "a@": False, "a@b_c.com": False,
+}
+
+
+def test_email_cases(spark):
+    df = spark.createDataFrame([(e,) for e in EMAILS], "s string")
+    got = {r.s: r.ok for r in df.select("s", F.col("s").rlike(R.EMAIL).alias("ok")).collect()}
+    assert got == EMAILS
+
+
+def test_long_hostile_addresses_are_quick(spark):
+    texts = ["a@" + "a." * 20_000, "a@" + "a-" * 20_000 + "!", "\"" + "\\a" * 2_000, "a" * 50_000 + "@"]
+    df = spark.createDataFrame([(e,) for e in texts], "s string")
+    assert [r.ok for r in df.select(F.col("s").rlike(R.EMAIL).alias("ok")).collect()] == [False] * 4

@@ -23,15 +23,18 @@ NUMERIC = r"^[-+]?[0-9]+(?:\.[0-9]+)?\z"
 E164 = r"^\+[1-9]?[0-9]{7,14}\z"
 # Fixed value: characters beyond ASCII that the validator's address pattern takes.
 _WIDE = r"\u00A0-\uD7FF\uF900-\uFDCF\uFDF0-\uFFEF"
-_ATOM = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~" + _WIDE + "-]+"
+_ATOM = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~" + _WIDE + "-]++"
 _LETTER, _ALNUM = f"[A-Za-z{_WIDE}]", f"[A-Za-z0-9{_WIDE}]"
-_INNER = f"[A-Za-z0-9.~{_WIDE}-]*"
+_HOST = f"[A-Za-z0-9.~{_WIDE}-]"
 # An address: a dot-atom or a quoted string, then a host of dot-separated labels.
 # The host needs a dot; what stands before the last label starts and ends with a
 # letter or digit, the last label with a letter; no empty labels (the address
 # parser behind the pattern refuses them).
-EMAIL = (rf"^(?:{_ATOM}(?:\.{_ATOM})*|\"(?:[^\"\\\r\n\x00]|\\[^\r\n\x00])*\")"
-         rf"@(?![^@]*\.\.){_ALNUM}(?:{_INNER}{_ALNUM})?\.{_LETTER}(?:{_INNER}{_LETTER})?\z")
+# Loops over groups are possessive: Java's regex recurses in the others, and a
+# long hostile text would overflow its stack.  The host's conditions are
+# lookarounds, so its time is linear.
+EMAIL = (rf"^(?:{_ATOM}(?:\.{_ATOM})*+|\"(?:[^\"\\\r\n\x00]++|\\[^\r\n\x00])*+\")"
+         rf"@(?![^@]*\.\.)(?=[^@]*{_ALNUM}\.{_LETTER}){_ALNUM}{_HOST}*+(?<={_LETTER})\z")
 # BCP 47 well-formed tag (langtag form), '-' or '_' separators, any case.
 BCP47_FORM = (r"^(?i)([a-z]{2,3}|[a-z]{5,8})"
               r"([-_][a-z]{3}){0,3}"

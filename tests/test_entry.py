@@ -35,6 +35,6 @@ def test_entry_without_text_operators(tmp_path, gone):
 
 def test_other_missing_modules_are_errors(tmp_path):
     copy = tmp_path / "repo"
-    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "schemas.py"))
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "session.py"))
     said = subprocess.run([sys.executable, "-B", "-c", SAY], cwd=copy, capture_output=True, text=True, timeout=120)
-    assert said.returncode != 0 and "parcelry.schemas" in said.stderr
+    assert said.returncode != 0 and "parcelry.session" in said.stderr

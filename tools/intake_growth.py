@@ -3,8 +3,8 @@
 Usage: python tools/intake_growth.py [batches] [messages a batch]
 
 Builds order messages over many batches (one in ten repeats an earlier uid),
-runs the intake over them one landed file a batch, and prints for every tenth
-batch the seconds of the routing trigger, the live parts and their files.
+runs the intake over them one landed file a batch, and prints the seconds of
+every routing trigger, and at the end the live parts, their files and rows.
 """
 
 from __future__ import annotations
@@ -41,15 +41,15 @@ def main() -> None:
     rows.repartitionByRange(batches, "offset").write.parquet(f"{root}/in")
     ck, out = f"{root}/checkpoint", f"{root}/out"
     intake = start_intake(file_source(spark, f"{root}/in", max_files=1), out, ck, available_now=True, max_files=1)
+    print("landing:", [round(p.durationMs.get("triggerExecution", 0) / 1000, 1) for p in intake.landing.recentProgress], flush=True)
     seen = {}
     while intake.routing.isActive:
         intake.routing.awaitTermination(2)
         for p in intake.routing.recentProgress:
-            seen[p.batchId] = p.durationMs.get("triggerExecution", 0) / 1000
+            if p.batchId not in seen:
+                seen[p.batchId] = p.durationMs
+                print(f"batch {p.batchId + 1}: {p.durationMs.get('triggerExecution', 0) / 1000:.1f} s", dict(p.durationMs) if p.batchId < 4 else "", flush=True)
     log = CommitLog(spark, out)
-    for k in sorted(seen):
-        if k % 10 == 9 or k < 3:
-            print(f"batch {k + 1}: {seen[k]:.1f} s")
     m = log.latest()
     print({t: (len(m.of(t)), sum(p.files for p in m.of(t)), sum(p.rows for p in m.of(t))) for t in ("orders", "dead_letters", "outcomes")}, "parts, files, rows")
     print({r["status"]: r["count"] for r in committed_outcomes(spark, out).groupBy("status").count().collect()})

@@ -55,3 +55,13 @@ def test_latest_orders_collects_nothing_while_building(spark):
     df = doc.latest_orders(spark, SF_SMALL, 7)
     assert len(set(tracker.getJobIdsForGroup(None)) - before) <= 6  # the schemas of the six tables, no more
     assert sorted(r["rank"] for r in df.select("rank").collect()) == list(range(1, 8))
+
+
+def test_bucketed_tables_need_no_exchange(spark):
+    from parcelry.plans.catalog import catalog
+
+    df = catalog()["order_documents_bucketed"](spark, SF_SMALL)
+    got = {tuple(r) for r in df.collect()}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Bucketed: true") >= 4
+    assert got == {tuple(r) for r in doc.order_documents(doc.order_facts(spark, SF_SMALL)).collect()}

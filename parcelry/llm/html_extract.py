@@ -56,7 +56,7 @@ _MAIN = frozenset(("article", "main"))
 _LAYOUT = frozenset("html body div section article main center".split())
 _DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login comment comments commentlist disqus respond replies share sharing social related recommended pagination pager skip toolbar".split())
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
-# Parts of class names that speak of a state of the article, not of its kind (comments-open, no-sidebar).
+# Parts of class names that speak of a state of what they wrap, not of its kind (comments-open, has-sidebar).
 _STATES = frozenset("open closed on off enabled disabled no has with without is".split())
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "body": ({"head"}, set())}
 
@@ -78,7 +78,7 @@ def _dropped(tag: str, attrs: dict[str, str]) -> bool:
     if attrs.get("role") in _DROPPED_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return True
     names = (attrs.get("class", "") + " " + attrs.get("id", "")).split()
-    words = [w for x in map(_WORD.findall, names) if tag != "article" or _STATES.isdisjoint(x) for w in x]
+    words = [w for x in map(_WORD.findall, names) if _STATES.isdisjoint(x) for w in x]
     return not _DROPPED_WORDS.isdisjoint(words)
 
 

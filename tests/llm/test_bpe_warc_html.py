@@ -250,3 +250,13 @@ def test_a_cut_archive_is_an_error():
         except ValueError:
             ok = False
         assert ok == (cut in (len(whole), len(whole) - 4)), cut
+
+
+def test_classes_of_state_do_not_delete_what_they_wrap(spark):
+    from parcelry.llm.html_extract import op8_html_text
+
+    names = ["has-sidebar", "no-sidebar", "with-sidebar", "comments-open"]
+    page = "<html><body><div class='menu'>Menu line</div><div class='{0}'><h1>Title {1}</h1><p>{2}</p></div><div class='sidebar'>Side {1}</div></body></html>"
+    rows = [(10 * k + i, f"http://{n}.example.org/{i}", page.format(n, i, story(i))) for k, n in enumerate(names) for i in range(4)]
+    got = {r.page_id: r.text for r in op8_html_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {10 * k + i: f"Title {i}\n\n{story(i)}" for k in range(len(names)) for i in range(4)}

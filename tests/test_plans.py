@@ -7,7 +7,7 @@ from parcelry.plans.catalog import catalog
 from tests.conftest import SF_SMALL
 
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
-             "FlatMapGroupsInPandas", "MapInPandas"]
+             "FlatMapGroupsInPandas", "MapInPandas", "MapInArrow", "FlatMapGroupsInArrow", "FlatMapCoGroupsInArrow"]
 
 
 def test_plans_have_no_forbidden_operators(spark):

@@ -64,6 +64,17 @@ class Tokens:
         at = np.repeat(self.starts[ids] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
         return self.flat[at], lengths
 
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """Bytes of each list of ids."""
+        parts = [pa.array([], pa.binary())]
+        for lo in range(0, len(lists), 64):
+            part = lists.slice(lo, 64)
+            per = np.diff(part.offsets.to_numpy())
+            data, lengths = self.decode(part.flatten().to_numpy(zero_copy_only=False))
+            ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(per)])]
+            parts.append(pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]))
+        return pa.concat_arrays(parts)
+
 
 class Vocabulary:
     """Ranks and merge table of one rank file, and the ids of the matches met so far."""
@@ -219,23 +230,30 @@ def _sent(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast(data)
 
 
-def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """``doc_id`` and ``ids`` (array of token ids) of every whole text."""
+def encode(docs: DataFrame, rank_path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """``doc_id`` and ``ids`` (array of token ids) of every whole text.
+
+    With ``decoded``, also the bytes that the ids decode to: the same worker
+    makes them, where a step of its own would keep a second one beside it.
+    """
     ranks = _sent(docs, rank_path)
+    names = ["doc_id", "ids", *(["decoded"] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, compiled = Vocabulary(ranks.value), regex.compile(pattern)
+        tokens = Tokens(ranks.value) if decoded else None
         for batch in batches:
             for part in slices(batch, "text", max_bytes=1 << 20):
                 found = vocab.encode(part.column("text").to_pylist(), compiled)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 flat = np.fromiter(chain.from_iterable(found), np.int32, int(offsets[-1]))
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
-        del vocab
+                back = [tokens.decode_lists(ids)] if tokens else []
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, *back], names)
+        del vocab, tokens
         release()
 
-    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>" + (", decoded binary" if decoded else ""))
 
 
 def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
@@ -246,17 +264,11 @@ def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = Tokens(ranks.value)
+        tokens = Tokens(ranks.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                lists = part.column("ids")
-                ids = lists.flatten().to_numpy(zero_copy_only=False)
-                per = np.diff(lists.offsets.to_numpy())
-                data, lengths = vocab.decode(ids)
-                ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(per)])]
-                decoded = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), decoded], [*names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), tokens.decode_lists(part.column("ids"))], [*names, "decoded"])
         release()
 
     return encoded.mapInArrow(run, schema)
@@ -265,5 +277,6 @@ def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
 def op6_bpe(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """The contract's rows: counts and digests of the encoded ids and decoded bytes."""
     ids_text = F.array_join(F.col("ids"), " ")
-    encoded = encode(docs, rank_path, pattern).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_text.cast("binary"), 256).alias("ids_sha256"), "ids")
-    return decode(encoded, rank_path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = encode(docs, rank_path, pattern, decoded=True)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_text.cast("binary"), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))

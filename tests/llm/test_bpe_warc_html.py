@@ -52,6 +52,19 @@ def test_bpe_rows(docs, doc_rows, no_docs, reference):
     assert bpe.op6_bpe(no_docs, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_keeps_one_worker_a_task(docs):
+    """Ids are made and decoded by one Python step: a second one would keep a worker of its own beside it."""
+    df = bpe.op6_bpe(docs, RANKS, public_tokenizers.PATTERN)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_decode_step_gives_the_same_bytes(docs):
+    both = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, decoded=True)
+    apart = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS)
+    rows = lambda df: Counter((r["doc_id"], bytes(r["decoded"])) for r in df.collect())
+    assert rows(both) == rows(apart)
+
+
 def test_cache_is_bounded(monkeypatch, reference):
     monkeypatch.setattr(bpe, "CACHE_ENTRIES", 50)
     vocab = bpe.Vocabulary(open(RANKS, "rb").read())

@@ -11,6 +11,8 @@ newline, which the original validator's patterns do not allow.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from parcelry import schemas
@@ -143,10 +145,21 @@ def _names(rules: list[tuple[str, Column]], prefix: str = "") -> Column:
     return F.filter(arr, lambda x: x.isNotNull())
 
 
+def _fails(rules: list[tuple[str, Column]]) -> Column:
+    """Some rule failed (a rule without an answer counts as failed)."""
+    return ~F.coalesce(reduce(lambda a, b: a & b, [~bad for _, bad in rules]), F.lit(False))
+
+
 def violations(o: Column) -> Column:
-    """Sorted distinct names of every failed rule (empty array = valid)."""
+    """Sorted distinct names of every failed rule (empty array = valid).
+
+    Whether any rule failed is asked first; names are listed only then.
+    """
+    none = F.array().cast("array<string>")
+    of_order = F.when(_fails(order_rules(o)), _names(order_rules(o))).otherwise(none)
+    some_item = F.coalesce(F.exists(o["items"], lambda it: _fails(item_rules(it))), F.lit(True))
     per_item = F.transform(o["items"], lambda it: _names(item_rules(it), "items[]."))
-    return F.array_sort(F.array_distinct(F.concat(_names(order_rules(o)), F.flatten(per_item))))
+    return F.sort_array(F.array_distinct(F.concat(of_order, F.when(some_item, F.flatten(per_item)).otherwise(none))))
 
 
 def item_violations(o: Column) -> Column:
@@ -208,10 +221,16 @@ def child_rows_error(o: Column) -> Column:
     pay_int = _any([_int4_bad(p[f]) for f in schemas.PAYMENT_INTS])
     pay_nul = _any([_nul(p[f]) for f in _PAYMENT_TEXT])
     # first failing item decides the text (items insert one by one, in order)
-    item_errs = F.filter(F.transform(o["items"], lambda it: F.when(
-        _any([_int4_bad(it[f]) for f in schemas.ITEM_INTS]), F.lit(ERR_INT_RANGE)).when(
-        _any([_nul(it[f]) for f in _ITEM_TEXT]), F.lit(ERR_NUL))), lambda e: e.isNotNull())
-    item_err = F.get(item_errs, 0)
+    def int_bad(it: Column) -> Column:
+        ints = [it[f] for f in schemas.ITEM_INTS]
+        return _any([F.least(*ints) < INT4_MIN, F.greatest(*ints) > INT4_MAX])  # both pass over nulls
+
+    def nul(it: Column) -> Column:
+        return _any([_nul(it[f]) for f in _ITEM_TEXT])
+
+    bad_items = F.filter(o["items"], lambda it: int_bad(it) | nul(it))
+    first = F.get(bad_items, 0)
+    item_err = F.when(F.size(bad_items) > 0, F.when(int_bad(first), F.lit(ERR_INT_RANGE)).otherwise(F.lit(ERR_NUL)))
     table_err = _first_error([
         (delivery, "inserting delivery: " + ERR_NUL),
         (pay_len, "inserting payment: " + ERR_TOO_LONG.format(n=3)),

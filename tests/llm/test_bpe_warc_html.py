@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import regex
@@ -75,6 +76,22 @@ def test_cache_is_bounded(monkeypatch, reference):
         assert len(vocab.cache) <= 50 + 60
 
 
+def test_pairs_and_ids_come_from_arrays(reference):
+    """Every merge and nothing else is found without a search; the ids of known matches lie in one array."""
+    vocab = bpe.Vocabulary(open(RANKS, "rb").read())
+    left, right = map(np.array, zip(*vocab.merges))
+    assert vocab.pair_rank(left, right).tolist() == list(vocab.merges.values())
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, vocab.size, (2, 50_000))
+    assert vocab.pair_rank(a, b).tolist() == [vocab.merges.get(pair, int(bpe._INF)) for pair in zip(a.tolist(), b.tolist())]
+    assert vocab.byte_pairs.shape == (256, 256)
+    texts = ["whole wordish words", "", "qzx" * 30 + " wordish", "x"]
+    for _ in range(2):  # new matches, then known ones
+        flat, ends = vocab.encode_flat(texts, regex.compile(public_tokenizers.PATTERN))
+        assert [flat[lo:hi].tolist() for lo, hi in zip(ends, ends[1:])] == [reference.encode_ordinary(t) for t in texts]
+    assert flat.dtype == np.int32 and sorted(vocab.cache.values()) == list(range(len(vocab.cache)))
+
+
 def slow_warc(rows):
     payload = lambda h: (h or "").encode()
     out = Counter()

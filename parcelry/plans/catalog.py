@@ -188,7 +188,7 @@ def order_by_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_item_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc.order_item_flat_lines(order_headers(spark, sf_dir), item_lines(spark, sf_dir))
+    return doc.order_item_flat_lines(header_parts(spark, sf_dir), line_parts(spark, sf_dir))
 
 
 def order_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +254,7 @@ def orphan_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def not_null_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K5: nulls per required column of the flat view (orders without items have null item columns)."""
-    flat = doc.order_item_flat_lines(order_headers(spark, sf_dir), item_lines(spark, sf_dir))
+    flat = doc.order_item_flat_lines(header_parts(spark, sf_dir), line_parts(spark, sf_dir))
     return norm.null_audit(flat, ["order_uid", "delivery_name", "amount", "chrt_id", "rid", "brand"])
 
 

@@ -114,3 +114,39 @@ def test_plain_documents_are_read_whole(spark):
 
     plan = _plan(checked_messages(envelope_df(spark, docs)))
     assert "_unread" in plan and "array_sort" not in plan
+
+
+def _lines(spark, rows):
+    return spark.createDataFrame(rows, "order_key long, line_no long, part_key long, supp_key long, price long, sale long, name string, size string, brand string")
+
+
+def test_flat_view_shuffles_its_lines_once_as_source_columns(spark):
+    """The window's exchange serves the join too, and no text of an order or item is made below it."""
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "parcelry.broadcast.maxRows")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("parcelry.broadcast.maxRows", "100")  # part is shuffled, as at scale; nation and region are not
+        plan = _plan(catalog()["order_item_flat"](spark, SF_SMALL))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    # orders and customer, lines and part, then orders and lines by order: one exchange each
+    assert plan.count("Exchange hashpartitioning") == 6
+    below = plan[plan.index("Exchange hashpartitioning"):]
+    assert "TRK" in plan and "TRK" not in below and "@example.com" not in below and "concat(r" not in below
+
+
+def test_flat_view_of_an_order_without_lines(spark):
+    """Order without lines: one row whose item columns are all null, the fixed status too; lines without an order are left out."""
+    from datetime import datetime
+
+    from parcelry.operators.documents import ITEM_FLAT, order_item_flat_lines
+
+    t = datetime(2024, 1, 1)
+    headers = spark.createDataFrame([(k, 7, 10.5, t, "1-URGENT", "c", "m", "n", "r") for k in (1, 2, None)],
+                                    "order_key long, o_custkey long, o_totalprice double, o_orderdate timestamp, o_orderpriority string, c_name string, c_mktsegment string, n_name string, r_name string")
+    lines = _lines(spark, [(1, 2, 5, 6, 100, 3, "b", "9", "x"), (1, 1, 5, 6, 100, 3, "a", "9", "x"), (3, 1, 5, 6, 100, 3, "z", "9", "x"), (None, 1, 5, 6, 100, 3, "z", "9", "x")])
+    rows = order_item_flat_lines(headers, lines).collect()
+    got = sorted(((r["order_uid"], r["item_pos"], r["item_name"], r["rid"], r["status"]) for r in rows), key=str)
+    assert got == [("ord1", 0, "a", "r1x1", 202), ("ord1", 1, "b", "r1x2", 202), ("ord2", None, None, None, None), (None, None, None, None, None)]
+    assert all(r[c] is None for r in rows if r["order_uid"] != "ord1" for _, c in ITEM_FLAT)

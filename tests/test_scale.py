@@ -150,3 +150,44 @@ def test_flat_view_of_an_order_without_lines(spark):
     got = sorted(((r["order_uid"], r["item_pos"], r["item_name"], r["rid"], r["status"]) for r in rows), key=str)
     assert got == [("ord1", 0, "a", "r1x1", 202), ("ord1", 1, "b", "r1x2", 202), ("ord2", None, None, None, None), (None, None, None, None, None)]
     assert all(r[c] is None for r in rows if r["order_uid"] != "ord1" for _, c in ITEM_FLAT)
+
+
+def test_a_derived_table_leaves_no_shuffle_files(spark):
+    """What a build has written needs its shuffles no more; the setting is as before after it."""
+    import time
+
+    from parcelry.plans.derived import derived
+
+    def shuffled():
+        found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before, seen = shuffled(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    path = derived(spark, "freed-test", [f"{SF_SMALL}/orders.parquet"], ["tests.test_scale"],
+                   lambda own: spark.range(5000).repartition(3, "id").write.parquet(own))
+    deadline = time.time() + 20
+    while shuffled() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffled() - before and spark.read.parquet(path).count() == 5000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == seen
+
+
+def test_store_keeps_only_its_live_parts(spark, scratch, monkeypatch):
+    """The written source columns and the parts that the compaction merged are off the disk; files are zstd."""
+    import glob
+    import os
+
+    import pyarrow.parquet as pq
+
+    from parcelry.plans import catalog as cat
+    from parcelry.streaming.commits import ORDERS, CommitLog
+
+    monkeypatch.setattr(cat, "derived", lambda spark, name, sources, modules, build: (build(f"{scratch}/store"), f"{scratch}/store")[1])
+    root = cat.order_store(spark, SF_SMALL)
+    log = CommitLog(spark, root)
+    live = log.latest().of(ORDERS)
+    assert not os.path.exists(f"{root}/_facts")
+    assert sorted(os.listdir(f"{root}/orders")) == sorted(p.path.split("/")[1] for p in live)
+    assert log.versions() == [log.latest().version]
+    found = glob.glob(f"{root}/orders/*/*.parquet")
+    assert found and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in found} == {"ZSTD"}

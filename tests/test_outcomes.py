@@ -105,3 +105,40 @@ def test_two_messages_of_one_identity(spark):
     assert sorted(got, key=str) == [("u1", "invalid", "already_exists")] * 2 + [("u1", "valid", None)]
     decided = out.decide(out.checked_messages(spark.createDataFrame(one, schemas.ENVELOPE)), materialize=True)
     assert sorted(r["copy"] for r in decided.collect()) == [1, 1, 2]
+
+
+def test_outcomes_in_place_are_those_of_the_join(spark, scratch, monkeypatch):
+    """Marks (a bit a message, by file) give every landed message the outcome of the join; payloads are not shuffled."""
+    t0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    n, i = 80_000, F.col("id")
+    landed = spark.range(n).select(
+        F.lit("t").alias("topic"), F.lit(0).alias("partition"), (i % 50_000).alias("offset"), F.lit(t0).alias("timestamp"),
+        F.sha2((i % 70_000).cast("string"), 256).cast("binary").alias("value"), (i % 11 != 3).alias("decode_ok"),
+        F.when(i % 7 == 2, F.array(F.lit("rule"))).otherwise(F.array().cast("array<string>")).alias("violations"),
+        F.when(i % 13 == 4, "order").alias("order_error"), F.when(i % 5 == 1, "child").alias("child_error"),
+        F.when(i % 17 != 0, F.concat(F.lit("u"), (i % 40_000).cast("string"))).alias("order_uid"),
+        F.when(i < 70_000, "a").otherwise("b").alias("landed_file"), F.when(i < 70_000, i).otherwise(i - 70_000).alias("landed_row"))
+    landed.write.parquet(f"{scratch}/landed")
+    landed = spark.read.parquet(f"{scratch}/landed")
+    stored = spark.createDataFrame([("u5",), ("u32767",), ("u39999",)], "order_uid string")
+    cols = ["landed_file", "landed_row", *out.OUTCOME_COLS]
+    want = {tuple(r) for r in out.settle(landed, stored, scratch).select(*cols).collect()}
+    reasons = {(r[2], r[3]) for r in want}
+    assert len(want) == n and reasons == {("valid", None), ("invalid", None), ("invalid", "invalid_order"), ("error", "unhandled_error"), ("invalid", "already_exists")}
+    marks = out.taken_marks(landed, stored, scratch)
+    assert {(r["landed_file"], r["_bucket"]) for r in marks.collect()} == {("a", 1), ("a", 2), ("b", 1)}
+    got = out.settle_in_place(landed, marks)
+    assert got.columns == [*landed.columns, *out.OUTCOME_COLS]
+    assert {tuple(r) for r in got.select(*cols).collect()} == want
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    # more marks than may be broadcast: a join by file and place
+    monkeypatch.setattr(out, "MAX_MARK_ROWS", 2)
+    monkeypatch.setattr("parcelry.plans.guards._DECISIONS", {})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        again = out.settle_in_place(landed, marks)
+        assert {tuple(r) for r in again.select(*cols).collect()} == want
+        assert "SortMergeJoin" in again._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold") if before is None else spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
